@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sheaf.functions import terms
 from sheaf.operators.vectors import topk_per_question
-from sheaf.session import broadcast_if_small
+from sheaf.session import broadcast_if_small, stored
+from sheaf.settings import BROADCAST_ROWS
 
 # Weight of a term, and the digits on which scores are compared.
 TERM_WEIGHT = 0.1
@@ -54,15 +57,17 @@ def query_clauses(questions: DataFrame) -> DataFrame:
     starts the next group and ``-`` excludes. A word that holds several terms, as
     in ``re-use``, is a phrase. Clauses left without terms vanish.
 
-    Rows are ``(query_id, grp, clause, negated, n_terms, n_required, n_slots,
-    offset, term, slot)``; ``slot`` numbers the distinct wanted terms of a group.
+    Rows are ``(query_id, grp, clause, negated, n_terms, n_group, n_required,
+    n_slots, offset, term, slot)``: the terms of the clause and of the group, the
+    wanted clauses and distinct wanted terms of the group, and the number of the
+    term among the latter.
     """
     tokens = F.regexp_extract_all("question", F.lit(CLAUSE), 1)
     clauses = F.filter(F.transform(F.col("tokens"), _clause), lambda c: F.size(c["terms"]) > 0)
     clauses = F.filter(clauses, lambda c: ~c["is_or"])
-    wanted = F.filter(
-        F.col("clauses"), lambda c: (c["grp"] == F.col("c.grp")) & ~c["negated"]
-    )
+    group = F.filter(F.col("clauses"), lambda c: c["grp"] == F.col("c.grp"))
+    wanted = F.filter(group, lambda c: ~c["negated"])
+    n_group = F.aggregate(group, F.lit(0), lambda n, c: n + F.size(c["terms"]))
     wanted_terms = F.array_distinct(
         F.flatten(F.transform(wanted, lambda c: F.transform(c["terms"], lambda t: t["term"])))
     )
@@ -70,7 +75,13 @@ def query_clauses(questions: DataFrame) -> DataFrame:
         questions.select("query_id", tokens.alias("tokens"))
         .select("query_id", clauses.alias("clauses"))
         .select("query_id", "clauses", F.explode("clauses").alias("c"))
-        .select("query_id", "c", F.size(wanted).alias("n_required"), wanted_terms.alias("slots"))
+        .select(
+            "query_id",
+            "c",
+            n_group.alias("n_group"),
+            F.size(wanted).alias("n_required"),
+            wanted_terms.alias("slots"),
+        )
         .select("*", F.explode("c.terms").alias("t"))
         .select(
             "query_id",
@@ -78,6 +89,7 @@ def query_clauses(questions: DataFrame) -> DataFrame:
             "c.clause",
             "c.negated",
             F.size("c.terms").alias("n_terms"),
+            "n_group",
             "n_required",
             F.size("slots").alias("n_slots"),
             "t.offset",
@@ -109,18 +121,63 @@ def _clause(token: Column, i: Column) -> Column:
     )
 
 
+def hits(rows: DataFrame, clauses: DataFrame) -> DataFrame:
+    """Postings of the questions' terms that can still contribute to a match.
+
+    A group of several terms is looked up by its rarest wanted term first, and its
+    other terms count only in the chunks found that way. So a frequent term is
+    neither shuffled nor compared beyond the chunks of a rare one next to it.
+    ``clauses`` is read several times and should be stored.
+    """
+    total, lone = clauses.agg(F.count("*"), F.count(F.when(F.col("n_group") == 1, 1))).first()
+    sent = F.broadcast if total <= BROADCAST_ROWS else (lambda df: df)
+    parts = []
+    if lone or not total:
+        parts.append(rows.join(sent(clauses.filter("n_group = 1")), "term"))
+    if lone < total:
+        several = clauses.filter("n_group > 1")
+        near = broadcast_if_small(candidates(rows, several, sent))
+        found = rows.join(sent(several), "term").withColumn("candidate", _candidate_key())
+        parts.append(found.join(near, "candidate", "left_semi").drop("candidate"))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _candidate_key() -> Column:
+    """One long per question, group and chunk: a small and fast join key.
+
+    Two that collide only let a hit through that the match then turns down.
+    """
+    return F.xxhash64("query_id", "grp", "chunk_id")
+
+
+def candidates(rows: DataFrame, clauses: DataFrame, sent=broadcast_if_small) -> DataFrame:
+    """Keys of the chunks where the rarest wanted term of a group occurs."""
+    wanted = clauses.filter(~F.col("negated"))
+    frequency = (
+        rows.join(sent(wanted.select("term").distinct()), "term", "left_semi")
+        .groupBy("term")
+        .agg(F.count("*").alias("n"))
+    )
+    rarest = (
+        wanted.join(sent(frequency), "term", "left")
+        .groupBy("query_id", "grp")
+        .agg(F.min_by("term", F.struct(F.coalesce("n", F.lit(0)), "term")).alias("term"))
+    )
+    found = rows.join(sent(rarest), "term").select(_candidate_key().alias("candidate")).distinct()
+    return stored(found, "candidates")
+
+
 def occurrences(rows: DataFrame, clauses: DataFrame) -> DataFrame:
     """Hits that complete a word or phrase of a question.
 
-    The clauses are broadcast when their counted size allows, so only hits leave
-    the scan. They are spread by question and chunk once, whatever the frequency
-    of a term, and every later step keeps that partitioning.
+    Hits are spread by question and chunk once, whatever the frequency of a term,
+    and every later step keeps that partitioning.
     """
     occurrence = Window.partitionBy("query_id", "chunk_id", "grp", "clause", "start")
     return (
-        rows.join(broadcast_if_small(clauses), "term")
+        hits(rows, clauses)
         .withColumn("start", F.col("pos") - F.col("offset"))
-        .drop("term", "offset")
+        .drop("term", "offset", "n_group")
         .repartition("query_id", "chunk_id")
         .withColumn("n_found", F.count("*").over(occurrence))
         .filter(F.col("n_found") == F.col("n_terms"))
@@ -136,6 +193,7 @@ def match(rows: DataFrame, clauses: DataFrame) -> DataFrame:
     the cover density of the groups that match.
     """
     excluded = F.col("negated")
+    clauses = stored(clauses, "clauses")
     groups = (
         occurrences(rows, clauses)
         .groupBy("query_id", "chunk_id", "grp")

@@ -63,7 +63,9 @@ def vector_topk_cells(
     return _search(rows, questions, blocks, k)
 
 
-def train_cells(corpus: DataFrame, n_cells: int, max_rows: int = 200_000, seed: int = 7):
+def train_cells(
+    corpus: DataFrame, n_cells: int, max_rows: int = 200_000, max_iter: int = 10, seed: int = 7
+) -> np.ndarray:
     """Centroids of ``n_cells`` cells, from at most about ``max_rows`` training rows."""
     rows = corpus.select("embedding").filter(_length("embedding") > 0)
     total = rows.count()
@@ -71,8 +73,11 @@ def train_cells(corpus: DataFrame, n_cells: int, max_rows: int = 200_000, seed:
         rows = rows.sample(max_rows / total, seed=seed)
     scale = _length("embedding")
     unit = F.transform("embedding", lambda x: x.cast("double") / scale)
-    features = rows.select(array_to_vector(unit).alias("features"))
-    model = KMeans(k=n_cells, seed=seed, maxIter=20).fit(features)
+    features = rows.select(array_to_vector(unit).alias("features")).persist()  # bounded above
+    try:
+        model = KMeans(k=n_cells, seed=seed, maxIter=max_iter).fit(features)
+    finally:
+        features.unpersist()
     return np.array(model.clusterCenters())
 
 
@@ -152,7 +157,10 @@ def _search(rows, questions, blocks, k):
 
 
 def _question_blocks(questions: DataFrame) -> Iterator[_Block]:
-    rows = questions.select("query_id", "embedding").filter(_length("embedding") > 0)
+    """The questions in blocks of at most BROADCAST_BYTES, usually one."""
+    rows = stored(
+        questions.select("query_id", "embedding").filter(_length("embedding") > 0), "questions"
+    )
     first = rows.select(F.size("embedding").alias("dim")).first()
     if first is None:
         return
@@ -162,7 +170,6 @@ def _question_blocks(questions: DataFrame) -> Iterator[_Block]:
     if head.num_rows <= fits:
         yield _block(head, dim)
         return
-    rows = stored(rows, "questions")
     n_blocks = 2 * (rows.count() // fits + 1)
     number = F.pmod(F.xxhash64("query_id"), F.lit(n_blocks))
     for i in range(n_blocks):

@@ -163,7 +163,8 @@ wanted AS (
     count(DISTINCT CASE WHEN NOT negated THEN term END) AS n_slots
   FROM clause_terms GROUP BY ALL),
 clauses AS (
-  SELECT c.*, count(*) OVER (PARTITION BY query_id, clause) AS n_terms, w.n_required, w.n_slots
+  SELECT c.*, count(*) OVER (PARTITION BY query_id, clause) AS n_terms,
+    count(*) OVER (PARTITION BY query_id, grp) AS n_group, w.n_required, w.n_slots
   FROM clause_terms c JOIN wanted w USING (query_id, grp))"""
 
 
@@ -381,6 +382,7 @@ FROM vectors v JOIN means m ON m.query_id = 'label-' || v.label""",
     "postings": with_(DOCS, CHUNKS, postings("posts", "chunks")) + "SELECT term, chunk_id, pos FROM posts",
     "query_clauses": with_(BENCHMARK_QUESTIONS, clauses("questions"))
     + """SELECT query_id, grp, clause, negated, CAST(n_terms AS INTEGER) AS n_terms,
+  CAST(n_group AS INTEGER) AS n_group,
   CAST(n_required AS INTEGER) AS n_required, CAST(n_slots AS INTEGER) AS n_slots, "offset", c.term,
   CASE WHEN negated THEN -1 ELSE s.slot END AS slot
 FROM clauses c LEFT JOIN (
