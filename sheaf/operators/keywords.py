@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sheaf.functions import terms
@@ -46,6 +46,16 @@ def write_postings(rows: DataFrame, path: str, buckets: int = 64, salts: int = 8
     )
 
 
+def read_postings(spark: SparkSession, path: str, clauses: DataFrame, buckets: int = 64) -> DataFrame:
+    """Stored postings, only the buckets that the clauses' terms fall in.
+
+    The filter is on the partition column, so other directories are not read.
+    """
+    needed = clauses.select(term_bucket(F.col("term"), buckets).alias("bucket")).distinct()
+    numbers = [row["bucket"] for row in needed.collect()]  # at most ``buckets``
+    return spark.read.parquet(path).filter(F.col("bucket").isin(numbers)).drop("bucket")
+
+
 def term_bucket(term: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 
