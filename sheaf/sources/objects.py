@@ -3,17 +3,20 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sheaf.schemas import QUESTIONS
+from sheaf.session import broadcast_if_small
 
 
 def read_objects(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
     """Files under ``root`` as ``(bucket, name, content, size, event_time)``.
 
-    The folder itself stands for the bucket.
+    The folder itself stands for the bucket. Spark's file sources pass over empty
+    files; ``contents_under`` starts from events and reports those.
     """
     return _as_objects(_files(spark.read, glob).load(root), root)
 
@@ -36,7 +39,7 @@ def _files(reader, glob: str):
     )
 
 
-def _as_objects(files: DataFrame, root: str) -> DataFrame:
+def _as_objects(files: DataFrame, root: str, *others: str) -> DataFrame:
     folder = re.sub(r"^[A-Za-z][\w+.-]*:(//[^/]*)?", "", root).rstrip("/") + "/"
     start = F.locate(folder, F.col("path")) + len(folder)
     return files.select(
@@ -45,9 +48,31 @@ def _as_objects(files: DataFrame, root: str) -> DataFrame:
         "content",
         F.col("length").alias("size"),
         F.col("modificationTime").alias("event_time"),
+        *others,
     )
 
 
+def contents_under(root: str, max_paths: int = 10_000) -> Callable[[DataFrame], DataFrame]:
+    """A function that adds ``content`` to events of objects stored under ``root``.
+
+    The folder is listed without reading files, and only the files the events name
+    are opened. Objects that are missing or empty get a null content. A batch of
+    more than ``max_paths`` objects reads the folder as a whole instead.
+    """
+
+    def add(events: DataFrame) -> DataFrame:
+        files = _files(events.sparkSession.read, "*").load(root)
+        named = _as_objects(files, root, "path").select("bucket", "name", "path")
+        wanted = named.join(broadcast_if_small(events.select("bucket", "name")), ["bucket", "name"])
+        paths = [row["path"] for row in wanted.select("path").limit(max_paths + 1).collect()]
+        if len(paths) <= max_paths:
+            files = _files(events.sparkSession.read, "*").load(paths) if paths else files.limit(0)
+        found = _as_objects(files, root).select("bucket", "name", "content")
+        return events.join(found, ["bucket", "name"], "left")
+
+    return add
+
+
 def split_empty(objects: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Objects with content, and those without."""
     size = F.coalesce(F.length("content"), F.lit(0))
