@@ -10,4 +10,4 @@ from sheaf.session import local_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    return local_session("4", app="sheaf-tests", spark__sql__shuffle__partitions="4")
+    return local_session("4", app="sheaf-tests", spark__sql__shuffle__partitions="2", spark__sql__codegen__wholeStage="false")
