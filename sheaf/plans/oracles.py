@@ -406,6 +406,7 @@ SELECT source AS query_id, doc_id AS chunk_id,
 FROM l FULL JOIN n USING (source, doc_id)""",
     "hybrid_retrieve": hybrid(_FOUND, fixed_questions(catalog.QUESTION)),
     "hybrid_batch": hybrid(_FOUND, BENCHMARK_QUESTIONS),
+    "hybrid_batch_cells": hybrid(_FOUND, BENCHMARK_QUESTIONS),
     "citations": hybrid(
         """SELECT query_id, chunk_id, document_id, filename, gcs_uri, page_number,
   rrf_score, vector_rank, keyword_rank, n FROM found""",

@@ -62,10 +62,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+def broadcast_if_small(df: DataFrame, max_rows: int | None = None) -> DataFrame:
     """Mark ``df`` for broadcast after counting that it holds at most ``max_rows``.
 
-    The count stops early, one row past the bound. A larger input is returned as
-    it is, and the join it goes into shuffles.
+    Meant for narrow rows of keys. A larger input is returned as it is, and the
+    join it goes into shuffles.
     """
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+    bound = BROADCAST_ROWS if max_rows is None else max_rows
+    return F.broadcast(df) if df.count() <= bound else df

@@ -43,5 +43,5 @@ class RetrievalKnobs:
 
 # Upper bounds for what is shipped to every executor. Past them the operators
 # take their other way (shuffle join, or several passes).
-BROADCAST_ROWS = 2_000_000
+BROADCAST_ROWS = 500_000  # narrow rows of keys
 BROADCAST_BYTES = 64 * 1024 * 1024

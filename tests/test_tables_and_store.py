@@ -104,7 +104,16 @@ def test_batches_replays_failures_and_deletes(spark, tmp_path):
         event("note.txt", 1, "no"),
         event("", 1, "no"),
     )
-    ingest_batch(first, store, batch_version(0), KNOBS)
+    results = ingest_batch(first, store, batch_version(0), KNOBS)
+    outcome = {r.gcs_uri: (r.num_pages, r.num_chunks, r.skipped, r.reason) for r in results.collect()}
+    assert outcome == {
+        "gs://b/x/a.pdf": (1, 1, False, ""),
+        "gs://b/b.PDF": (2, 2, False, ""),
+        "gs://b/blank.pdf": (0, 0, False, ingest.NO_TEXT),
+        "gs://b/empty.pdf": (0, 0, False, ingest.EMPTY_OBJECT),
+        "gs://b/note.txt": (None, None, True, "not a pdf"),
+        "gs://b/": (None, None, True, "missing bucket or name"),
+    }
     docs, chunks = state(store)
     assert set(docs) == {"a.pdf", "b.PDF", "blank.pdf"}
     assert chunks["a.pdf"] == ["second text of a"] and chunks["b.PDF"] == ["only b", "page two"]
