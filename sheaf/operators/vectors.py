@@ -40,8 +40,8 @@ def vector_topk(corpus: DataFrame, questions: DataFrame, k: int) -> DataFrame:
     ``corpus`` has ``chunk_id`` and ``embedding``, ``questions`` has ``query_id``
     and ``embedding``. Vectors without direction are neither asked nor found.
     """
-    blocks = [block for block in _question_blocks(questions)]
-    return _search(corpus.select("chunk_id", "embedding"), questions, blocks, k)
+    rows = corpus.select("chunk_id", "embedding")
+    return _search(rows, questions, _question_blocks(questions), k)
 
 
 def vector_topk_cells(
@@ -55,12 +55,14 @@ def vector_topk_cells(
     """
     unit_centroids = _unit(np.asarray(centroids, dtype=np.float64))[0]
     n_probe = min(n_probe, len(unit_centroids))
-    blocks = []
-    for block in _question_blocks(questions):
-        order = np.argsort(-(block.unit @ unit_centroids.T), axis=1, kind="stable")
-        blocks.append(_Block(block.ids, block.unit, order[:, :n_probe]))
+
+    def probing() -> Iterator[_Block]:
+        for block in _question_blocks(questions):
+            order = np.argsort(-(block.unit @ unit_centroids.T), axis=1, kind="stable")
+            yield _Block(block.ids, block.unit, order[:, :n_probe])
+
     rows = cells.select("chunk_id", "embedding", "cell")
-    return _search(rows, questions, blocks, k)
+    return _search(rows, questions, probing(), k)
 
 
 def train_cells(
@@ -127,7 +129,8 @@ def topk_per_question(rows: DataFrame, k: int, *order: Column) -> DataFrame:
     return rows.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
-def _search(rows, questions, blocks, k):
+def _search(rows, questions, blocks: Iterator[_Block], k):
+    """One scan per block; the driver holds one block at a time and hands it on."""
     schema = T.StructType(
         [
             T.StructField("query_id", questions.schema["query_id"].dataType),

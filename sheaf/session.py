@@ -24,8 +24,9 @@ def local_session(cpus: str = "*", app: str = "sheaf", **conf) -> SparkSession:
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
-        # Generated methods past this size are never compiled by the JVM; run unfused instead.
-        .config("spark.sql.codegen.hugeMethodLimit", "8000")
+        # Long sessions compile many generated classes; keep room for them.
+        .config("spark.driver.extraJavaOptions", "-XX:ReservedCodeCacheSize=512m")
+        .config("spark.sql.ui.retainedExecutions", "10")
     )
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)
