@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sheaf.llm import language_id
+from sheaf.llm import language_id, simhash_neardup
 from sheaf.llm.common import documents
 
 
@@ -10,6 +10,13 @@ def op1_language_id(spark, sf_dir):
     return language_id.identify(documents(spark, sf_dir))
 
 
-QUERIES = {"op1_language_id": op1_language_id}
+def op3_simhash_neardup(spark, sf_dir):
+    return simhash_neardup.near_duplicates(documents(spark, sf_dir))
+
+
+QUERIES = {
+    "op1_language_id": op1_language_id,
+    "op3_simhash_neardup": op3_simhash_neardup,
+}
 
 ORACLES: dict[str, str] = {}
