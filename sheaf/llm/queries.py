@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from sheaf.llm import language_id, simhash_neardup
+import public_tokenizers
+
+from sheaf.llm import language_id, simhash_neardup, token_blocks
 from sheaf.llm.common import documents
 
 
@@ -14,9 +16,14 @@ def op3_simhash_neardup(spark, sf_dir):
     return simhash_neardup.near_duplicates(documents(spark, sf_dir))
 
 
+def op4_token_blocks(spark, sf_dir):
+    return token_blocks.encode_corpus(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op3_simhash_neardup": op3_simhash_neardup,
+    "op4_token_blocks": op4_token_blocks,
 }
 
 ORACLES: dict[str, str] = {}
