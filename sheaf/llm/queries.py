@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from sheaf.llm import language_id, simhash_neardup, token_blocks
+from sheaf.llm import language_id, simhash_neardup, source_mix, token_blocks
 from sheaf.llm.common import documents
 
 
@@ -20,10 +20,15 @@ def op4_token_blocks(spark, sf_dir):
     return token_blocks.encode_corpus(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op10_source_mix(spark, sf_dir):
+    return source_mix.mix(documents(spark, sf_dir))
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op3_simhash_neardup": op3_simhash_neardup,
     "op4_token_blocks": op4_token_blocks,
+    "op10_source_mix": op10_source_mix,
 }
 
 ORACLES: dict[str, str] = {}
