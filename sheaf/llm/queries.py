@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from sheaf.llm import language_id, simhash_neardup, source_mix, token_blocks
+from sheaf.llm import language_id, simhash_neardup, source_mix, token_blocks, topk_voronoi
 from sheaf.llm.common import documents
 
 
@@ -24,11 +24,30 @@ def op10_source_mix(spark, sf_dir):
     return source_mix.mix(documents(spark, sf_dir))
 
 
+def op8_topk_voronoi(spark, sf_dir):
+    return topk_voronoi.search_embeddings(spark, sf_dir)
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op3_simhash_neardup": op3_simhash_neardup,
     "op4_token_blocks": op4_token_blocks,
+    "op8_topk_voronoi": op8_topk_voronoi,
     "op10_source_mix": op10_source_mix,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "op8_topk_voronoi": """
+        WITH v AS (
+            SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+              AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), ranked AS (
+            SELECT q.vec_id AS query_id, d.vec_id, list_inner_product(q.v::DOUBLE[], d.v::DOUBLE[])::BIGINT AS score
+            FROM v q JOIN v d ON q.vec_id <> d.vec_id WHERE q.vec_id % 50 = 0
+        ), placed AS (
+            SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM ranked
+        )
+        SELECT query_id, rank, vec_id, score FROM placed WHERE rank <= 5
+    """,
+}
