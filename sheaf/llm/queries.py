@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from sheaf.llm import language_id, simhash_neardup, source_mix, token_blocks, topk_voronoi
+from sheaf.llm import decontaminate, language_id, simhash_neardup, source_mix, token_blocks, topk_voronoi
 from sheaf.llm.common import documents
 
 
@@ -28,10 +28,15 @@ def op8_topk_voronoi(spark, sf_dir):
     return topk_voronoi.search_embeddings(spark, sf_dir)
 
 
+def op6_decontaminate(spark, sf_dir):
+    return decontaminate.find_leaks(spark, sf_dir)
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op3_simhash_neardup": op3_simhash_neardup,
     "op4_token_blocks": op4_token_blocks,
+    "op6_decontaminate": op6_decontaminate,
     "op8_topk_voronoi": op8_topk_voronoi,
     "op10_source_mix": op10_source_mix,
 }
