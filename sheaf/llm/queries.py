@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from sheaf.llm import decontaminate, language_id, simhash_neardup, source_mix, token_blocks, topk_voronoi
+from sheaf.llm import decontaminate, language_id, simhash_neardup, source_mix, token_blocks, topk_voronoi, toxicity_mil
 from sheaf.llm.common import documents
 
 
@@ -32,10 +32,15 @@ def op6_decontaminate(spark, sf_dir):
     return decontaminate.find_leaks(spark, sf_dir)
 
 
+def op5_toxicity_mil(spark, sf_dir):
+    return toxicity_mil.classify(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op3_simhash_neardup": op3_simhash_neardup,
     "op4_token_blocks": op4_token_blocks,
+    "op5_toxicity_mil": op5_toxicity_mil,
     "op6_decontaminate": op6_decontaminate,
     "op8_topk_voronoi": op8_topk_voronoi,
     "op10_source_mix": op10_source_mix,
