@@ -3,11 +3,11 @@
 A document is a bag of sentences. Each sentence gets a probability from its words, and the
 document's is their noisy-or, 1 - product(1 - p): one toxic sentence makes it toxic. Only
 documents have labels; the gradient of the noisy-or passes the blame to the sentences that
-explain them. The same sentence scores then locate what is offending.
+explain them. A word's features are itself and its first letters. The same sentence scores then locate what is offending.
 
 Training reads a bounded sample of labelled rows (``sample`` documents of each label, chosen
 by a hash of the id, whole texts). Spark counts the documents of each label in which a word
-occurs; the words that tell the labels apart best are the features, at most ``vocabulary``.
+occurs; the words and beginnings that tell the labels apart best are the features, at most ``vocabulary``.
 Sentences without such a word are only counted, and equal sentences of a document are
 merged, so that what reaches the driver is bounded by the sample and the vocabulary.
 
@@ -35,30 +35,48 @@ SENTENCE = regex.compile(r"[^.!?\n]+")
 WORD = regex.compile(r"[\p{L}\p{N}]+")
 
 
+PREFIXES = (5, 7)
+REMEMBER = 300_000
+
+
+def features(word: str) -> list[str]:
+    """The word, and the beginnings it shares with its relatives."""
+    return [word, *(word[:n] + "*" for n in PREFIXES if len(word) >= n)]
+
+
 @dataclasses.dataclass
 class SentenceModel:
     weights: dict[str, float]
     bias: float
     learned: bool = True
+    values: dict[str, float | None] = dataclasses.field(default_factory=dict)
+
+    def value(self, word: str) -> float | None:
+        """What a word adds to a sentence; None if it has no known feature."""
+        if word not in self.values:
+            if len(self.values) > REMEMBER:
+                self.values.clear()
+            known = [self.weights[feature] for feature in features(word) if feature in self.weights]
+            self.values[word] = sum(known) if known else None
+        return self.values[word]
 
     def sentences(self, text: str | None) -> Iterator[tuple[int, int, float]]:
         """(start, end, probability) of each sentence with a word."""
         for sentence in SENTENCE.finditer(text or ""):
             words = set(WORD.findall(sentence[0].lower()))
             if words:
-                total = self.bias + sum(self.weights[word] for word in words & self.weights.keys())
+                total = self.bias + sum(self.value(word) or 0.0 for word in words)
                 yield sentence.start(), sentence.end(), 1 / (1 + np.exp(-total))
 
     def score(self, text: str | None) -> float:
         if not self.learned:
             return 0.0
-        known = self.weights.keys()
         clean, rest = 0, 0.0
         for sentence in SENTENCE.findall((text or "").lower()):
             words = set(WORD.findall(sentence))
-            found = words & known
+            found = [value for value in map(self.value, words) if value is not None]
             if found:
-                rest -= np.logaddexp(0, self.bias + sum(map(self.weights.__getitem__, found)))
+                rest -= np.logaddexp(0, self.bias + sum(found))
             elif words:
                 clean += 1
         return float(-np.expm1(rest - clean * np.logaddexp(0, self.bias)))
@@ -115,7 +133,7 @@ def learn(
     def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for toxic, text in zip(batch.column("toxic").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                words = sorted(set(WORD.findall(text.lower())))
+                words = sorted({feature for word in set(WORD.findall(text.lower())) for feature in features(word)})
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.full(len(words), toxic, np.int32)), pa.array(words, pa.string())], ["toxic", "word"]
                 )
@@ -147,9 +165,13 @@ def learn(
             plain, bags = [], []
             for text in batch.column("text").to_pylist():
                 found = [set(WORD.findall(sentence)) for sentence in SENTENCE.findall(text.lower())]
-                kept = {tuple(sorted(place[word] for word in words & place.keys())) for words in found if words}
-                plain.append(sum(1 for words in found if words and not words & place.keys()))
-                bags.append(sorted(list(words) for words in kept if words))
+                known = [
+                    tuple(sorted(place[feature] for word in words for feature in features(word) if feature in place))
+                    for words in found
+                    if words
+                ]
+                plain.append(sum(1 for words in known if not words))
+                bags.append(sorted(map(list, {words for words in known if words})))
             arrays = [batch.column("toxic"), pa.array(plain, pa.int64()), pa.array(bags, pa.list_(pa.list_(pa.int32())))]
             yield pa.RecordBatch.from_arrays(arrays, ["toxic", "plain", "bags"])
 
