@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from sheaf.llm import decontaminate, language_id, simhash_neardup, source_mix, token_blocks, topk_voronoi, toxicity_mil
+from sheaf.llm import decontaminate, language_id, secret_scan, simhash_neardup, source_mix, token_blocks, topk_voronoi, toxicity_mil
 from sheaf.llm.common import documents
 
 
@@ -36,6 +36,10 @@ def op5_toxicity_mil(spark, sf_dir):
     return toxicity_mil.classify(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op9_secret_scan(spark, sf_dir):
+    return secret_scan.scan(documents(spark, sf_dir))
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op3_simhash_neardup": op3_simhash_neardup,
@@ -43,6 +47,7 @@ QUERIES = {
     "op5_toxicity_mil": op5_toxicity_mil,
     "op6_decontaminate": op6_decontaminate,
     "op8_topk_voronoi": op8_topk_voronoi,
+    "op9_secret_scan": op9_secret_scan,
     "op10_source_mix": op10_source_mix,
 }
 
