@@ -4,7 +4,18 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from sheaf.llm import decontaminate, language_id, secret_scan, simhash_neardup, source_mix, token_blocks, topk_voronoi, toxicity_mil
+from sheaf.llm import (
+    decontaminate,
+    language_id,
+    secret_scan,
+    sentence_spans,
+    simhash_neardup,
+    site_lines,
+    source_mix,
+    token_blocks,
+    topk_voronoi,
+    toxicity_mil,
+)
 from sheaf.llm.common import documents
 
 
@@ -40,18 +51,86 @@ def op9_secret_scan(spark, sf_dir):
     return secret_scan.scan(documents(spark, sf_dir))
 
 
+def op2_site_lines(spark, sf_dir):
+    return site_lines.clean_pages(spark, sf_dir)
+
+
+def op7_sentence_spans(spark, sf_dir):
+    return sentence_spans.dedupe(documents(spark, sf_dir))
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
+    "op2_site_lines": op2_site_lines,
     "op3_simhash_neardup": op3_simhash_neardup,
     "op4_token_blocks": op4_token_blocks,
     "op5_toxicity_mil": op5_toxicity_mil,
     "op6_decontaminate": op6_decontaminate,
+    "op7_sentence_spans": op7_sentence_spans,
     "op8_topk_voronoi": op8_topk_voronoi,
     "op9_secret_scan": op9_secret_scan,
     "op10_source_mix": op10_source_mix,
 }
 
+RULE_SPANS = """
+            SELECT doc_id, {rank} AS rank, '{kind}' AS kind, s, s + length(hit) AS e FROM (
+                SELECT doc_id, hits[i] AS hit, groups[i] AS part,
+                    list_sum(list_transform(pieces[1:i], lambda x: length(x)))::BIGINT
+                    + coalesce(list_sum(list_transform(hits[1:i-1], lambda x: length(x))), 0)::BIGINT AS s
+                FROM (
+                    SELECT doc_id, unnest(range(1, len(hits) + 1)) AS i, hits, groups, pieces FROM (
+                        SELECT doc_id, regexp_extract_all(text, '{pattern}', 0) AS hits,
+                            regexp_extract_all(text, '{pattern}', {group}) AS groups,
+                            regexp_split_to_array(text, '{pattern}') AS pieces
+                        FROM documents WHERE regexp_matches(text, '{pattern}')
+                    )
+                )
+            ) WHERE length(part) >= {least}
+"""
+RULES_SQL = " UNION ALL ".join(
+    RULE_SPANS.format(
+        rank=rank, kind=rule.kind, pattern=rule.pattern.replace("'", "''"), group=rule.group, least=rule.least
+    )
+    for rank, rule in enumerate(secret_scan.RULES)
+)
+
 ORACLES = {
+    "op2_site_lines": f"""
+        WITH split AS (
+            SELECT page_id, nullif(lower(regexp_extract(url, '{site_lines.HOST}', 1)), '') AS host,
+                list_filter(list_transform(string_split(coalesce(regexp_replace(regexp_replace(regexp_replace(
+                    html, '{site_lines.HIDDEN}', '', 'g'), '{site_lines.BLOCKS}', chr(10), 'g'), '{site_lines.TAGS}',
+                    '', 'g'), ''), chr(10)), lambda l: regexp_replace(l, '{site_lines.EDGES}', '', 'g')),
+                    lambda l: l <> '') AS lines
+            FROM pages
+        ), seen AS (SELECT page_id, host, unnest(list_distinct(lines)) AS line FROM split WHERE host IS NOT NULL),
+        totals AS (SELECT host, count(*) AS pages FROM split GROUP BY host),
+        boilerplate AS (
+            SELECT host, line FROM (SELECT host, line, count(*) AS n FROM seen GROUP BY ALL) JOIN totals USING (host)
+            WHERE n >= 3 AND n > 0.3::DOUBLE * pages
+        ), gone AS (
+            SELECT page_id, list(line) AS gone FROM seen JOIN boilerplate USING (host, line) GROUP BY page_id
+        ), kept AS (
+            SELECT page_id, host, lines, list_filter(lines, lambda l: NOT list_contains(coalesce(gone, []), l)) AS kept
+            FROM split LEFT JOIN gone USING (page_id)
+        )
+        SELECT page_id, host, len(lines)::INTEGER AS n_lines, (len(lines) - len(kept))::INTEGER AS n_dropped,
+            coalesce(array_to_string(kept, chr(10)), '') AS text
+        FROM kept
+    """,
+    "op9_secret_scan": f"""
+        WITH found AS ({RULES_SQL}),
+        per AS (
+            SELECT doc_id, count(*) FILTER (rank = 0) AS n_assign, count(*) FILTER (rank = 1) AS n_access,
+                count(*) FILTER (rank = 2) AS n_hex,
+                string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, rank) FILTER (rank < 3) AS base,
+                string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, rank) AS spans
+            FROM found GROUP BY doc_id
+        )
+        SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access,
+            coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+        FROM documents d LEFT JOIN per USING (doc_id)
+    """,
     "op8_topk_voronoi": """
         WITH v AS (
             SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
