@@ -13,7 +13,8 @@ joined back; a span that a third of all documents share is one row on its side,
 execution splits the other. Lists are collected per document only.
 
 Sentences end at line breaks and after full stops, exclamation or question marks that
-white space follows. They are compared in lower case with white space collapsed.
+white space follows; a run of more than ``LONG`` words without an end is parted after words
+chosen by their hash, so that the parts are the same wherever it stands. They are compared in lower case with white space collapsed.
 
 Defined results: null texts stay null, empty texts stay; a text with fewer than ``sentences``
 sentences or ``words`` words has no span. Rows with a null doc_id are left as they are and
@@ -36,15 +37,38 @@ from pyspark.sql import functions as F
 from sheaf.session import stored
 
 SENTENCE = regex.compile(r"[^\n]+?(?:[.!?]+(?=\s)|(?=\n)|\Z)\s*|\s+")
+WORD = regex.compile(r"\S+\s*")
+LONG = 40
+
+
+def sentences_of(text: str) -> list[tuple[int, int, bytes, int]]:
+    """(start, end, hash, words) of each sentence; a long one is parted after telling words."""
+    found = []
+    for match in SENTENCE.finditer(text):
+        if match[0].isspace():
+            continue
+        parts = match[0].lower().split()
+        if len(parts) <= LONG:
+            found.append((match.start(), match.end(), xxhash.xxh64_digest(" ".join(parts)), len(parts)))
+            continue
+        begin, held, digest = match.start(), 0, xxhash.xxh64()
+        for word in WORD.finditer(text, match.start(), match.end()):
+            small = word[0].strip().lower()
+            digest.update(small + " ")
+            held += 1
+            if xxhash.xxh32_intdigest(small) % 8 == 0 and held >= LONG // 4 or held == 2 * LONG:
+                found.append((begin, word.end(), digest.digest(), held))
+                begin, held, digest = word.end(), 0, xxhash.xxh64()
+        if held:
+            found.append((begin, match.end(), digest.digest(), held))
+    return found
 
 
 def spans(text: str, sentences: int, words: int) -> tuple[list[tuple[int, int]], list[tuple[int, int, int]]]:
     """The sentences (start, end) and the spans (hash, first sentence, end) of a text."""
-    found = [match.span() for match in SENTENCE.finditer(text) if not match[0].isspace()]
-    parts = [text[i:j].lower().split() for i, j in found]
-    hashes = [xxhash.xxh64_digest(" ".join(part)) for part in parts]
+    found = sentences_of(text)
+    hashes, sizes = [sentence[2] for sentence in found], [sentence[3] for sentence in found]
     out, end, held = [], 0, 0
-    sizes = [len(part) for part in parts]
     for first in range(len(found)):
         while end < len(found) and (held < words or end - first < sentences):
             held += sizes[end]
@@ -53,7 +77,7 @@ def spans(text: str, sentences: int, words: int) -> tuple[list[tuple[int, int]],
             break
         out.append((xxhash.xxh64_intdigest(b"".join(hashes[first:end])), first, end))
         held -= sizes[first]
-    return found, out
+    return [sentence[:2] for sentence in found], out
 
 
 def covered(n: int, spans_: list[tuple[int, int]]) -> np.ndarray:
@@ -94,7 +118,7 @@ def repeated(docs: DataFrame, sentences: int, words: int) -> DataFrame:
     )
 
 
-def dedupe(docs: DataFrame, sentences: int = 2, words: int = 15) -> DataFrame:
+def dedupe(docs: DataFrame, sentences: int = 2, words: int = 20) -> DataFrame:
     """doc_id, n_sentences, n_removed and the text without repeated spans, of every document."""
     joined = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     joined = joined.join(repeated(joined, sentences, words), "doc_id", "left")
