@@ -201,27 +201,25 @@ def learn(
 
 
 def predict(docs: DataFrame, model: LanguageFilter) -> DataFrame:
-    """``docs`` with lang_pred and score; reads nothing but text."""
+    """doc_id, lang_pred and score of every document; reads nothing but text."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    kept = [name for name in docs.columns if name not in ("lang_pred", "score")]
-    schema = docs.select(*kept).schema.add("lang_pred", "string").add("score", "double")
+    docs = docs.select("doc_id", "text")
+    schema = docs.select("doc_id").schema.add("lang_pred", "string").add("score", "double")
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             names, scores = shared.value.predict(batch.column("text").to_pylist())
-            arrays = [batch.column(name) for name in kept]
-            yield pa.RecordBatch.from_arrays(
-                [*arrays, pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*kept, "lang_pred", "score"]
-            )
+            arrays = [batch.column("doc_id"), pa.array(names, pa.string()), pa.array(scores, pa.float64())]
+            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "lang_pred", "score"])
 
-    return docs.select(*kept).mapInArrow(scored, schema)
+    return docs.mapInArrow(scored, schema)
 
 
 def identify(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred, score of every document; learned from rows not held out."""
     held_out = remainder(F.col("doc_id"), 3) == 1
     model = learn(docs.filter(~held_out))
-    scored = predict(docs.select("doc_id", "text"), model)
+    scored = predict(docs, model)
     return scored.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
@@ -235,6 +233,12 @@ def keep_known(docs: DataFrame, min_score: float = 0.2) -> DataFrame:
     model = learn(docs)
     if not model.languages:
         return docs.filter(F.col("text").rlike(r"\p{L}"))
-    flagged = predict(docs.select("*", F.lit(0).alias("_row")), model)
-    known = (F.col("lang_pred") != UNKNOWN) & (F.col("score") >= min_score)
-    return flagged.filter(known).select(*docs.columns)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names, scores = shared.value.predict(batch.column("text").to_pylist())
+            known = [name != UNKNOWN and score >= min_score for name, score in zip(names, scores, strict=True)]
+            yield batch.filter(pa.array(known, pa.bool_()))
+
+    return docs.mapInArrow(kept, docs.schema)

@@ -32,6 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sheaf.llm.common import free_name
 from sheaf.llm.components import components, local_roots
 from sheaf.session import stored
 
@@ -237,10 +238,9 @@ def keep_one(docs: DataFrame) -> DataFrame:
     One row stays even if ids repeat or are null (null counts as largest). Rows are written
     once with their fingerprints and a row number, chosen by these alone, and looked up by number.
     """
-    rows = stored(
-        with_fingerprints(docs, "_fp").withColumn("_row", F.monotonically_increasing_id()), "fingerprinted"
-    )
-    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("_row").alias("row"))
-    per_fp = stored(rows.groupBy(F.col("_fp").alias("fp")).agg(F.min(order).alias("first")), "distinct")
-    kept = labelled(per_fp).groupBy("label").agg(F.min("first").alias("first")).select(F.col("first.row").alias("_row"))
-    return rows.join(kept, "_row", "left_semi").select(*docs.columns)
+    fp, row = free_name(docs, "_fp"), free_name(docs, "_row")
+    rows = stored(with_fingerprints(docs, fp).withColumn(row, F.monotonically_increasing_id()), "fingerprinted")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col(row).alias("row"))
+    per_fp = stored(rows.groupBy(F.col(fp).alias("fp")).agg(F.min(order).alias("first")), "distinct")
+    kept = labelled(per_fp).groupBy("label").agg(F.min("first").alias("first")).select(F.col("first.row").alias(row))
+    return rows.join(kept, row, "left_semi").select(*docs.columns)

@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sheaf.llm.common import running_totals
+from sheaf.llm.common import free_name, running_totals
 from sheaf.session import stored
 
 WEIGHTS = (5, 2, 1)
@@ -126,9 +126,11 @@ def repeated(docs: DataFrame, **mixture) -> DataFrame:
 
     Rows are stored once with a number, so that rows which share an id stay apart.
     """
-    rows = stored(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
-    narrow = stored(rows.select("doc_id", "source", words(F.col("text")).alias("size"), "_row"), "sizes")
-    taken, _ = repeats(narrow, row="_row", **mixture)
-    times = taken.filter("times > 0").select("_row", "times")
-    copies = F.explode(F.sequence(F.lit(1).cast("long"), F.col("times")))
-    return rows.join(times, "_row").select(*docs.columns, copies.alias("_copy")).drop("_copy")
+    row, times, copy = (free_name(docs, name) for name in ("_row", "_times", "_copy"))
+    rows = stored(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    size = words(F.col("text")).alias("size")
+    narrow = stored(rows.select("doc_id", "source", size, F.col(row).alias("row")), "sizes")
+    taken, _ = repeats(narrow, row="row", **mixture)
+    taken = taken.filter("times > 0").select(F.col("row").alias(row), F.col("times").alias(times))
+    copies = F.explode(F.sequence(F.lit(1).cast("long"), F.col(times)))
+    return rows.join(taken, row).select(*docs.columns, copies.alias(copy)).drop(copy)
