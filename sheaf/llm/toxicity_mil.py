@@ -128,7 +128,8 @@ def learn(
     share = F.when(F.col("toxic") == 1, sample / sizes[1]).otherwise(sample / sizes[0])
     # About ``sample`` ids for each label: bounded, whatever the number of documents.
     chosen = marked.filter(drawn < share)
-    known = stored(docs.join(F.broadcast(chosen), "doc_id").filter("text IS NOT NULL").select("toxic", "text"), "sample")
+    texts = docs.select("doc_id", "text").filter("text IS NOT NULL")
+    known = stored(texts.join(F.broadcast(chosen), "doc_id").select("toxic", "text"), "sample")
 
     def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
