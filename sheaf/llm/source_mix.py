@@ -78,7 +78,7 @@ def repeats(
         .withColumn("drawn", F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("source")))
         .withColumn("slice", F.shiftrightunsigned("drawn", 64 - slices.bit_length() + 1).cast("int"))
     )
-    rate = F.col("target") / F.col("source_size")
+    rate = F.col("target") / F.nullif(F.col("source_size"), F.lit(0).cast("long"))
     sources = plan.select(
         key.alias("key"),
         "source_size",
