@@ -1,15 +1,17 @@
+import json
 from datetime import datetime
 
 import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
-from sheaf import schemas
+from sheaf import schemas, session
 from sheaf.functions import text
 from sheaf.operators import quality, tables
 from sheaf.plans import ingest
 from sheaf.settings import OBJECT_FINALIZED, ChunkKnobs, EmbedKnobs
 from sheaf.sources import objects
-from sheaf.sources.store import Store, batch_version
+from sheaf.sources.store import Store
 from sheaf.streaming.ingest import ingest_batch, start_ingest
 
 KNOBS = ingest.IngestKnobs(chunk=ChunkKnobs(20, 5), embed=EmbedKnobs(dim=8))
@@ -104,7 +106,7 @@ def test_batches_replays_failures_and_deletes(spark, tmp_path):
         event("note.txt", 1, "no"),
         event("", 1, "no"),
     )
-    results = ingest_batch(first, store, batch_version(0), KNOBS)
+    results = ingest_batch(first, store, KNOBS, batch_id=0)
     outcome = {r.gcs_uri: (r.num_pages, r.num_chunks, r.skipped, r.reason) for r in results.collect()}
     assert outcome == {
         "gs://b/x/a.pdf": (1, 1, False, ""),
@@ -139,7 +141,7 @@ def test_batches_replays_failures_and_deletes(spark, tmp_path):
         spark, event("b.PDF", 3, "\f"), event("x/a.pdf", 1, "stale"), event("new.pdf", 3, "new")
     )
     for _ in range(2):  # the second run is a replay of the same batch
-        ingest_batch(second, store, batch_version(1), KNOBS)
+        ingest_batch(second, store, KNOBS, batch_id=1)
         docs, chunks = state(store)
         assert docs["b.PDF"].status == "failed" and chunks["b.PDF"] == ["only b", "page two"]
         assert chunks["a.pdf"] == ["second text of a"] and docs["a.pdf"].uploaded_at == uploaded
@@ -147,15 +149,15 @@ def test_batches_replays_failures_and_deletes(spark, tmp_path):
         assert store.events().count() == 7 + 4
 
     third = event_frame(spark, event("b.PDF", 4, "b is back"))
-    ingest_batch(third, store, batch_version(2), KNOBS)
+    ingest_batch(third, store, KNOBS, batch_id=2)
     docs, chunks = state(store)
     assert chunks["b.PDF"] == ["b is back"] and docs["b.PDF"].status == "completed"
 
-    # a replay of an old batch reads its parents only
-    assert store.documents(below=batch_version(1)).count() == 3
+    # a replay of an old batch changes nothing
+    assert ingest_batch(first, store, KNOBS, batch_id=0) is None
     before = state(store)
     version = store.compact()
-    assert store.published() == (version, version)
+    assert store.published() == version
     after = state(store)
     assert after[1] == before[1] and {n: d.status for n, d in after[0].items()} == {
         n: d.status for n, d in before[0].items()
@@ -175,7 +177,7 @@ def test_batches_replays_failures_and_deletes(spark, tmp_path):
     assert quality.duplicate_keys(store.chunks(), "document_id", "chunk_index").count() == 0
 
     # uploading a deleted object again makes a new document
-    ingest_batch(event_frame(spark, event("x/a.pdf", 9, "a again")), store, batch_version(3), KNOBS)
+    ingest_batch(event_frame(spark, event("x/a.pdf", 9, "a again")), store, KNOBS, batch_id=3)
     docs, chunks = state(store)
     assert chunks["a.pdf"] == ["a again"] and docs["a.pdf"].uploaded_at > uploaded
     listed = [r.table for r in store.tables().select("table").distinct().orderBy("table").collect()]
@@ -184,12 +186,66 @@ def test_batches_replays_failures_and_deletes(spark, tmp_path):
 
 def test_uncommitted_versions_stay_unseen(spark, tmp_path):
     store = Store(spark, str(tmp_path))
-    ingest_batch(event_frame(spark, event("a.pdf", 1, "one")), store, batch_version(0), KNOBS)
-    orphan = store.documents().withColumn("status", F.lit("failed"))
-    store.write("documents", batch_version(1), orphan)
+    ingest_batch(event_frame(spark, event("a.pdf", 1, "one")), store, KNOBS)
+    attempt = store.new_attempt()
+    store.write("documents", attempt, store.documents().withColumn("status", F.lit("failed")))
     assert store.documents().first().status == "completed"
-    store.commit(batch_version(1))
+    store.commit(attempt)
     assert store.documents().first().status == "failed"
+    with pytest.raises(AnalysisException):  # what is written is never written again
+        store.write("documents", attempt, store.documents())
+
+
+def test_streams_of_their_own_keep_each_other_s_rows(spark, tmp_path):
+    """Two checkpoints, one of them new, into one store."""
+    store = Store(spark, str(tmp_path / "store"))
+    for name, events in (("one", ["a.pdf", "b.pdf"]), ("two", ["c.pdf"]), ("one", ["d.pdf"])):
+        uploads = str(tmp_path / f"uploads-{name}")
+        frame = event_frame(spark, *(event(e, 1, f"text of {e}") for e in events))
+        frame.coalesce(1).write.mode("append").parquet(uploads)
+        stream = spark.readStream.schema(frame.schema).parquet(uploads)
+        start_ingest(stream, store, str(tmp_path / f"checkpoint-{name}"), KNOBS).awaitTermination()
+    docs, chunks = state(store)
+    assert set(docs) == {"a.pdf", "b.pdf", "c.pdf", "d.pdf"} and chunks["c.pdf"] == ["text of c.pdf"]
+    assert store.published() == 3
+
+
+def test_deletes_and_compactions_next_to_batches(spark, tmp_path):
+    store = Store(spark, str(tmp_path))
+    ingest_batch(event_frame(spark, event("a.pdf", 1, "one"), event("b.pdf", 1, "bee")), store, KNOBS, batch_id=0)
+    store.delete_documents(store.documents().filter("filename = 'a.pdf'").select("id"))
+    ingest_batch(event_frame(spark, event("c.pdf", 1, "see")), store, KNOBS, batch_id=1)
+    assert set(state(store)[0]) == {"b.pdf", "c.pdf"}
+
+    # a batch that commits while a compaction runs stays beside it
+    commit = store.commit
+
+    def late(attempt, *more, **named):
+        store.commit = commit
+        ingest_batch(event_frame(spark, event("d.pdf", 1, "dee"), event("b.pdf", 2, "bee two")), store, KNOBS, batch_id=2)
+        return commit(attempt, *more, **named)
+
+    store.commit = late
+    store.compact()
+    docs, chunks = state(store)
+    assert set(docs) == {"b.pdf", "c.pdf", "d.pdf"}
+    assert chunks == {"b.pdf": ["bee two"], "c.pdf": ["see"], "d.pdf": ["dee"]}
+    store.compact()
+    assert state(store)[1] == chunks
+    store.delete_documents(store.documents().filter("filename = 'c.pdf'").select("id"))
+    assert set(state(store)[0]) == {"b.pdf", "d.pdf"}
+
+
+def test_store_when_nothing_may_be_broadcast(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(session, "BROADCAST_ROWS", 0)
+    store = Store(spark, str(tmp_path))
+    batch = event_frame(spark, event("a.pdf", 1, "one"), event("a.pdf", 1, "one"), event("b.pdf", 1, "bee"))
+    ingest_batch(batch, store, KNOBS)
+    ingest_batch(event_frame(spark, event("a.pdf", 2, "two")), store, KNOBS)
+    store.delete_documents(store.documents().filter("filename = 'b.pdf'").select("id"))
+    assert state(store)[1] == {"a.pdf": ["two"]}
+    durations = [json.loads(r.payload).get("duration_ms") for r in store.events().filter("event_type = 'completed'").collect()]
+    assert len(durations) == 2 and all(d >= 0 for d in durations)
 
 
 def test_model_failure_fails_the_document_only(spark, tmp_path):
@@ -203,7 +259,7 @@ def test_model_failure_fails_the_document_only(spark, tmp_path):
     )
     store = Store(spark, str(tmp_path))
     batch = event_frame(spark, event("a.pdf", 1, "fine"), event("b.pdf", 1, "ok\fpoison"))
-    ingest_batch(batch, store, batch_version(0), knobs)
+    ingest_batch(batch, store, knobs)
     docs, chunks = state(store)
     assert docs["a.pdf"].status == "completed" and chunks["a.pdf"] == ["fine"]
     assert (docs["b.pdf"].status, docs["b.pdf"].error) == ("failed", ingest.NO_VECTORS)
@@ -220,7 +276,7 @@ def test_events_are_best_effort(spark, tmp_path, monkeypatch):
         write(table, version, rows)
 
     monkeypatch.setattr(store, "write", failing)
-    ingest_batch(event_frame(spark, event("a.pdf", 1, "one")), store, batch_version(0), KNOBS)
+    ingest_batch(event_frame(spark, event("a.pdf", 1, "one")), store, KNOBS, batch_id=0)
     assert store.documents().first().status == "completed"
 
 
@@ -233,7 +289,7 @@ def test_stream_restarts_where_it_stopped(spark, tmp_path):
         start_ingest(stream, store, str(tmp_path / "checkpoint"), KNOBS).awaitTermination()
     docs, chunks = state(store)
     assert chunks == {"a.pdf": ["two"], "c.pdf": ["see"]}
-    assert store.published()[0] == batch_version(1)
+    assert store.published() == 2
 
 
 def test_binary_files_as_objects(spark, tmp_path):
@@ -256,7 +312,7 @@ def test_binary_files_as_objects(spark, tmp_path):
     full, empty = objects.split_empty(filled)
     assert [r.name for r in full.collect()] == ["a.pdf"] and empty.count() == 2
     by_event = Store(spark, str(tmp_path / "by_event"))
-    ingest_batch(events, by_event, batch_version(0), KNOBS, contents=objects.contents_under(str(root)))
+    ingest_batch(events, by_event, KNOBS, contents=objects.contents_under(str(root)))
     assert [r.gcs_uri for r in by_event.documents().collect()] == ["gs://raw/a.pdf"]
     assert by_event.events().filter(F.col("message") == ingest.EMPTY_OBJECT).count() == 2
 
