@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sheaf.functions import terms
-from sheaf.operators.vectors import topk_per_question
+from sheaf.operators.vectors import topk_per_question, write_by_size
 from sheaf.session import broadcast_if_small, stored
 from sheaf.settings import BROADCAST_ROWS
 
@@ -30,30 +30,31 @@ def postings(corpus: DataFrame, text_col: str = "content") -> DataFrame:
     )
 
 
-def write_postings(rows: DataFrame, path: str, buckets: int = 64, salts: int = 8) -> None:
+def write_postings(rows: DataFrame, path: str, rows_per_file: int = 2_000_000) -> None:
     """Store postings by ``bucket`` of the term, sorted by term within each file.
 
-    A frequent term's rows are dealt over ``salts`` files by their chunk.
+    There are about as many buckets as files of that size, and a bucket with a frequent
+    term is dealt over files by chunk. The folder above the buckets keeps their number.
     """
-    (
-        rows.withColumn("bucket", term_bucket(F.col("term"), buckets))
-        .withColumn("salt", F.pmod(F.xxhash64("chunk_id"), F.lit(salts)))
-        .repartition("bucket", "salt")
-        .sortWithinPartitions("bucket", "term", "chunk_id", "pos")
-        .drop("salt")
-        .write.partitionBy("bucket")
-        .parquet(path)
-    )
+    rows = stored(rows, "postings")
+    buckets = max(1, -(-rows.count() // rows_per_file))
+    rows = rows.withColumn("bucket", term_bucket(F.col("term"), buckets))
+    order = ("term", "chunk_id", "pos")
+    write_by_size(rows, "bucket", F.xxhash64("chunk_id"), f"{path}/buckets={buckets}", rows_per_file, *order)
 
 
-def read_postings(spark: SparkSession, path: str, clauses: DataFrame, buckets: int = 64) -> DataFrame:
+def read_postings(spark: SparkSession, path: str, clauses: DataFrame) -> DataFrame:
     """Stored postings, only the buckets that the clauses' terms fall in.
 
-    The filter is on the partition column, so other directories are not read.
+    ``bucket`` is a partition column, so other directories are not read.
     """
-    needed = clauses.select(term_bucket(F.col("term"), buckets).alias("bucket")).distinct()
-    numbers = [row["bucket"] for row in needed.collect()]  # at most ``buckets``
-    return spark.read.parquet(path).filter(F.col("bucket").isin(numbers)).drop("bucket")
+    rows = spark.read.parquet(path)
+    buckets = rows.select("buckets").first()
+    if buckets is None:
+        return rows.drop("bucket", "buckets")
+    needed = clauses.select(term_bucket(F.col("term"), buckets[0]).alias("bucket")).distinct()
+    needed = needed.filter("bucket >= 0")  # true of all; Spark prunes folders only by a filtered side
+    return rows.join(F.broadcast(needed), "bucket", "left_semi").drop("bucket", "buckets")  # one row per folder
 
 
 def term_bucket(term: Column, buckets: int) -> Column:

@@ -65,52 +65,68 @@ def vector_topk_cells(
     return _search(rows, questions, probing(), k)
 
 
-def train_cells(
-    corpus: DataFrame, n_cells: int, max_rows: int = 200_000, max_iter: int = 10, seed: int = 7
-) -> np.ndarray:
-    """Centroids of ``n_cells`` cells, from at most about ``max_rows`` training rows."""
+def train_cells(corpus: DataFrame, n_cells: int, max_iter: int = 10, seed: int = 7) -> np.ndarray:
+    """Centroids of ``n_cells`` cells, trained on all rows; their unit vectors are stored once."""
     rows = corpus.select("embedding").filter(_length("embedding") > 0)
-    total = rows.count()
-    if total > max_rows:
-        rows = rows.sample(max_rows / total, seed=seed)
     scale = _length("embedding")
     unit = F.transform("embedding", lambda x: x.cast("double") / scale)
-    features = rows.select(array_to_vector(unit).alias("features")).persist()  # bounded above
-    try:
-        model = KMeans(k=n_cells, seed=seed, maxIter=max_iter).fit(features)
-    finally:
-        features.unpersist()
-    return np.array(model.clusterCenters())
+    features = stored(rows.select(array_to_vector(unit).alias("features")), "units")
+    return np.array(KMeans(k=n_cells, seed=seed, maxIter=max_iter).fit(features).clusterCenters())
 
 
 def assign_cells(corpus: DataFrame, centroids: np.ndarray) -> DataFrame:
-    """Add the number of the closest centroid as ``cell``, in one pass."""
-    if centroids.nbytes > BROADCAST_BYTES:
-        raise ValueError(f"{centroids.nbytes} bytes of centroids exceed {BROADCAST_BYTES}")
-    unit_centroids = _unit(np.asarray(centroids, dtype=np.float64))[0]
-    shared = corpus.sparkSession.sparkContext.broadcast(unit_centroids)
-
-    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in batches:
-            if len(batch) == 0:
-                yield pa.array([], pa.int32())
-                continue
-            unit, _ = _unit(_matrix(batch, shared.value.shape[1]))
-            yield pa.array(np.argmax(unit @ shared.value.T, axis=1), pa.int32())
+    """Add the number of the closest centroid as ``cell``, in one pass.
 
-    run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
-    return corpus.withColumn("cell", F.arrow_udf(run, T.IntegerType())("embedding"))
+    Centroids are scored in blocks of at most BROADCAST_BYTES, each of which hands on
+    the best score so far, so there may be any number of them.
+    """
+    unit_centroids = _unit(np.asarray(centroids, dtype=np.float64))[0]
+    per_block = max(1, BROADCAST_BYTES // (8 * unit_centroids.shape[1]))
+    best = F.struct(F.lit(-np.inf).alias("score"), F.lit(-1).alias("cell"))
+    for first in range(0, len(unit_centroids), per_block):
+        block = corpus.sparkSession.sparkContext.broadcast(unit_centroids[first : first + per_block])
+        best = _nearest(block, first)("embedding", best)
+    return corpus.withColumn("cell", best["cell"])
+
+
+def _nearest(shared, first: int):
+    """The better of the best cell so far and the nearest of a block of centroids."""
+
+    def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for vectors, best in batches:
+            scores, cells = (np.asarray(best.field(name)) for name in ("score", "cell"))
+            if len(vectors):
+                unit, _ = _unit(_matrix(vectors, shared.value.shape[1]))
+                product = unit @ shared.value.T
+                nearest = product.argmax(axis=1)
+                score = product[np.arange(len(product)), nearest]
+                cells = np.where(score > scores, nearest + first, cells)
+                scores = np.maximum(scores, score)
+            arrays = [pa.array(scores, pa.float64()), pa.array(cells, pa.int32())]
+            yield pa.StructArray.from_arrays(arrays, ["score", "cell"])
+
+    kind = Iterator[tuple[pa.Array, pa.Array]]
+    run.__annotations__ = {"batches": kind, "return": Iterator[pa.Array]}
+    return F.arrow_udf(run, "score double, cell int")
 
 
 def write_cells(cells: DataFrame, path: str, rows_per_file: int = 500_000) -> None:
     """Store a corpus partitioned by cell, each cell spread over files by its own size."""
-    sizes = cells.groupBy("cell").agg(F.ceil(F.count("*") / rows_per_file).alias("files"))
+    write_by_size(stored(cells, "cells"), "cell", F.xxhash64("chunk_id"), path, rows_per_file)
+
+
+def write_by_size(rows: DataFrame, key: str, row_hash: Column, path: str, rows_per_file: int, *order: str) -> None:
+    """Write ``rows``, a stored table, partitioned by ``key``, each key's rows over files by its size."""
+    sizes = rows.groupBy(key).agg(F.ceil(F.count("*") / rows_per_file).alias("files"))
     spread = (
-        cells.join(F.broadcast(sizes), "cell")  # one row per centroid
-        .withColumn("file", F.pmod(F.xxhash64("chunk_id"), F.col("files")))
+        rows.join(F.broadcast(sizes), key)  # one row per folder
+        .withColumn("file", F.pmod(row_hash, F.col("files")))
         .drop("files")
+        .repartition(key, "file")
     )
-    spread.repartition("cell", "file").drop("file").write.partitionBy("cell").parquet(path)
+    if order:
+        spread = spread.sortWithinPartitions(key, *order)
+    spread.drop("file").write.partitionBy(key).parquet(path)
 
 
 def recall(found: DataFrame, exact: DataFrame) -> DataFrame:

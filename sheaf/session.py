@@ -58,13 +58,16 @@ def ship(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, as named by ``spark.checkpoint.dir``.
 
-    Only a session without that setting (a local test) gets a folder of its own.
+    A local session without that setting gets a folder of its own; on a cluster, where
+    executors would each write to their own disk, its absence is an error.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
         "spark.checkpoint.dir"
     )
     if configured:
         return configured.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or "cluster" in spark.sparkContext.master:
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     own = tempfile.mkdtemp(prefix="sheaf-")
     spark.conf.set("spark.checkpoint.dir", own)
     return own

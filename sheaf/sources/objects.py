@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sheaf.schemas import QUESTIONS
-from sheaf.session import broadcast_if_small
 
 
 def read_objects(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
@@ -39,7 +40,7 @@ def _files(reader, glob: str):
     )
 
 
-def _as_objects(files: DataFrame, root: str, *others: str) -> DataFrame:
+def _as_objects(files: DataFrame, root: str) -> DataFrame:
     folder = re.sub(r"^[A-Za-z][\w+.-]*:(//[^/]*)?", "", root).rstrip("/") + "/"
     start = F.locate(folder, F.col("path")) + len(folder)
     return files.select(
@@ -48,29 +49,42 @@ def _as_objects(files: DataFrame, root: str, *others: str) -> DataFrame:
         "content",
         F.col("length").alias("size"),
         F.col("modificationTime").alias("event_time"),
-        *others,
     )
 
 
-def contents_under(root: str, max_paths: int = 10_000) -> Callable[[DataFrame], DataFrame]:
+def contents_under(root: str, held_bytes: int = 32 << 20) -> Callable[[DataFrame], DataFrame]:
     """A function that adds ``content`` to events of objects stored under ``root``.
 
-    The folder is listed without reading files, and only the files the events name
-    are opened. Objects that are missing or empty get a null content. A batch of
-    more than ``max_paths`` objects reads the folder as a whole instead.
+    Tasks open the files that their events name, by name, so nothing is listed, names may
+    hold any characters, and a batch may have any size. Objects that are missing, empty
+    or of another bucket get a null content. About ``held_bytes`` are held at once.
     """
-
-    def add(events: DataFrame) -> DataFrame:
-        files = _files(events.sparkSession.read, "*").load(root)
-        named = _as_objects(files, root, "path").select("bucket", "name", "path")
-        wanted = named.join(broadcast_if_small(events.select("bucket", "name")), ["bucket", "name"])
-        paths = [row["path"] for row in wanted.select("path").limit(max_paths + 1).collect()]
-        if len(paths) <= max_paths:
-            files = _files(events.sparkSession.read, "*").load(paths) if paths else files.limit(0)
-        found = _as_objects(files, root).select("bucket", "name", "content")
-        return events.join(found, ["bucket", "name"], "left")
-
-    return add
+    bucket = root.rstrip("/").rsplit("/", 1)[-1]
+
+    def read(files: fs.FileSystem, base: str, of_bucket: str | None, name: str | None) -> bytes | None:
+        if of_bucket != bucket or not name or ".." in name.split("/"):
+            return None
+        try:
+            with files.open_input_stream(f"{base.rstrip('/')}/{name}", compression=None) as stream:
+                return stream.read() or None
+        except FileNotFoundError:
+            return None
+
+    def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, base = fs.FileSystem.from_uri(root)
+        for batch in batches:
+            first, contents, size = 0, [], 0
+            for i, named in enumerate(batch.select(["bucket", "name"]).to_pylist()):
+                contents.append(read(files, base, named["bucket"], named["name"]))
+                size += len(contents[-1] or b"")
+                if size > held_bytes or i == batch.num_rows - 1:
+                    part = batch.slice(first, len(contents))
+                    yield pa.RecordBatch.from_arrays(
+                        [*part.columns, pa.array(contents, pa.binary())], [*batch.schema.names, "content"]
+                    )
+                    first, contents, size = i + 1, [], 0
+
+    return lambda events: events.mapInArrow(opened, events.select("*").schema.add("content", "binary"))
 
 
 def split_empty(objects: DataFrame) -> tuple[DataFrame, DataFrame]:

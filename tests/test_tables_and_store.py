@@ -302,13 +302,20 @@ def test_binary_files_as_objects(spark, tmp_path):
     found = {r.name: (r.bucket, r.size) for r in rows.collect()}
     assert found == {"a.pdf": ("raw", 5), "sub/raw/c.pdf": ("raw", 3)}
 
-    named = [event(n, 1, None, bucket="raw") for n in ("a.pdf", "sub/raw/b.pdf", "gone.pdf")]
-    events = event_frame(spark, *named).drop("content")
-    for max_paths in (10, 0):
-        filled = objects.contents_under(str(root), max_paths)(events)
-        assert {r.name: r.content and bytes(r.content) for r in filled.collect()} == {
-            "a.pdf": b"hello", "sub/raw/b.pdf": None, "gone.pdf": None,
-        }
+    odd = ["x{1}.pdf", "report[1].pdf", "a*b ?.pdf", "sp ace.pdf"]
+    for name in odd:
+        (root / name).write_bytes(name.encode())
+    (root / "report1.pdf").write_bytes(b"another")
+    missing = ["sub/raw/b.pdf", "gone.pdf", "../raw/a.pdf"]
+    frame = event_frame(spark, *(event(n, 1, None, bucket="raw") for n in ["a.pdf", *odd, *missing])).drop("content")
+    for held in (1, 1 << 20):
+        filled = objects.contents_under(str(root), held)(frame)
+        contents = {r.name: r.content and bytes(r.content) for r in filled.collect()}
+        assert contents == {"a.pdf": b"hello"} | {n: n.encode() for n in odd} | dict.fromkeys(missing)
+    events = frame.filter(F.col("name").isin("a.pdf", "sub/raw/b.pdf", "gone.pdf"))
+    filled = objects.contents_under(str(root))(events)
+    for name in [*odd, "report1.pdf"]:
+        (root / name).unlink()
     full, empty = objects.split_empty(filled)
     assert [r.name for r in full.collect()] == ["a.pdf"] and empty.count() == 2
     by_event = Store(spark, str(tmp_path / "by_event"))
