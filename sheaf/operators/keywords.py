@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
+from itertools import islice
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -184,10 +187,14 @@ def occurrences(rows: DataFrame, clauses: DataFrame) -> DataFrame:
     Hits are spread by question and chunk once, whatever the frequency of a term,
     and every later step keeps that partitioning.
     """
+    return complete(hits(rows, clauses))
+
+
+def complete(found: DataFrame) -> DataFrame:
+    """The hits of words, and of phrases that are there in full."""
     occurrence = Window.partitionBy("query_id", "chunk_id", "grp", "clause", "start")
     return (
-        hits(rows, clauses)
-        .withColumn("start", F.col("pos") - F.col("offset"))
+        found.withColumn("start", F.col("pos") - F.col("offset"))
         .drop("term", "offset", "n_group")
         .repartition("query_id", "chunk_id")
         .withColumn("n_found", F.count("*").over(occurrence))
@@ -200,11 +207,11 @@ def match(rows: DataFrame, clauses: DataFrame) -> DataFrame:
     """``(query_id, chunk_id, score)`` of every chunk that satisfies a question.
 
     A group needs all its wanted clauses and none of its excluded ones, and one
-    group is enough. Groups that only exclude match nothing. The score adds up
-    the cover density of the groups that match.
+    group is enough. The score adds up the cover density of the groups that match.
+    Groups that only exclude are left to ``let_through``.
     """
     excluded = F.col("negated")
-    clauses = stored(clauses, "clauses")
+    clauses = stored(clauses.filter("n_required > 0"), "clauses")
     groups = (
         occurrences(rows, clauses)
         .groupBy("query_id", "chunk_id", "grp")
@@ -267,7 +274,67 @@ def _let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def keyword_topk(rows: DataFrame, clauses: DataFrame, k: int) -> DataFrame:
-    """Best ``k`` matching chunks per question: ``(query_id, chunk_id, score, rank)``."""
-    scored = match(rows, clauses).withColumn("score", F.round("score", DIGITS))
+def let_through(rows: DataFrame, clauses: DataFrame, chunks: DataFrame, k: int, at_once: int = 1000) -> DataFrame:
+    """``(query_id, chunk_id, score)``: for each group that only excludes, the ``k`` smallest
+    chunk ids it lets through, with score 0.
+
+    Each task goes through its chunks once and keeps ``k`` ids per group, so no list of all
+    that pass is made or sorted. Groups are handled ``at_once`` per pass.
+    """
+    only = stored(clauses.filter("n_required = 0"), "only_excluding")
+    groups = only.select("query_id", "grp").distinct()
+    schema = only.select("query_id").schema.add(chunks.schema["chunk_id"])
+    found = rows.sparkSession.createDataFrame([], schema)
+    asked, part = groups.toLocalIterator(), []
+    while part := [tuple(row) for row in islice(asked, at_once)]:
+        number = {group: i for i, group in enumerate(part)}
+        numbered = rows.sparkSession.createDataFrame(
+            [(*group, i) for group, i in number.items()], groups.schema.add("number", "integer")
+        )
+        wanted = only.join(F.broadcast(numbered), ["query_id", "grp"])  # at most at_once groups
+        gone = (
+            complete(rows.join(F.broadcast(wanted), "term"))
+            .groupBy("chunk_id")
+            .agg(F.collect_set("number").alias("gone"))
+        )
+        passed = chunks.select("chunk_id").join(gone, "chunk_id", "left").mapInArrow(
+            _smallest(len(part), k), chunks.select("chunk_id").schema.add("number", "integer")
+        )
+        found = found.unionByName(passed.join(F.broadcast(numbered), "number").select("query_id", "chunk_id"))
+    return found.distinct().withColumn("score", F.lit(0.0))
+
+
+def _smallest(n_groups: int, k: int):
+    """The ``k`` smallest chunk ids of a task for each group, without those it excludes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: list[list] = [[] for _ in range(n_groups)]
+        kind = None
+        for batch in batches:
+            kind = batch.schema.field("chunk_id").type
+            ids = batch.column("chunk_id").to_pylist()
+            gone = [set(found or ()) for found in batch.column("gone").to_pylist()]
+            order = sorted(range(len(ids)), key=ids.__getitem__)
+            for number, kept in enumerate(best):
+                fresh = list(islice((ids[i] for i in order if number not in gone[i]), k))
+                kept[:] = sorted(kept + fresh)[:k]
+        rows = [(chunk, number) for number, kept in enumerate(best) for chunk in kept]
+        if rows:
+            chunks, numbers = zip(*rows, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(chunks, kind), pa.array(numbers, pa.int32())], ["chunk_id", "number"])
+
+    return run
+
+
+def keyword_topk(rows: DataFrame, clauses: DataFrame, k: int, chunks: DataFrame | None = None) -> DataFrame:
+    """Best ``k`` matching chunks per question: ``(query_id, chunk_id, score, rank)``.
+
+    With ``chunks`` (``chunk_id``), groups that only exclude words match all chunks
+    without them, with score 0; a question's first ``k`` of these are by ``chunk_id``.
+    """
+    scored = match(rows, clauses)
+    if chunks is not None:
+        scored = scored.unionByName(let_through(rows, clauses, chunks, k))
+        scored = scored.groupBy("query_id", "chunk_id").agg(F.sum("score").alias("score"))
+    scored = scored.withColumn("score", F.round("score", DIGITS))
     return topk_per_question(scored, k, F.desc("score"), F.asc("chunk_id"))

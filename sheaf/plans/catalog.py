@@ -7,6 +7,7 @@ follows its quality label. ``oracles.py`` states the same queries in SQL.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,6 +47,9 @@ KEYWORD_QUESTIONS = {
 }
 
 
+EXCLUDING = ("-the -of", "thatin OR -der", '-"de la" OR -und -que')
+
+
 def stamp(value: str):
     return F.lit(value).cast("timestamp")
 
@@ -354,6 +358,24 @@ def vector_topk_ivf_all(spark, sf):
     return rounded(cell_search(spark, sf, 16, 16))
 
 
+def mean_cells(spark, sf):
+    """The cells of the labels' means, stored; the three nearest of a question are searched."""
+    rows, questions = stored_vectors(spark, sf), label_questions(spark, sf)
+    means = np.array([row["embedding"] for row in questions.orderBy("query_id").collect()])  # one per label
+    path = scratch_path(spark, "cells")
+    vectors.write_cells(vectors.assign_cells(rows, means), path)
+    return vectors.vector_topk_cells(read_table(spark, path), means, questions, TOP_K, 3)
+
+
+def vector_topk_means(spark, sf):
+    return rounded(mean_cells(spark, sf))
+
+
+def recall_means(spark, sf):
+    exact = vectors.vector_topk(stored_vectors(spark, sf), label_questions(spark, sf), TOP_K)
+    return vectors.recall(mean_cells(spark, sf), exact)
+
+
 def recall_at_k(spark, sf):
     exact = vectors.vector_topk(stored_vectors(spark, sf), label_questions(spark, sf), TOP_K)
     return vectors.recall(cell_search(spark, sf, 16, 8), exact)
@@ -407,6 +429,14 @@ def keyword_topk(spark, sf):
     return found.withColumn("score", F.round("score", 6))
 
 
+def keyword_only_not(spark, sf):
+    """Questions with groups that only exclude: what they let through comes in id order."""
+    rows = stored(stride_chunks(spark, sf), "chunks")
+    clauses = keywords.query_clauses(fixed_questions(spark, *EXCLUDING))
+    found = keywords.keyword_topk(stored(keywords.postings(rows), "postings"), clauses, TOP_K, rows)
+    return found.withColumn("score", F.round("score", 6))
+
+
 def keyword_batch(spark, sf):
     clauses = keywords.query_clauses(benchmark_questions(spark, sf))
     found = keywords.keyword_topk(posted(spark, sf), clauses, TOP_K)
@@ -677,6 +707,8 @@ QUERIES = {
     "vector_topk_ivf": vector_topk_ivf,
     "vector_topk_ivf_all": vector_topk_ivf_all,
     "recall_at_k": recall_at_k,
+    "vector_topk_means": vector_topk_means,
+    "recall_means": recall_means,
     "cosine_to_mean": cosine_to_mean,
     "postings": chunk_postings,
     "query_clauses": query_clauses,
@@ -684,6 +716,7 @@ QUERIES = {
     "keyword_any": keyword_query("keyword_any"),
     "keyword_phrase": keyword_query("keyword_phrase"),
     "keyword_not": keyword_query("keyword_not"),
+    "keyword_only_not": keyword_only_not,
     "keyword_rank": keyword_rank,
     "keyword_topk": keyword_topk,
     "keyword_batch": keyword_batch,

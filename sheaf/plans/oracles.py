@@ -275,6 +275,35 @@ found AS (
     )
 
 
+ONLY_NOT = f"""free AS (
+  SELECT DISTINCT w.query_id, c.chunk_id, 0.0::DOUBLE AS score FROM wanted w CROSS JOIN chunks c
+  WHERE w.n_required = 0 AND NOT EXISTS (
+    SELECT 1 FROM occ o WHERE o.query_id = w.query_id AND o.grp = w.grp AND o.chunk_id = c.chunk_id)),
+leg AS (
+  SELECT query_id, chunk_id, score,
+    CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS INTEGER) AS rank
+  FROM (SELECT query_id, chunk_id, round(sum(score), 9) AS score
+        FROM (SELECT * FROM matched UNION ALL SELECT * FROM free) GROUP BY ALL)
+  QUALIFY rank <= {catalog.TOP_K})"""
+
+# Cells around the labels' means; a question searches the three nearest.
+MEAN_CELLS = f"""near AS (
+  SELECT v.chunk_id, v.embedding, m.query_id AS cell
+  FROM vectors v CROSS JOIN means m
+  QUALIFY row_number() OVER (PARTITION BY chunk_id
+    ORDER BY list_cosine_similarity(CAST(v.embedding AS DOUBLE[]), m.embedding) DESC, m.query_id) = 1),
+probes AS (
+  SELECT q.query_id, m.query_id AS cell FROM means q CROSS JOIN means m
+  QUALIFY row_number() OVER (PARTITION BY q.query_id
+    ORDER BY list_cosine_similarity(q.embedding, m.embedding) DESC, m.query_id) <= 3),
+probed AS (
+  SELECT query_id, chunk_id, distance,
+    CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, chunk_id) AS INTEGER) AS rank
+  FROM (SELECT p.query_id, n.chunk_id,
+          round(list_cosine_distance(CAST(n.embedding AS DOUBLE[]), q.embedding), 9) AS distance
+        FROM probes p JOIN near n USING (cell) JOIN means q USING (query_id))
+  QUALIFY rank <= {catalog.TOP_K})"""
+
 EVENTS = f"""mapped AS (
   SELECT CASE WHEN event_type = 'purchase' THEN {quoted(OBJECT_FINALIZED)}
               WHEN event_type <> 'view' THEN event_type END AS ce_type,
@@ -375,6 +404,11 @@ WHERE value > 0""",
     "vector_topk": vector_search(ALL_MEAN),
     "vector_topk_batch": _VECTORS_ALL,
     "vector_topk_ivf_all": _VECTORS_ALL,
+    "vector_topk_means": with_(VECTORS, LABEL_MEANS, MEAN_CELLS)
+    + "SELECT query_id, chunk_id, round(distance, 6) AS distance, rank FROM probed",
+    "recall_means": with_(VECTORS, LABEL_MEANS, MEAN_CELLS, nearest("exact", "vectors", "means", catalog.TOP_K))
+    + """SELECT query_id, count(p.chunk_id) / count(*) AS recall
+FROM exact e LEFT JOIN probed p USING (query_id, chunk_id) GROUP BY query_id""",
     "cosine_to_mean": with_(VECTORS, LABEL_MEANS)
     + """SELECT chunk_id, query_id,
   round(list_cosine_distance(CAST(v.embedding AS DOUBLE[]), m.embedding), 6) AS distance
@@ -391,6 +425,11 @@ FROM clauses c LEFT JOIN (
   FROM (SELECT query_id, grp, term, min(clause * 10000 + "offset") AS first_at
         FROM clause_terms WHERE NOT negated GROUP BY query_id, grp, term)) s USING (query_id, grp, term)""",
     **{key: keyword(_MATCHED, fixed_questions(question)) for key, question in _K.items()},
+    "keyword_only_not": with_(
+        DOCS, CHUNKS, postings("posts", "chunks"), fixed_questions(*catalog.EXCLUDING), clauses("questions"),
+        MATCH, ONLY_NOT,
+    )
+    + "SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM leg",
     "keyword_rank": keyword("SELECT query_id, chunk_id, round(score, 6) AS score FROM matched", _RANKED),
     "keyword_topk": keyword(_SCORED, _RANKED),
     "keyword_batch": keyword(_SCORED, BENCHMARK_QUESTIONS),
@@ -421,6 +460,23 @@ FROM questions q LEFT JOIN (
   SELECT query_id, count(*) AS n,
     string_agg('[' || n || '] ' || filename || ' (' || coalesce('p.' || page_number, 'p.?') || ')' || chr(10)
       || {stripped("content")}, {quoted(CONTEXT_BREAK)} ORDER BY n) AS context
+  FROM found GROUP BY query_id) c USING (query_id)""",
+        BENCHMARK_QUESTIONS,
+    ),
+    "answer_json": hybrid(
+        f"""SELECT q.query_id,
+  'CONTEXT:' || chr(10) || c.context || chr(10) || chr(10) || 'QUESTION: ' || q.question
+    || chr(10) || chr(10) || {quoted(INSTRUCTION)} AS prompt,
+  CASE WHEN c.context IS NULL THEN {quoted(NO_CONTEXT_REPLY)} END AS reply,
+  '[' || coalesce(c.cited, '') || ']' AS citations
+FROM questions q LEFT JOIN (
+  SELECT query_id,
+    string_agg('[' || n || '] ' || filename || ' (' || coalesce('p.' || page_number, 'p.?') || ')' || chr(10)
+      || {stripped("content")}, {quoted(CONTEXT_BREAK)} ORDER BY n) AS context,
+    string_agg('{{"n":' || n || ',"chunk_id":"' || chunk_id || '","document_id":"' || document_id
+      || '","filename":"' || filename || '","gcs_uri":"' || gcs_uri || '","page_number":' || page_number
+      || ',"rrf_score":' || rrf_score || coalesce(',"vector_rank":' || vector_rank, '')
+      || coalesce(',"keyword_rank":' || keyword_rank, '') || '}}', ',' ORDER BY n) AS cited
   FROM found GROUP BY query_id) c USING (query_id)""",
         BENCHMARK_QUESTIONS,
     ),
