@@ -21,8 +21,8 @@ import numpy as np
 
 MAGIC = b"CMIX"
 SCALE = 14  # bits of a probability
-ORDER1_BITS, ORDER2_BITS = 11, 12
-NODES = (16, 256, 1021, 1021, 1021, 1021, 1021)  # order-0 contexts: the bits so far, shared beyond 1021
+ORDER1_BITS, ORDER2_BITS = 10, 11
+NODES = (16, 256, 509, 509, 509, 509, 509)  # order-0 contexts: the bits so far, shared beyond 509
 U32, U64 = np.uint64(32), np.uint64
 BIG, SMALL = U64(1 << 32), U64(1 << 24)
 
@@ -42,10 +42,9 @@ class Adaptive:
         start = np.linspace(0, 1 << SCALE, width + 1).astype(np.int16)
         self.rows = np.tile(start, (contexts, 1))
 
-        self.offsets = np.arange(contexts) * (width + 1)
 
     def bounds(self, rows: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        flat, at = rows.ravel(), self.offsets[: len(symbol)] + symbol
+        flat, at = rows.ravel(), np.arange(0, rows.size, self.width + 1) + symbol
         return flat.take(at).astype(U64), flat.take(at + 1).astype(U64)
 
     def learn(self, rows: np.ndarray, context: np.ndarray, symbol: np.ndarray) -> None:

@@ -32,6 +32,16 @@ END_ID = 2
 FILE_SCHEMA = "part int, before long, n_ids long, doc_ids array<long>, lengths array<int>, payload binary"
 
 
+_encoders: dict[str, WordEncoder] = {}
+
+
+def encoder_for(tokenizer: str) -> WordEncoder:
+    """A worker keeps its encoder, and the words that it knows, from task to task."""
+    if tokenizer not in _encoders:
+        _encoders[tokenizer] = WordEncoder(tokenizer)
+    return _encoders[tokenizer]
+
+
 def write_blocks(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, chunk_ids: int = 4 << 20) -> None:
     """Encode ``docs`` (doc_id, text) and write them under ``path``, in ascending doc_id order."""
 
@@ -45,7 +55,7 @@ def write_blocks(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_I
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encoder = WordEncoder(tokenizer)
+        encoder = encoder_for(tokenizer)
         before, held, ids, doc_ids, lengths = 0, 0, [], [], []
         for batch in batches:
             for at in range(0, batch.num_rows, 256):

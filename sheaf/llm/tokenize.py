@@ -1,13 +1,16 @@
 """Token ids of whole texts by a public tokenizer's file, with each distinct word encoded once.
 
-The tokenizers library splits a text into words and encodes each on its own, so the ids of a
-text are those of its words in a row. For plain texts (Latin letters, ASCII signs, ordinary
-blanks: where lower-casing and splitting are the same in either library) the words are found
-here and only unknown ones go to the library; any other text goes to it as a whole.
+The tokenizers library splits a text into words, never across blanks, and encodes each word on
+its own, so the ids of a text are those of its words in a row. For plain texts (Latin letters,
+ASCII signs, ordinary blanks: where lower-casing and splitting are the same in either library)
+the pieces between blanks are looked up, a new piece is put together from its words, and only
+new words go to the library; any other text goes to it as a whole.
 """
 
 from __future__ import annotations
 
+from array import array
+
 import numpy as np
 import regex
 from tokenizers import Tokenizer
@@ -17,63 +20,87 @@ WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]
 UNUSUAL = regex.compile("[^\t\n\r\x20-\x7e\xa1-ɏ]|<\\|")
 
 
+class Known:
+    """Ids by piece, in one flat array."""
+
+    def __init__(self) -> None:
+        self.place: dict[str, int] = {}
+        self.ids, self.starts = array("i"), array("q", [0])
+
+    def add(self, ids) -> int:
+        self.ids.extend(ids)
+        self.starts.append(len(self.ids))
+        return len(self.starts) - 2
+
+    def get(self, piece: str):
+        i = self.place.get(piece)
+        return None if i is None else self.ids[self.starts[i] : self.starts[i + 1]]
+
+
 class WordEncoder:
+    """``remember`` bounds what is known; of older pieces those used again are kept."""
+
     def __init__(self, path: str, remember: int = 300_000):
         self.tokenizer = Tokenizer.from_file(path)
         self.remember = remember
-        self.forget()
-
-    def forget(self) -> None:
-        self.known: dict[str, int] = {}
-        self.ids = np.zeros(1 << 16, np.int32)
-        self.starts, self.n_ids = [0], 0
-
-    def add(self, found: np.ndarray) -> int:
-        while self.n_ids + len(found) > len(self.ids):
-            self.ids = np.concatenate((self.ids, np.zeros_like(self.ids)))
-        self.ids[self.n_ids : self.n_ids + len(found)] = found
-        self.n_ids += len(found)
-        self.starts.append(self.n_ids)
-        return len(self.starts) - 2
+        self.old, self.known = Known(), Known()
 
-    def learn(self, words: list[str]) -> None:
-        """Encode words that are not known, many in one call."""
-        for at in range(0, len(words), 4096):
-            part = words[at : at + 4096]
+    def learn(self, pieces: list[str]) -> None:
+        """Make pieces known; words that are new are encoded, many in one call."""
+        rest = []
+        for piece in pieces:
+            ids = self.old.get(piece)
+            if ids is None:
+                rest.append(piece)
+            else:
+                self.known.place[piece] = self.known.add(ids)
+        split = [WORDS.findall(piece) for piece in rest]
+        words = {word for found in split for word in found if word not in self.known.place}
+        new = []
+        for word in words:
+            ids = self.old.get(word)
+            if ids is None:
+                new.append(word)
+            else:
+                self.known.place[word] = self.known.add(ids)
+        for at in range(0, len(new), 4096):
+            part = new[at : at + 4096]
             encoding = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
-            ids, owner = np.array(encoding.ids, np.int32), np.array(encoding.word_ids, np.int64)
-            ends = np.searchsorted(owner, np.arange(len(part)), "right").tolist()
+            ids, owner = encoding.ids, np.array(encoding.word_ids, np.int64)
             begin = 0
-            for word, end in zip(part, ends, strict=True):
-                self.known[word] = self.add(ids[begin:end])
+            for word, end in zip(part, np.searchsorted(owner, np.arange(len(part)), "right").tolist(), strict=True):
+                self.known.place[word] = self.known.add(ids[begin:end])
                 begin = end
+        for piece, found in zip(rest, split, strict=True):
+            if piece not in self.known.place:
+                ids = array("i")
+                for word in found:
+                    ids.extend(self.known.get(word))
+                self.known.place[piece] = self.known.add(ids)
 
     def encode(self, texts: list[str | None], end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, each text followed by ``end_id``, and the number for each text."""
-        if len(self.known) > self.remember:
-            self.forget()
-        self.known.setdefault("", self.add(np.zeros(0, np.int32)))
-        end = self.add(np.array([end_id], np.int32))
-        found: list[list[str] | np.ndarray] = []
+        if len(self.known.place) > self.remember // 2:
+            self.old, self.known = self.known, Known()
+        known = self.known
+        end = known.add([end_id])
+        found: list[list[str] | int] = []
         for text in texts:
             text = text or ""
             if UNUSUAL.search(text):
-                found.append(np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.int32))
+                found.append(known.add(self.tokenizer.encode(text, add_special_tokens=False).ids))
             else:
-                found.append(WORDS.findall(text.lower()))
-        new = {word for words in found if isinstance(words, list) for word in words} - self.known.keys()
-        self.learn(list(new))
-        places, counts = [], []
-        for words in found:
-            here = list(map(self.known.__getitem__, words)) if isinstance(words, list) else [self.add(words)]
-            here.append(end)
-            places.append(np.array(here, np.int64))
-            counts.append(len(here))
+                found.append(text.lower().split())
+        pieces = set().union(*(x for x in found if isinstance(x, list)))
+        self.learn([piece for piece in pieces if piece not in known.place])
+        look = known.place.__getitem__
+        places = [np.array([*map(look, x), end] if isinstance(x, list) else [x, end], np.int64) for x in found]
+        counts = np.array([len(place) for place in places], np.int64)
         place = np.concatenate(places) if places else np.zeros(0, np.int64)
-        starts = np.array(self.starts, np.int64)
-        sizes = starts[place + 1] - starts[place]
+        starts = np.array(known.starts, np.int64)
+        begin = starts[place]
+        sizes = starts[place + 1] - begin
         before = np.cumsum(sizes) - sizes
-        ids = self.ids[np.repeat(starts[place] - before, sizes) + np.arange(sizes.sum())]
-        firsts = np.cumsum(counts) - counts
-        per_text = np.add.reduceat(sizes, firsts) if len(counts) else np.zeros(0, np.int64)
+        ids = np.array(known.ids, np.int32)[np.repeat(begin - before, sizes) + np.arange(sizes.sum())]
+        per_text = np.add.reduceat(sizes, np.cumsum(counts) - counts) if len(counts) else counts
         return ids, per_text
