@@ -24,12 +24,12 @@ DIGITS = 9
 CLAUSE = r'(-?"[^"]*"?|[^\s"]+)'
 
 
-def postings(corpus: DataFrame, text_col: str = "content") -> DataFrame:
+def postings(corpus: DataFrame, text_col: str = "content", keep: tuple[str, ...] = ()) -> DataFrame:
     """``(term, chunk_id, pos)``; positions count stop words, so distances stay true."""
     return (
-        corpus.select("chunk_id", F.posexplode(terms.words(text_col)).alias("pos", "word"))
+        corpus.select("chunk_id", *keep, F.posexplode(terms.words(text_col)).alias("pos", "word"))
         .filter(~terms.is_stop_word(F.col("word")))
-        .select(terms.stem(F.col("word")).alias("term"), "chunk_id", "pos")
+        .select(terms.stem(F.col("word")).alias("term"), "chunk_id", "pos", *keep)
     )
 
 

@@ -7,6 +7,8 @@ follows its quality label. ``oracles.py`` states the same queries in SQL.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,7 +27,7 @@ from sheaf.operators import (
     vectors,
 )
 from sheaf.plans import ingest
-from sheaf.plans.retrieve import hybrid_retrieve
+from sheaf.plans.retrieve import hybrid_from_store, hybrid_retrieve
 from sheaf.session import scratch_path, stored
 from sheaf.settings import OBJECT_FINALIZED, ChunkKnobs, EmbedKnobs, EventKnobs
 from sheaf.sources.store import Store
@@ -642,7 +644,11 @@ def upload_events(rows: DataFrame, wave: str, at: str) -> DataFrame:
     )
 
 
-def streamed_store(spark: SparkSession, sf: str) -> Store:
+LINES_AS_PAGES = ingest.IngestKnobs(embed=EmbedKnobs(dim=DIM), page_separator="\n")
+STRIDE = ingest.IngestKnobs(embed=EmbedKnobs(dim=DIM), pieces=chunks.stride_pieces)
+
+
+def streamed_store(spark: SparkSession, sf: str, knobs: ingest.IngestKnobs = LINES_AS_PAGES) -> Store:
     """All documents uploaded, then the labelled ones again, each wave as a stream run."""
     root = scratch_path(spark, "stream")
     store = Store(spark, f"{root}/store")
@@ -650,7 +656,6 @@ def streamed_store(spark: SparkSession, sf: str) -> Store:
         upload_events(documents(spark, sf), "first-", UPLOADED),
         upload_events(labelled_documents(spark, sf), "second-", REUPLOADED),
     ]
-    knobs = ingest.IngestKnobs(embed=EmbedKnobs(dim=DIM), page_separator="\n")
     for wave in waves:
         wave.write.mode("append").parquet(f"{root}/uploads")
         stream = spark.readStream.schema(wave.schema).parquet(f"{root}/uploads")
@@ -658,6 +663,47 @@ def streamed_store(spark: SparkSession, sf: str) -> Store:
     return store
 
 
+_BUILT: dict[tuple, Store] = {}
+
+
+def built_store(spark, sf):
+    """The store after both waves; a session ingests a folder of tables once and then asks it."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _BUILT:
+        _BUILT[key] = streamed_store(spark, sf, STRIDE)
+    return _BUILT[key]
+
+
+def hybrid_stored(spark, sf):
+    """The batch answered from what ingest keeps, after a second wave of uploads."""
+    questions = stored(embedded(benchmark_questions(spark, sf)), "questions")
+    found = hybrid_from_store(built_store(spark, sf), questions)
+    return found.withColumn("rrf_score", F.round("rrf_score", 9))
+
+
+def stored_tables(spark, sf):
+    """The tables a store has after both waves: the columns found in its files, and its rows."""
+    store = built_store(spark, sf)
+    columns = F.array_join(F.sort_array(F.collect_list("column")), ",")
+    listed = store.tables().groupBy("table").agg(columns.alias("columns")).filter("table <> 'commits'")
+    counts = [
+        store.rows(row["table"]).agg(F.count("*").alias("n_rows")).withColumn("table", F.lit(row["table"]))
+        for row in listed.select("table").collect()
+    ]
+    return listed.join(reduce(DataFrame.unionByName, counts), "table")
+
+
+def chunks_of_documents(spark, sf):
+    """Chunk and event counts of the documents uploaded twice, looked up by document."""
+    store = built_store(spark, sf)
+    asked = labelled_documents(spark, sf).select("document_id")
+    counted = [
+        rows.join(asked, "document_id", "left_semi").groupBy("document_id").agg(F.count("*").alias(name))
+        for name, rows in (("n_chunks", store.chunks()), ("n_events", store.events()))
+    ]
+    return counted[0].join(counted[1], "document_id")
+
+
 def stream_ingest(spark, sf):
     store = streamed_store(spark, sf)
     log = store.events().groupBy(F.col("document_id").alias("id")).agg(
@@ -741,4 +787,7 @@ QUERIES = {
     "orphan_chunks": orphan_chunks,
     "by_status": by_status,
     "stream_ingest": stream_ingest,
+    "hybrid_stored": hybrid_stored,
+    "stored_tables": stored_tables,
+    "chunks_of_documents": chunks_of_documents,
 }

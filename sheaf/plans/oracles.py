@@ -243,12 +243,11 @@ def vector_search(means: str) -> str:
     )
 
 
-def hybrid(select: str, questions: str) -> str:
+def hybrid(select: str, questions: str, *tables: str) -> str:
     return (
         with_(
             DOCS,
-            CHUNKS,
-            STORED,
+            *(tables or (CHUNKS, STORED)),
             postings("posts", "chunks"),
             hashed("vectors", "posts", "chunk_id", catalog.DIM),
             questions,
@@ -340,6 +339,38 @@ page_texts AS (
 with_text AS (
   SELECT document_id, sent, count(*) AS n FROM page_texts WHERE {stripped("page")} <> '' GROUP BY ALL)"""
 
+# What a store holds after both waves of uploads.
+CURRENT = """current AS (
+  SELECT d.document_id, d.gcs_uri, d.name, coalesce(l.content, d.content) AS content
+  FROM docs d LEFT JOIN labelled l USING (document_id))"""
+INGESTED = f"""stored AS (
+  SELECT document_id AS id, gcs_uri, name AS filename,
+    CASE WHEN {stripped("content")} = '' THEN 'failed' ELSE 'completed' END AS status FROM current)"""
+AFTER_INGEST = (LABELLED, CURRENT, stride_chunks("chunks", "current"), INGESTED)
+
+
+# Both waves as they were written, and the columns of each stored table, by name.
+WRITTEN = """uploads AS (
+  SELECT document_id, content FROM docs UNION ALL SELECT document_id, content FROM labelled)"""
+STORED_COLUMNS = {
+    "chunks": "chunk_index,content,created_at,document_id,embedding,id,metadata,n_chars,page_number",
+    "documents": "chunks_attempt,content_hash,deleted,error,filename,gcs_uri,id,metadata,num_pages,processed_at,"
+    "size_bytes,source_time,status,uploaded_at",
+    "events": "created_at,document_id,event_type,gcs_uri,id,message,payload",
+    "postings": "chunk_id,document_id,pos,term",
+    "rejected": "bucket,ce_id,ce_subject,ce_type,event_time,name,reason,verdict",
+    "texts": "document_id,target_name,text",
+}
+STORED_COUNTS = {
+    "chunks": "SELECT count(*) FROM written",
+    "documents": "SELECT count(*) FROM uploads",
+    "events": "SELECT 2 * count(*) FROM uploads",
+    "postings": "SELECT count(*) FROM posts",
+    "rejected": "SELECT count(*) FROM uploads WHERE document_id IS NULL",
+    "texts": f"SELECT count(*) FROM uploads WHERE {stripped('content')} <> ''",
+}
+
+
 _K = catalog.KEYWORD_QUESTIONS
 _RANKED = fixed_questions(*_K.values(), catalog.QUESTION)
 _MATCHED = "SELECT query_id, chunk_id FROM matched"
@@ -520,6 +551,18 @@ GROUP BY ALL HAVING count(*) > 1""",
     + """SELECT document_id, chunk_index FROM chunks
 WHERE document_id NOT IN (SELECT document_id FROM labelled)""",
     "by_status": _STORED + "SELECT id, gcs_uri, error FROM stored WHERE status = 'failed'",
+    "hybrid_stored": hybrid(_FOUND, BENCHMARK_QUESTIONS, *AFTER_INGEST),
+    "stored_tables": with_(
+        DOCS, LABELLED, CHUNKS, stride_chunks("revised", "labelled"), WRITTEN,
+        "written AS (SELECT * FROM chunks UNION ALL SELECT * FROM revised)", postings("posts", "written"),
+    )
+    + " UNION ALL ".join(
+        f"""SELECT '{table}' AS "table", '{columns}' AS columns, ({STORED_COUNTS[table]}) AS n_rows"""
+        for table, columns in STORED_COLUMNS.items()
+    ),
+    "chunks_of_documents": with_(DOCS, *AFTER_INGEST)
+    + """SELECT document_id, count(*) AS n_chunks, 4 AS n_events
+FROM chunks WHERE document_id IN (SELECT document_id FROM labelled) GROUP BY document_id""",
     "stream_ingest": with_(DOCS, LABELLED, STREAMED)
     + f"""SELECT u.document_id AS id, u.gcs_uri, u.name AS filename, sha256(u.content) AS content_hash,
   CAST(len(string_split(u.content, chr(10))) AS INTEGER) AS num_pages,

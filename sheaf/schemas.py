@@ -36,6 +36,15 @@ CHUNKS = T.StructType(
     ]
 )
 
+POSTINGS = T.StructType(
+    [
+        T.StructField("term", T.StringType()),
+        T.StructField("chunk_id", T.StringType()),
+        T.StructField("pos", T.IntegerType()),
+        T.StructField("document_id", T.StringType()),
+    ]
+)
+
 INGESTION_EVENTS = T.StructType(
     [
         T.StructField("id", T.StringType(), False),

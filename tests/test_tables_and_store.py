@@ -181,7 +181,8 @@ def test_batches_replays_failures_and_deletes(spark, tmp_path):
     docs, chunks = state(store)
     assert chunks["a.pdf"] == ["a again"] and docs["a.pdf"].uploaded_at > uploaded
     listed = [r.table for r in store.tables().select("table").distinct().orderBy("table").collect()]
-    assert listed == ["chunks", "commits", "documents", "events", "rejected", "texts"]
+    assert listed == ["chunks", "commits", "documents", "events", "postings", "rejected", "texts"]
+    assert Store(spark, str(tmp_path / "none")).tables().collect() == []
 
 
 def test_uncommitted_versions_stay_unseen(spark, tmp_path):
