@@ -38,13 +38,11 @@ def newest(rows: DataFrame, time_col: str, n: int, tie: str = "id") -> DataFrame
 def dedupe_by_hash(documents: DataFrame) -> DataFrame:
     """The first document (by ``id``) of each known ``content_hash``.
 
-    ``min_by`` combines on the map side, so a hash shared by a third of all rows
-    sends one row per task. Rows without a hash are no candidates.
+    The smallest id and the count combine on the map side, so a hash shared by a third of
+    all rows sends one row per task; the rows of these ids are then looked up. Rows without
+    a hash are no candidates.
     """
+    known = documents.filter(F.col("content_hash").isNotNull())
+    first = known.groupBy("content_hash").agg(F.min("id").alias("id"), F.count("*").alias("n_copies"))
     rest = [c for c in documents.columns if c != "content_hash"]
-    return (
-        documents.filter(F.col("content_hash").isNotNull())
-        .groupBy("content_hash")
-        .agg(F.min_by(F.struct(*rest), "id").alias("first"), F.count("*").alias("n_copies"))
-        .select("content_hash", "n_copies", "first.*")
-    )
+    return known.join(first, ["content_hash", "id"]).select("content_hash", "n_copies", *rest)

@@ -10,6 +10,8 @@ from __future__ import annotations
 from functools import reduce
 
 import numpy as np
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -185,15 +187,10 @@ def stored_vectors(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def mean_vectors(rows: DataFrame, key) -> DataFrame:
-    """The mean vector of each ``query_id``, combined per position on the map side."""
-    return (
-        rows.select(key.alias("query_id"), F.posexplode("embedding").alias("i", "x"))
-        .groupBy("query_id", "i")
-        .agg(F.avg(F.col("x").cast("double")).alias("x"))
-        .groupBy("query_id")
-        .agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("cells"))
-        .select("query_id", F.col("cells.x").alias("embedding"))
-    )
+    """The mean vector of each ``query_id``, combined on the map side."""
+    vector = array_to_vector(F.col("embedding").cast("array<double>"))
+    mean = rows.groupBy(key.alias("query_id")).agg(Summarizer.mean(vector).alias("mean"))
+    return mean.select("query_id", vector_to_array("mean").alias("embedding"))
 
 
 def label_questions(spark: SparkSession, sf: str) -> DataFrame:
