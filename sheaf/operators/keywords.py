@@ -141,19 +141,28 @@ def hits(rows: DataFrame, clauses: DataFrame) -> DataFrame:
     A group of several terms is looked up by its rarest wanted term first, and its
     other terms count only in the chunks found that way. So a frequent term is
     neither shuffled nor compared beyond the chunks of a rare one next to it.
-    ``clauses`` is read several times and should be stored.
+    ``clauses`` is read several times and should be stored; beyond BROADCAST_ROWS of
+    them the questions are taken in blocks, one scan each, so that postings are
+    never shuffled by term.
     """
+    total = clauses.count()
+    blocks = 1 + (2 * total // max(BROADCAST_ROWS, 1) if total > BROADCAST_ROWS else 0)
+    number = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
+    parts = [clauses.filter(number == i) if blocks > 1 else clauses for i in range(blocks)]
+    return reduce(DataFrame.unionByName, [part for block in parts for part in _block_hits(rows, block)])
+
+
+def _block_hits(rows: DataFrame, clauses: DataFrame) -> list[DataFrame]:
     total, lone = clauses.agg(F.count("*"), F.count(F.when(F.col("n_group") == 1, 1))).first()
-    sent = F.broadcast if total <= BROADCAST_ROWS else (lambda df: df)
     parts = []
     if lone or not total:
-        parts.append(rows.join(sent(clauses.filter("n_group = 1")), "term"))
+        parts.append(rows.join(F.broadcast(clauses.filter("n_group = 1")), "term"))
     if lone < total:
         several = clauses.filter("n_group > 1")
-        near = broadcast_if_small(candidates(rows, several, sent))
-        found = rows.join(sent(several), "term").withColumn("candidate", _candidate_key())
+        near = broadcast_if_small(candidates(rows, several))
+        found = rows.join(F.broadcast(several), "term").withColumn("candidate", _candidate_key())
         parts.append(found.join(near, "candidate", "left_semi").drop("candidate"))
-    return reduce(DataFrame.unionByName, parts)
+    return parts
 
 
 def _candidate_key() -> Column:
@@ -164,20 +173,20 @@ def _candidate_key() -> Column:
     return F.xxhash64("query_id", "grp", "chunk_id")
 
 
-def candidates(rows: DataFrame, clauses: DataFrame, sent=broadcast_if_small) -> DataFrame:
-    """Keys of the chunks where the rarest wanted term of a group occurs."""
+def candidates(rows: DataFrame, clauses: DataFrame) -> DataFrame:
+    """Keys of the chunks where the rarest wanted term of a group occurs, for a block of clauses."""
     wanted = clauses.filter(~F.col("negated"))
     frequency = (
-        rows.join(sent(wanted.select("term").distinct()), "term", "left_semi")
+        rows.join(F.broadcast(wanted.select("term").distinct()), "term", "left_semi")
         .groupBy("term")
         .agg(F.count("*").alias("n"))
     )
     rarest = (
-        wanted.join(sent(frequency), "term", "left")
+        wanted.join(F.broadcast(frequency), "term", "left")
         .groupBy("query_id", "grp")
         .agg(F.min_by("term", F.struct(F.coalesce("n", F.lit(0)), "term")).alias("term"))
     )
-    found = rows.join(sent(rarest), "term").select(_candidate_key().alias("candidate")).distinct()
+    found = rows.join(F.broadcast(rarest), "term").select(_candidate_key().alias("candidate")).distinct()
     return stored(found, "candidates")
 
 

@@ -120,13 +120,34 @@ def test_large_sets_give_the_same_without_broadcasts(spark, texts, monkeypatch):
         [(f"c{i:02d}", t) for i, t in enumerate(texts)], "chunk_id string, content string"
     )
     questions = spark.createDataFrame(
-        [("a", 'alpha "beta gamma" OR delta')], "query_id string, question string"
+        [("a", 'alpha "beta gamma" OR delta'), ("b", "alpha"), ("c", "alpha delta")],
+        "query_id string, question string",
     )
     rows, clauses = keywords.postings(corpus), keywords.query_clauses(questions)
     small = sorted(map(tuple, keywords.match(rows, clauses).collect()))
-    monkeypatch.setattr(keywords, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(keywords, "BROADCAST_ROWS", 5)  # several blocks of clauses
     monkeypatch.setattr(keywords, "broadcast_if_small", lambda df: df)
     assert sorted(map(tuple, keywords.match(rows, clauses).collect())) == small
+    plan = keywords.hits(rows, clauses)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(term" not in plan
+
+
+def test_groups_that_only_exclude(spark):
+    texts = {f"c{i:02d}": "alpha beta" if i % 3 else "gamma" for i in range(30)}
+    corpus = spark.createDataFrame(list(texts.items()), "chunk_id string, content string")
+    questions = spark.createDataFrame(
+        [("a", "-alpha"), ("b", "gamma OR -beta"), ("c", "-missing"), ("d", "-gamma OR -alpha")],
+        "query_id string, question string",
+    )
+    rows, clauses = keywords.postings(corpus), keywords.query_clauses(questions)
+    found = {}
+    for r in keywords.keyword_topk(rows, clauses, 4, corpus).orderBy("query_id", "rank").collect():
+        found.setdefault(r.query_id, []).append((r.chunk_id, r.score))
+    gamma = [c for c, text in texts.items() if text == "gamma"]
+    assert found["a"] == [(c, 0.0) for c in gamma[:4]]
+    assert [c for c, _ in found["b"]] == gamma[:4] and all(score > 0 for _, score in found["b"])
+    assert found["c"] == found["d"] == [(c, 0.0) for c in sorted(texts)[:4]]
+    assert not any(r.query_id in "ac" for r in keywords.keyword_topk(rows, clauses, 4).collect())
 
 
 def test_positions_count_stop_words(spark):
