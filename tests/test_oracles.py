@@ -26,7 +26,7 @@ def plan_of(frame):
     return frame._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
 def test_query_equals_sql(spark, db, name):
     frame = entry.queries()[name](spark, SF)
     plan = plan_of(frame)
@@ -43,7 +43,8 @@ def test_query_equals_sql(spark, db, name):
 
 
 def test_document_steps_do_not_shuffle(spark):
-    """Pages, chunks and vectors are map-only but for dealing out a one-split table."""
+    """Pages, chunks and vectors have no exchange but the one that deals out a one-split table,
+    whole texts included; a table with splits enough has none."""
     for name in ("split_pages", "processed_text", "chunk_stride", "chunk_recursive", "embed_hashed", "postings"):
         plan = plan_of(catalog.QUERIES[name](spark, SF))
         exchanges = [line for line in plan.splitlines() if "Exchange" in line]
