@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sheaf.session import stored
 
-BLOCK_CHARS = 1 << 20
+BLOCK_CHARS = 1 << 18
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,6 +31,13 @@ def remainder(doc_id: Column, n: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % n, F.lit(0))
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """Record batches in smaller parts, so that few texts are Python strings at once."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def char_blocks(
     texts: Iterable[str | None], limit: int = BLOCK_CHARS, overlap: int = 0
 ) -> Iterator[list[tuple[int, int, str]]]:

@@ -196,8 +196,9 @@ def encode(ids: np.ndarray, block_ids: int = 2048, lanes: int = 2048, nibbles: i
         n = -(-len(group) // steps)
         grid = np.zeros(n * steps, np.int32)
         grid[: len(group)] = group
+        grid = np.ascontiguousarray(grid.reshape(n, steps).T)
         coder = Encoder(n, steps // 2 + 16)
-        run(coder, n, steps, nibbles, np.ascontiguousarray(grid.reshape(n, steps).T))
+        run(coder, n, steps, nibbles, grid)
         for i, payload in enumerate(coder.payloads()):
             part = group[i * steps : (i + 1) * steps]
             crc = zlib.crc32(part.astype("<u4").tobytes())

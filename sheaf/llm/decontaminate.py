@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sheaf.llm.common import char_blocks, code_points, scrambled
+from sheaf.llm.common import BLOCK_CHARS, char_blocks, code_points, scrambled, slices
 
 Q = 8
 BITS = 22
@@ -191,7 +191,7 @@ def search(texts: list[str | None], passages: Passages) -> Iterator[tuple[int, i
     best: dict[tuple[int, int], tuple[int, int, int]] = {}
     longest = max(len(c) for c in passages.codes)
     # Blanks collapse, so pieces overlap by more than a passage; a rare longer gap only shortens them.
-    for block in char_blocks(texts, 1 << 20, 4 * longest):
+    for block in char_blocks(texts, BLOCK_CHARS, 4 * longest):
         parts = [normalized(piece) for _, _, piece in block]
         codes = np.concatenate([codes for codes, _ in parts] or [np.zeros(0, np.uint32)])
         ends = np.cumsum([len(codes) for codes, _ in parts])
@@ -254,7 +254,7 @@ def contaminated(
 
         def searched(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             passages = shared.value
-            for batch in batches:
+            for batch in slices(batches):
                 found = list(search(batch.column("text").to_pylist(), passages))
                 rows, items, edits, starts, ends = zip(*found, strict=True) if found else ((),) * 5
                 arrays = [
@@ -279,7 +279,7 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame, **limits) -> Data
         shared = docs.sparkSession.sparkContext.broadcast(passages)
 
         def kept(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in slices(batches):
                 found = {row for row, *_ in search(batch.column("text").to_pylist(), shared.value)}
                 yield batch.filter(pa.array([i not in found for i in range(batch.num_rows)], pa.bool_()))
 

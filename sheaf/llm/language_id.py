@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sheaf.llm.common import char_blocks, code_points, remainder, scrambled
+from sheaf.llm.common import char_blocks, code_points, remainder, scrambled, slices
 
 UNKNOWN = "und"
 SIZES = (3, 4)
@@ -162,7 +162,7 @@ def learn(
     ).filter(drawn < F.col("share"))
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             language = np.array(batch.column("language"))
             for block in char_blocks(batch.column("text").to_pylist()):
                 hashes, owner, _ = grams([piece for _, _, piece in block])
@@ -207,7 +207,7 @@ def predict(docs: DataFrame, model: LanguageFilter) -> DataFrame:
     schema = docs.select("doc_id").schema.add("lang_pred", "string").add("score", "double")
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             names, scores = shared.value.predict(batch.column("text").to_pylist())
             arrays = [batch.column("doc_id"), pa.array(names, pa.string()), pa.array(scores, pa.float64())]
             yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "lang_pred", "score"])
@@ -236,7 +236,7 @@ def keep_known(docs: DataFrame, min_score: float = 0.2) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             names, scores = shared.value.predict(batch.column("text").to_pylist())
             known = [name != UNKNOWN and score >= min_score for name, score in zip(names, scores, strict=True)]
             yield batch.filter(pa.array(known, pa.bool_()))

@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sheaf.llm import context_coder
+from sheaf.llm.common import slices
 from sheaf.llm.tokenize import WordEncoder
 from sheaf.session import scratch_path
 
@@ -57,17 +58,15 @@ def write_blocks(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_I
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         encoder = encoder_for(tokenizer)
         before, held, ids, doc_ids, lengths = 0, 0, [], [], []
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                some = batch.slice(at, 256)
-                found, counts = encoder.encode(some.column("text").to_pylist(), end_id)
-                ids.append(found)
-                lengths.append(counts)
-                doc_ids += some.column("doc_id").to_pylist()
-                held += len(found)
-                if held >= chunk_ids:
-                    yield row(before, ids, doc_ids, lengths)
-                    before, held, ids, doc_ids, lengths = before + held, 0, [], [], []
+        for batch in slices(batches, 256):
+            found, counts = encoder.encode(batch.column("text").to_pylist(), end_id)
+            ids.append(found)
+            lengths.append(counts)
+            doc_ids += batch.column("doc_id").to_pylist()
+            held += len(found)
+            if held >= chunk_ids:
+                yield row(before, ids, doc_ids, lengths)
+                before, held, ids, doc_ids, lengths = before + held, 0, [], [], []
         if held:
             yield row(before, ids, doc_ids, lengths)
 

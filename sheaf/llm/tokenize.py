@@ -40,7 +40,7 @@ class Known:
 class WordEncoder:
     """``remember`` bounds what is known; of older pieces those used again are kept."""
 
-    def __init__(self, path: str, remember: int = 300_000):
+    def __init__(self, path: str, remember: int = 200_000):
         self.tokenizer = Tokenizer.from_file(path)
         self.remember = remember
         self.old, self.known = Known(), Known()

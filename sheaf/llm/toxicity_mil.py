@@ -28,7 +28,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sheaf.llm.common import remainder
+from sheaf.llm.common import remainder, slices
 from sheaf.session import stored
 
 SENTENCE = regex.compile(r"[^.!?\n]+")
@@ -132,7 +132,7 @@ def learn(
     known = stored(texts.join(F.broadcast(chosen), "doc_id").select("toxic", "text"), "sample")
 
     def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             for toxic, text in zip(batch.column("toxic").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 words = sorted({feature for word in set(WORD.findall(text.lower())) for feature in features(word)})
                 yield pa.RecordBatch.from_arrays(
@@ -162,7 +162,7 @@ def learn(
     place = {word: i for i, word in enumerate(words)}
 
     def bagged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             plain, bags = [], []
             for text in batch.column("text").to_pylist():
                 found = [set(WORD.findall(sentence)) for sentence in SENTENCE.findall(text.lower())]
@@ -186,7 +186,7 @@ def scored(docs: DataFrame, model: SentenceModel) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             scores = [shared.value.score(text.as_py()) for text in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores, pa.float64())], ["doc_id", "score"])
 
@@ -200,7 +200,7 @@ def offending(docs: DataFrame, model: SentenceModel, at_least: float = 0.5) -> D
     span = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64()), ("text", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             spans = [
                 [
                     {"start": i, "end": j, "score": float(p), "text": text[i:j]}
