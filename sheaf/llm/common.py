@@ -6,6 +6,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -26,6 +27,20 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def with_row_key(df: DataFrame, name: str) -> DataFrame:
+    """``df`` with a column that tells its rows apart, the same in every read.
+
+    Rows read from files are known by file and place, so nothing is copied; any other
+    DataFrame is stored once with numbers.
+    """
+    try:
+        file, row = F.xxhash64("_metadata.file_path"), F.col("_metadata.row_index")
+        return df.withColumn(name, F.struct(file.alias("file"), row.alias("row")))
+    except AnalysisException:
+        file, row = F.lit(0).cast("long"), F.monotonically_increasing_id()
+        return stored(df.withColumn(name, F.struct(file.alias("file"), row.alias("row"))), "numbered")
+
+
 def remainder(doc_id: Column, n: int) -> Column:
     """crc32 of the id's decimal text, modulo ``n``; a null id counts as 0."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % n, F.lit(0))

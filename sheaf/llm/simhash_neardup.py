@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sheaf.llm.common import free_name
+from sheaf.llm.common import free_name, with_row_key
 from sheaf.llm.components import components, local_roots
 from sheaf.session import stored
 
@@ -59,17 +59,18 @@ def fingerprint(text: str | None, words: int = 3) -> int:
     return int(np.packbits(2 * ones > len(starts), bitorder="little").view("<i8")[0])
 
 
-def with_fingerprints(docs: DataFrame, name: str = "fp") -> DataFrame:
-    """``docs`` with the SimHash of ``text`` as a long column."""
+def fingerprints(docs: DataFrame, *keep: str) -> DataFrame:
+    """The columns ``keep`` of ``docs`` with the SimHash of ``text`` as a long column ``fp``."""
+    docs = docs.select(*keep, "text")
 
     def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             values = [fingerprint(text.as_py()) for text in batch.column("text")]
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(values, pa.int64())], [*batch.schema.names, name]
+                [*(batch.column(name) for name in keep), pa.array(values, pa.int64())], [*keep, "fp"]
             )
 
-    return docs.mapInArrow(marked, docs.select("*").schema.add(name, "long"))
+    return docs.mapInArrow(marked, docs.select(*keep).schema.add("fp", "long"))
 
 
 def distances(points: np.ndarray, to: np.uint64) -> np.ndarray:
@@ -218,7 +219,7 @@ def labelled(per_fp: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, hot_share: int = 1000) -> DataFrame:
     """doc_id, fingerprint, component_id of every document (doc_id, text)."""
-    rows = stored(with_fingerprints(docs.select("doc_id", "text")).select("doc_id", "fp"), "fingerprints")
+    rows = stored(fingerprints(docs, "doc_id"), "fingerprints")
     per_fp = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "distinct")
     classes = stored(labelled(per_fp), "classes")
     ids = classes.groupBy("label").agg(F.min("first").alias("component_id"))
@@ -235,12 +236,13 @@ def near_duplicates(docs: DataFrame, hot_share: int = 1000) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """``docs`` (all columns) without near duplicates: of each component the smallest doc_id stays.
 
-    One row stays even if ids repeat or are null (null counts as largest). Rows are written
-    once with their fingerprints and a row number, chosen by these alone, and looked up by number.
+    One row stays even if ids repeat or are null (null counts as largest). Only ids,
+    fingerprints and row keys are stored; the rows are then looked up by key.
     """
-    fp, row = free_name(docs, "_fp"), free_name(docs, "_row")
-    rows = stored(with_fingerprints(docs, fp).withColumn(row, F.monotonically_increasing_id()), "fingerprinted")
-    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col(row).alias("row"))
-    per_fp = stored(rows.groupBy(F.col(fp).alias("fp")).agg(F.min(order).alias("first")), "distinct")
-    kept = labelled(per_fp).groupBy("label").agg(F.min("first").alias("first")).select(F.col("first.row").alias(row))
-    return rows.join(kept, row, "left_semi").select(*docs.columns)
+    key = free_name(docs, "_row")
+    rows = with_row_key(docs, key)
+    narrow = stored(fingerprints(rows, "doc_id", key).withColumnRenamed(key, "row"), "fingerprints")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), "row")
+    per_fp = stored(narrow.groupBy("fp").agg(F.min(order).alias("first")), "distinct")
+    kept = labelled(per_fp).groupBy("label").agg(F.min("first").alias("first"))
+    return rows.join(kept.select(F.col("first.row").alias(key)), key, "left_semi").select(*docs.columns)

@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sheaf.llm.common import free_name, running_totals
+from sheaf.llm.common import free_name, running_totals, with_row_key
 from sheaf.session import stored
 
 WEIGHTS = (5, 2, 1)
@@ -124,10 +124,10 @@ def mix(docs: DataFrame, **mixture) -> DataFrame:
 def repeated(docs: DataFrame, **mixture) -> DataFrame:
     """``docs`` (all columns), each row as often as the mixture takes it, perhaps never.
 
-    Rows are stored once with a number, so that rows which share an id stay apart.
+    Rows are known by a key, so that those which share an id stay apart.
     """
     row, times, copy = (free_name(docs, name) for name in ("_row", "_times", "_copy"))
-    rows = stored(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    rows = with_row_key(docs, row)
     size = words(F.col("text")).alias("size")
     narrow = stored(rows.select("doc_id", "source", size, F.col(row).alias("row")), "sizes")
     taken, _ = repeats(narrow, row="row", **mixture)
