@@ -1,0 +1,163 @@
+"""Near duplicates by the Jaccard similarity of word shingles: an exact prefix-filter join.
+
+A text is the set of its shingles' hashes. Sets with a similarity of at least t share one of
+the first n - ceil(t n) + 1 hashes of each, in any order that all sets follow. So only these
+prefixes become rows, candidates share a row's hash, and every candidate pair is verified on
+the whole sets. The order puts the hashes that are frequent in a bounded sample last, which
+keeps common passages out of the prefixes; what the sample holds changes the work only, never
+the result.
+
+Equal sets are one node. The others are linked in two steps, so that a large group of near
+copies does not become all of its pairs: first each set with the smallest that shares a hash,
+and then, within each hash, only the pairs that are in different components yet.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType
+
+from sheaf.llm.common import slices
+from sheaf.llm.components import components
+from sheaf.llm.decontaminate import qgrams
+from sheaf.session import broadcast_if_small, stored
+
+SAMPLE = 20_000
+FREQUENT = 200_000
+EPS = 1e-9
+
+
+class WordHashes(dict):
+    """Hashes of words, remembered for a bounded number of them."""
+
+    def __missing__(self, word: bytes | str) -> int:
+        if len(self) >= 1 << 18:
+            self.clear()
+        value = self[word] = xxhash.xxh64_intdigest(word, 42)
+        return value
+
+    def array(self, parts: list) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, parts), np.uint64, len(parts))
+
+
+def shingles(text: str | None, words: int, known: WordHashes) -> np.ndarray:
+    """The sorted distinct hashes of a text's shingles; a shorter text is one shingle."""
+    parts = (text or "").encode("utf-8", "surrogatepass").lower().split()  # as simhash_neardup.fingerprint
+    if not parts:
+        return np.zeros(1, np.uint64)
+    return np.unique(qgrams(known.array(parts), min(words, len(parts))))
+
+
+def prefix(found: np.ndarray, similarity: float, hashes: np.ndarray, ranks: np.ndarray) -> np.ndarray:
+    """The first hashes of a sorted set in the common order: frequent ones (``hashes``, sorted) last, by rank."""
+    n = len(found)
+    size = n - int(np.ceil(similarity * n - EPS)) + 1
+    if not len(hashes):
+        return found[:size]
+    at = np.minimum(np.searchsorted(hashes, found), len(hashes) - 1)
+    rank = np.where(hashes[at] == found, ranks[at], 0)
+    return found[np.argsort(rank, kind="stable")[:size]]
+
+
+def frequent(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, ranks) of shingles in 8 or more of a bounded sample of different texts."""
+    share = int((1 << 30) * min(1.0, SAMPLE / max(docs.count(), 1)))
+    drawn = F.pmod(F.xxhash64(F.lit("shingle sample"), "text"), F.lit(1 << 30)) < share
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = WordHashes()
+        for batch in batches:
+            for text in batch.column("text"):
+                yield pa.RecordBatch.from_arrays([pa.array(shingles(text.as_py(), words, known).view(np.int64))], ["h"])
+
+    rows = docs.select("text").filter(drawn).distinct().mapInArrow(listed, "h long").groupBy("h").count()
+    top = rows.filter("count >= 8").orderBy(F.desc("count"), "h").limit(FREQUENT).collect()
+    hashes = np.array([row["h"] for row in top], np.int64).view(np.uint64)
+    order = np.argsort(hashes)
+    return hashes[order], (len(top) - np.arange(len(top)))[order]
+
+
+def nodes(docs: DataFrame, keep: list[str], words: int, similarity: float) -> DataFrame:
+    """The columns ``keep`` with fp (a hash of the set), n (its size) and its prefix."""
+    order = docs.sparkSession.sparkContext.broadcast(frequent(docs, words))
+    docs = docs.select(*keep, "text")
+    schema = docs.select(*keep).schema.add("fp", "long").add("n", "integer").add("prefix", ArrayType(LongType()))
+
+    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = WordHashes()
+        for batch in slices(batches):
+            sets = [shingles(text.as_py(), words, known) for text in batch.column("text")]
+            fp = np.array([xxhash.xxh64_intdigest(found.tobytes()) for found in sets], np.uint64).view(np.int64)
+            firsts = [prefix(found, similarity, *order.value).view(np.int64) for found in sets]
+            ends = np.concatenate(([0], np.cumsum([len(first) for first in firsts]))).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*firsts, np.zeros(0, np.int64)])))
+            arrays = [pa.array(fp), pa.array([len(found) for found in sets], pa.int32()), lists]
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(name) for name in keep), *arrays], [*keep, "fp", "n", "prefix"]
+            )
+
+    return docs.mapInArrow(marked, schema)
+
+
+def sets_of(docs: DataFrame, words: int) -> DataFrame:
+    """fp and the whole set of each row (fp, text)."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = WordHashes()
+        for batch in slices(batches, 64):
+            sets = [shingles(text.as_py(), words, known).view(np.int64) for text in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([batch.column("fp"), pa.array(sets, pa.list_(pa.int64()))], ["fp", "shingles"])
+
+    return docs.select("fp", "text").mapInArrow(whole, "fp long, shingles array<long>")
+
+
+def link(per_fp: DataFrame, rows: DataFrame, key: str, words: int, similarity: float) -> DataFrame:
+    """Edges (a, b) that connect all sets of at least ``similarity``.
+
+    ``per_fp``: fp, n, prefix and the ``row`` of ``rows`` (``key``, text) that stands for it.
+    """
+    t = F.lit(similarity)
+
+    def near(n: Column, m: Column) -> Column:
+        return F.least(n, m) >= t * F.greatest(n, m) - EPS
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        pairs = stored(pairs, "pairs")
+        wanted = pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct()
+        wanted = stored(per_fp.select("fp", F.col("row").alias(key)).join(wanted, "fp", "left_semi"), "wanted")
+        sets = stored(sets_of(rows.join(broadcast_if_small(wanted), key), words), "sets")
+        a, b = (sets.select(F.col("fp").alias(x), F.col("shingles").alias(f"set_{x}")) for x in "ab")
+        both = F.size(F.array_intersect("set_a", "set_b"))
+        either = F.size("set_a") + F.size("set_b") - both
+        return pairs.join(a, "a").join(b, "b").filter(both >= t * either - EPS).select("a", "b")
+
+    posted = per_fp.select("fp", "n", F.posexplode("prefix").alias("place", "token"))
+    shared = posted.groupBy("token").agg(
+        F.min(F.struct("fp", "n")).alias("low"), F.max("fp").alias("high")
+    )
+    live = stored(posted.join(shared.filter("low.fp < high").drop("high"), "token"), "shared")
+    first = live.filter((F.col("fp") != F.col("low.fp")) & near(F.col("n"), F.col("low.n")))
+    edges = stored(verified(first.select(F.col("fp").alias("a"), F.col("low.fp").alias("b")).distinct()), "first")
+
+    labels = components(edges).withColumnRenamed("node", "fp")
+    live = stored(live.drop("low").join(labels, "fp", "left").withColumn("label", F.coalesce("label", "fp")), "labelled")
+    spread = live.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high")
+    live = stored(live.join(spread.drop("high"), "token"), "spread")
+    # Of two different labels at least one is not the smallest.
+    x, y = live.filter("label <> low").alias("x"), live.alias("y")
+    room = F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place"))
+    rest = x.join(
+        y,
+        (F.col("x.token") == F.col("y.token"))
+        & (F.col("x.label") != F.col("y.label"))
+        & near(F.col("x.n"), F.col("y.n"))
+        # The first shared hash of a pair leaves room for all they must share.
+        & (room >= t / (1 + t) * (F.col("x.n") + F.col("y.n")) - EPS),
+    ).select(F.least("x.fp", "y.fp").alias("a"), F.greatest("x.fp", "y.fp").alias("b"))
+    return edges.union(verified(rest.distinct()))

@@ -32,6 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sheaf.llm import shingle_join
 from sheaf.llm.common import free_name, with_row_key
 from sheaf.llm.components import components, local_roots
 from sheaf.session import stored
@@ -59,13 +60,13 @@ def fingerprint(text: str | None, words: int = 3) -> int:
     return int(np.packbits(2 * ones > len(starts), bitorder="little").view("<i8")[0])
 
 
-def fingerprints(docs: DataFrame, *keep: str) -> DataFrame:
+def fingerprints(docs: DataFrame, *keep: str, words: int = 3) -> DataFrame:
     """The columns ``keep`` of ``docs`` with the SimHash of ``text`` as a long column ``fp``."""
     docs = docs.select(*keep, "text")
 
     def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = [fingerprint(text.as_py()) for text in batch.column("text")]
+            values = [fingerprint(text.as_py(), words) for text in batch.column("text")]
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(name) for name in keep), pa.array(values, pa.int64())], [*keep, "fp"]
             )
@@ -211,9 +212,9 @@ def neighbour_edges(distinct: DataFrame) -> DataFrame:
     return keyed.join(lowest, "key").select(F.col("fp").alias("a"), "b").filter("a <> b").distinct()
 
 
-def labelled(per_fp: DataFrame) -> DataFrame:
+def labelled(per_fp: DataFrame, edges: DataFrame) -> DataFrame:
     """``per_fp`` (fp, distinct) with a label that linked fingerprints share."""
-    labels = components(link(per_fp.select("fp"))).withColumnRenamed("node", "fp")
+    labels = components(edges).withColumnRenamed("node", "fp")
     return per_fp.join(labels, "fp", "left").withColumn("label", F.coalesce("label", "fp"))
 
 
@@ -221,7 +222,7 @@ def near_duplicates(docs: DataFrame, hot_share: int = 1000) -> DataFrame:
     """doc_id, fingerprint, component_id of every document (doc_id, text)."""
     rows = stored(fingerprints(docs, "doc_id"), "fingerprints")
     per_fp = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "distinct")
-    classes = stored(labelled(per_fp), "classes")
+    classes = stored(labelled(per_fp, link(per_fp.select("fp"))), "classes")
     ids = classes.groupBy("label").agg(F.min("first").alias("component_id"))
     ids = stored(classes.join(ids, "label").select("fp", "n", "component_id"), "components")
     # At most hot_share fingerprints can hold more than that share of all rows.
@@ -233,16 +234,28 @@ def near_duplicates(docs: DataFrame, hot_share: int = 1000) -> DataFrame:
     return joined.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def keep_one(docs: DataFrame, words: int = 3, similarity: float | None = None) -> DataFrame:
     """``docs`` (all columns) without near duplicates: of each component the smallest doc_id stays.
 
-    One row stays even if ids repeat or are null (null counts as largest). Only ids,
-    fingerprints and row keys are stored; the rows are then looked up by key.
+    Near are texts whose fingerprints differ in at most ``BITS`` bits, or, with ``similarity``,
+    whose sets of shingles of ``words`` words have at least that Jaccard similarity (exactly
+    those, see ``shingle_join``; texts without words are equal). One row stays even if ids
+    repeat or are null (null counts as largest). Only ids, fingerprints, row keys and, with
+    ``similarity``, parts of the sets are stored; the rows are then looked up by key.
     """
     key = free_name(docs, "_row")
     rows = with_row_key(docs, key)
-    narrow = stored(fingerprints(rows, "doc_id", key).withColumnRenamed(key, "row"), "fingerprints")
     order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), "row")
+    if similarity is None:
+        marked = fingerprints(rows, "doc_id", key, words=words)
+    else:
+        marked = shingle_join.nodes(rows, ["doc_id", key], words, similarity)
+    narrow = stored(marked.withColumnRenamed(key, "row"), "fingerprints")
     per_fp = stored(narrow.groupBy("fp").agg(F.min(order).alias("first")), "distinct")
-    kept = labelled(per_fp).groupBy("label").agg(F.min("first").alias("first"))
+    if similarity is None:
+        edges = link(per_fp.select("fp"))
+    else:
+        firsts = per_fp.select(F.col("first.row").alias("row"))
+        edges = shingle_join.link(narrow.join(firsts, "row", "left_semi"), rows.select(key, "text"), key, words, similarity)
+    kept = labelled(per_fp, edges).groupBy("label").agg(F.min("first").alias("first"))
     return rows.join(kept.select(F.col("first.row").alias(key)), key, "left_semi").select(*docs.columns)

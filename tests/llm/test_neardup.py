@@ -158,3 +158,36 @@ def test_spans_do_not_depend_on_what_surrounds():
     a = {h for h, _, _ in sentence_spans.spans(inner, 2, 20)[1]}
     b = {h for h, _, _ in sentence_spans.spans("Else. " + " ".join(words), 2, 20)[1]}
     assert len(a & b) >= len(a) - 4
+
+
+def brute_kept(texts, words=5, similarity=0.8):
+    """The smallest place of each component of texts with similar shingle sets."""
+    sets = []
+    for text in texts:
+        w = (text or "").lower().split()
+        n = min(words, len(w))
+        sets.append({" ".join(w[i : i + n]) for i in range(len(w) - n + 1)} if w else {""})
+    pairs = [(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets[:i]) if len(a & b) >= similarity * len(a | b) - 1e-9]
+    a, b = (np.array([pair[i] for pair in pairs], np.int64) for i in (0, 1))
+    return sorted(set(local_roots(len(texts), a, b).tolist()))
+
+
+def test_similar_shingles_against_brute_force(spark):
+    rng = random.Random(23)
+    word = lambda: "".join(rng.choices("abcdefgh", k=4))
+    passage, texts = " ".join(word() for _ in range(60)), [None, "", " \n", "One two", "one TWO", "one"]
+    for _ in range(25):
+        words = [word() for _ in range(rng.randint(5, 120))]
+        for _ in range(rng.randint(1, 8)):  # a chain: each copy is edited further
+            words = list(words)
+            for _ in range(rng.randint(0, 3)):
+                words[rng.randrange(len(words))] = word()
+            texts.append(" ".join(words))
+        texts.append(f"{passage} {' '.join(word() for _ in range(rng.randint(5, 40)))}")
+    texts += texts[40:45]
+    rng.shuffle(texts)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = simhash_neardup.keep_one(docs, words=5, similarity=0.8)
+    assert sorted(r.doc_id for r in kept.collect()) == brute_kept(texts)
+    assert len(brute_kept(texts)) < len(simhash_neardup.keep_one(docs).collect())
+    assert simhash_neardup.keep_one(docs.limit(0), 5, 0.8).collect() == []
