@@ -7,6 +7,13 @@ removed, and so are those of its later occurrences within a document, which need
 Spans depend on nothing but their own sentences, so a repeated passage is found wherever it
 stands, apart from the sentences at its ends that are joined with other text.
 
+Passages that hold no whole span, such as one set inside other sentences, are found by words:
+of the ``GRAM`` words from each word on, those whose hash is the smallest of some ``WINDOW``
+neighbouring ones are hashed too (winnowing). Every passage of GRAM + WINDOW - 1 = 50 words
+holds one, whatever stands around it. They have owners in the same way, and one that repeats
+is cut out unless a sentence span has cut some of its words already. So each repeated passage
+of 50 words loses words; up to 49 words of one may stay at an end.
+
 A task hands each span of a document on once, whatever its repetitions there, and the
 smallest id is combined on the map side. Only spans seen in two documents or more are
 joined back; a span that a third of all documents share is one row on its side, and adaptive
@@ -17,7 +24,8 @@ white space follows; a run of more than ``LONG`` words without an end is parted
 chosen by their hash, so that the parts are the same wherever it stands. They are compared in lower case with white space collapsed.
 
 Defined results: null texts stay null, empty texts stay; a text with fewer than ``sentences``
-sentences or ``words`` words has no span. Rows with a null doc_id are left as they are and
+sentences or ``words`` words has no sentence span, one with fewer than 50 words no other.
+``n_removed`` counts the sentences that lose words, in whole or in part. Rows with a null doc_id are left as they are and
 don't count; rows that share an id are one document, of which none is removed for the others'
 sake. Equal passages go to the smallest id. Texts of any length are handled whole. Other
 columns are ignored. An empty table gives no rows.
@@ -25,6 +33,7 @@ columns are ignored. An empty table gives no rows.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,11 +43,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sheaf.llm.decontaminate import qgrams
+from sheaf.llm.shingle_join import WordHashes
 from sheaf.session import stored
 
 SENTENCE = regex.compile(r"[^\n]+?(?:[.!?]+(?=\s)|(?=\n)|\Z)\s*|\s+")
 WORD = regex.compile(r"\S+\s*")
+TOKEN = re.compile(r"\S+")  # as str.split()
 LONG = 40
+GRAM, WINDOW = 25, 26
 
 
 def sentences_of(text: str) -> list[tuple[int, int, bytes, int]]:
@@ -80,6 +93,53 @@ def spans(text: str, sentences: int, words: int) -> tuple[list[tuple[int, int]],
     return [sentence[:2] for sentence in found], out
 
 
+def sliding(values: np.ndarray, width: int, pick: np.ufunc) -> np.ndarray:
+    """The least or largest of every ``width`` values in a row."""
+    size = 1
+    while 2 * size <= width:
+        values = pick(values[:-size], values[size:])
+        size *= 2
+    rest = width - size
+    return pick(values[:-rest], values[rest:]) if rest else values
+
+
+def grams(text: str, known: WordHashes) -> tuple[np.ndarray, np.ndarray]:
+    """(first word, hash) of the chosen runs of ``GRAM`` words, in order."""
+    parts = text.lower().split()
+    if len(parts) < GRAM + WINDOW - 1:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    parts = [part if part.isascii() else part.encode("utf-8", "surrogatepass") for part in parts]
+    hashes = qgrams(known.array(parts), GRAM)
+    edge = np.zeros(WINDOW - 1, np.uint64)
+    least = np.concatenate((edge, sliding(hashes, WINDOW, np.minimum), edge))
+    at = np.flatnonzero(sliding(least, WINDOW, np.maximum) == hashes)
+    # Words and sentences are hashed apart.
+    return at, hashes[at] ^ np.uint64(0x9E3779B97F4A7C15)
+
+
+def word_cuts(text: str, at: np.ndarray, hashes: np.ndarray, gone: np.ndarray, kept: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Characters (start, end) of the repeated runs of words that touch none of ``kept`` spans of characters."""
+    if not len(at):
+        return []
+    _, first, which = np.unique(hashes, return_index=True, return_inverse=True)
+    first = at[first][which]
+    elsewhere = np.isin(hashes, gone)
+    begin = np.where(elsewhere, at, np.maximum(at, first + GRAM))  # the first one here stays whole
+    found = np.flatnonzero(elsewhere | (at > first))
+    if not len(found):
+        return []
+    places = [match.span() for match in TOKEN.finditer(text)]
+    starts, ends = np.array([p[0] for p in places] + [len(text)]), np.array([p[1] for p in places])
+    marks = np.zeros(len(places) + 1, np.int64)
+    for i, j in kept:
+        marks[np.searchsorted(ends, i, "right")] += 1
+        marks[np.searchsorted(starts[:-1], j)] -= 1
+    taken = np.concatenate(([0], np.cumsum(np.cumsum(marks[:-1]) > 0)))
+    mask = covered(len(places), [(int(b), int(a) + GRAM) for a, b in zip(at[found], begin[found], strict=True) if taken[a + GRAM] == taken[a]])
+    edges = np.flatnonzero(np.diff(np.concatenate(([0], mask, [0]))))
+    return [(int(starts[i]), int(starts[j])) for i, j in edges.reshape(-1, 2)]
+
+
 def covered(n: int, spans_: list[tuple[int, int]]) -> np.ndarray:
     """Which of ``n`` sentences lie in one of the spans."""
     steps = np.zeros(n + 1, np.int64)
@@ -93,11 +153,14 @@ def repeated(docs: DataFrame, sentences: int, words: int) -> DataFrame:
     """doc_id, hashes: the spans of each document that belong to one with a smaller id."""
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = WordHashes()
         for batch in batches:
             ids, hashes = batch.column("doc_id"), []
             counts = np.zeros(batch.num_rows, np.int64)
             for i, text in enumerate(batch.column("text")):
-                here = {h for h, _, _ in spans(text.as_py() or "", sentences, words)[1]}
+                text = text.as_py() or ""
+                here = {h for h, _, _ in spans(text, sentences, words)[1]}
+                here.update(grams(text, known)[1].tolist())
                 counts[i] = len(here)
                 hashes.append(np.fromiter(here, np.uint64, len(here)).view(np.int64))
                 if sum(map(len, hashes)) > 1 << 17 or i == batch.num_rows - 1:
@@ -124,6 +187,7 @@ def dedupe(docs: DataFrame, sentences: int = 2, words: int = 20) -> DataFrame:
     joined = joined.join(repeated(joined, sentences, words), "doc_id", "left")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = WordHashes()
         for batch in batches:
             texts, totals, removed = [], [], []
             for named, text, hashes in zip(*(batch.column(name) for name in ("doc_id", "text", "hashes")), strict=True):
@@ -137,10 +201,18 @@ def dedupe(docs: DataFrame, sentences: int = 2, words: int = 20) -> DataFrame:
                         out.append((first, end))
                     seen.add(h)
                 mask = covered(len(found), out)
+                cuts = [span for span, drop in zip(found, mask, strict=True) if drop]
+                if text and named.is_valid:
+                    at, chosen = grams(text, known)
+                    more = word_cuts(text, at, chosen, np.fromiter(gone, np.uint64, len(gone)), cuts)
+                    begins, ends = (np.array([sentence[side] for sentence in found]) for side in (0, 1))
+                    for i, j in more:
+                        mask[np.searchsorted(ends, i, "right") : np.searchsorted(begins, j)] = True
+                    cuts = sorted(cuts + more)
                 totals.append(len(found))
                 removed.append(int(mask.sum()))
-                if out:
-                    text = "".join(text[i:j] for (i, j), drop in zip(found, mask, strict=True) if not drop)
+                if cuts:
+                    text = "".join(text[i:j] for (_, i), (j, _) in zip([(0, 0), *cuts], [*cuts, (len(text), 0)], strict=True))
                 texts.append(text)
             arrays = [batch.column("doc_id"), pa.array(totals, pa.int32()), pa.array(removed, pa.int32()), pa.array(texts, pa.string())]
             yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_sentences", "n_removed", "text"])

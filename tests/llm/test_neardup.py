@@ -191,3 +191,26 @@ def test_similar_shingles_against_brute_force(spark):
     assert sorted(r.doc_id for r in kept.collect()) == brute_kept(texts)
     assert len(brute_kept(texts)) < len(simhash_neardup.keep_one(docs).collect())
     assert simhash_neardup.keep_one(docs.limit(0), 5, 0.8).collect() == []
+
+
+def test_every_repeated_passage_of_50_words_loses_words(spark):
+    rng = random.Random(31)
+    word = lambda: "".join(rng.choices("abcdefghijk", k=5))
+    prose = lambda n, ends: " ".join(word() + ("." if rng.random() < ends else "") for _ in range(n))
+    texts, passages = [], []
+    for i in range(40):
+        passages.append(prose(50 + i % 4, (0, 0.02, 0.05, 0.1)[i % 4]))
+        texts.append(f"{prose(rng.randint(0, 70), 0.03)} {passages[-1]} {prose(rng.randint(0, 70), 0.03)}")
+    once = len(texts)
+    texts += [f"{prose(rng.randint(0, 70), 0.03)} {p} {prose(rng.randint(0, 70), 0.03)}" for p in passages]
+    texts += [f"{passages[0]} {prose(30, 0)} {passages[0].upper()}", "same " * 500]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in sentence_spans.dedupe(docs).collect()}
+    for i, text in enumerate(texts[:once]):
+        assert (got[i].n_removed, got[i].text) == (0, text)
+    for i, passage in enumerate(passages):
+        out, text = got[once + i], texts[once + i]
+        left, right = text.split(passage)
+        assert out.n_removed and out.text.startswith(left) and out.text.endswith(right)
+        assert len(text.split()) - len(out.text.split()) >= 20
+    assert got[once + 40].n_removed and len(got[once + 41].text.split()) < 500
