@@ -7,6 +7,7 @@ import public_tokenizers
 from sheaf.llm import (
     decontaminate,
     language_id,
+    merkle_manifest,
     secret_scan,
     sentence_spans,
     simhash_neardup,
@@ -59,6 +60,10 @@ def op7_sentence_spans(spark, sf_dir):
     return sentence_spans.dedupe(documents(spark, sf_dir))
 
 
+def op11_merkle_manifest(spark, sf_dir):
+    return merkle_manifest.manifest(documents(spark, sf_dir), merkle_manifest.tampered_leaf())
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_site_lines": op2_site_lines,
@@ -70,6 +75,7 @@ QUERIES = {
     "op8_topk_voronoi": op8_topk_voronoi,
     "op9_secret_scan": op9_secret_scan,
     "op10_source_mix": op10_source_mix,
+    "op11_merkle_manifest": op11_merkle_manifest,
 }
 
 RULE_SPANS = """
@@ -94,7 +100,51 @@ RULES_SQL = " UNION ALL ".join(
     for rank, rule in enumerate(secret_scan.RULES)
 )
 
+LEAF_SQL = "sha256(" + " || ".join(
+    f"CASE WHEN {c} IS NULL THEN '-' ELSE strlen({c}::VARCHAR) || ':' || {c}::VARCHAR END"
+    for c in ("doc_id", "source", "lang", "{n_chars}", "text")
+) + ")"
+CRC_SQL = """xor(4294967295, list_reduce(
+    [4294967295::BIGINT] || list_transform(regexp_extract_all(doc_id::VARCHAR, '.'), lambda c: ord(c)::BIGINT),
+    lambda acc, b: list_reduce([xor(acc, b)] || [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[],
+        lambda v, z: CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384) ELSE v // 2 END)))"""
+# One level up: pairs of a tree's nodes, and the way of each row along its siblings.
+UP_SQL = """SELECT tree, level + 1, idx // 2, (n + 1) // 2, sha256(string_agg(digest, '' ORDER BY idx)) FROM {nodes}
+            WHERE n > 1 GROUP BY tree, level, idx // 2, n"""
+WALK_SQL = """SELECT w.id, w.tree, w.level + 1, w.idx // 2, (w.n + 1) // 2, sha256(CASE WHEN s.digest IS NULL THEN w.digest
+                WHEN w.idx % 2 = 1 THEN s.digest || w.digest ELSE w.digest || s.digest END), w.proof || coalesce(s.digest, '')
+            FROM {walk} w LEFT JOIN {nodes} s ON s.tree = w.tree AND s.level = w.level AND s.idx = xor(w.idx, 1)
+            WHERE w.n > 1"""
+
 ORACLES = {
+    "op11_merkle_manifest": f"""
+        WITH RECURSIVE leaves AS MATERIALIZED (
+            SELECT row_number() OVER () AS id, doc_id, coalesce('=' || lang, '') AS tree,
+                {LEAF_SQL.format(n_chars="n_chars")} AS leaf,
+                CASE WHEN {CRC_SQL} % 7 = 0 THEN {LEAF_SQL.format(n_chars="(n_chars + 1)")}
+                    ELSE {LEAF_SQL.format(n_chars="n_chars")} END AS claimed
+            FROM documents
+        ), placed AS MATERIALIZED (
+            SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx,
+                count(*) OVER (PARTITION BY tree) AS n
+            FROM leaves
+        ), nodes(tree, level, idx, n, digest) AS (
+            SELECT tree, 0, idx, n, leaf FROM placed UNION ALL {UP_SQL.format(nodes="nodes")}
+        ), subroots AS MATERIALIZED (
+            SELECT tree AS of, row_number() OVER (ORDER BY tree) - 1 AS idx, count(*) OVER () AS n, digest FROM nodes WHERE n = 1
+        ), tops(tree, level, idx, n, digest) AS (
+            SELECT '', 0, idx, n, digest FROM subroots UNION ALL {UP_SQL.format(nodes="tops")}
+        ), walk(id, tree, level, idx, n, digest, proof) AS (
+            SELECT id, tree, 0, idx, n, claimed, '' FROM placed UNION ALL {WALK_SQL.format(walk="walk", nodes="nodes")}
+        ), last(id, tree, level, idx, n, digest, proof) AS (
+            SELECT w.id, '', 0, s.idx, s.n, w.digest, w.proof FROM walk w JOIN subroots s ON s.of = w.tree WHERE w.n = 1
+            UNION ALL {WALK_SQL.format(walk="last", nodes="tops")}
+        )
+        SELECT doc_id, leaf, subroots.digest AS subroot, tops.digest AS root, sha256(proof) AS proof_sha256,
+            last.digest AS folded_root, last.digest = tops.digest AS verified
+        FROM placed JOIN last USING (id) JOIN subroots ON subroots.of = placed.tree JOIN tops ON tops.n = 1
+        WHERE last.n = 1
+    """,
     "op2_site_lines": f"""
         WITH split AS (
             SELECT page_id, nullif(lower(regexp_extract(url, '{site_lines.HOST}', 1)), '') AS host,
