@@ -7,6 +7,7 @@ import public_tokenizers
 from sheaf.llm import (
     decontaminate,
     language_id,
+    lexical_search,
     merkle_manifest,
     secret_scan,
     sentence_spans,
@@ -64,6 +65,10 @@ def op11_merkle_manifest(spark, sf_dir):
     return merkle_manifest.manifest(documents(spark, sf_dir), merkle_manifest.tampered_leaf())
 
 
+def op12_lexical_search(spark, sf_dir):
+    return lexical_search.rank_documents(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_site_lines": op2_site_lines,
@@ -76,6 +81,7 @@ QUERIES = {
     "op9_secret_scan": op9_secret_scan,
     "op10_source_mix": op10_source_mix,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_lexical_search": op12_lexical_search,
 }
 
 RULE_SPANS = """
@@ -108,6 +114,8 @@ CRC_SQL = """xor(4294967295, list_reduce(
     [4294967295::BIGINT] || list_transform(regexp_extract_all(doc_id::VARCHAR, '.'), lambda c: ord(c)::BIGINT),
     lambda acc, b: list_reduce([xor(acc, b)] || [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[],
         lambda v, z: CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384) ELSE v // 2 END)))"""
+TERMS_SQL = """regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"""
 # One level up: pairs of a tree's nodes, and the way of each row along its siblings.
 UP_SQL = """SELECT tree, level + 1, idx // 2, (n + 1) // 2, sha256(string_agg(digest, '' ORDER BY idx)) FROM {nodes}
             WHERE n > 1 GROUP BY tree, level, idx // 2, n"""
@@ -117,6 +125,32 @@ WALK_SQL = """SELECT w.id, w.tree, w.level + 1, w.idx // 2, (w.n + 1) // 2, sha2
             WHERE w.n > 1"""
 
 ORACLES = {
+    "op12_lexical_search": f"""
+        WITH docs AS MATERIALIZED (
+            SELECT row_number() OVER () AS r, doc_id, {TERMS_SQL} AS terms FROM documents
+        ), totals AS (
+            SELECT count(*) FILTER (len(terms) > 0)::BIGINT AS all_docs, sum(len(terms))::BIGINT AS all_terms FROM docs
+        ), asked AS MATERIALIZED (
+            SELECT item, item_id, term, count(*) AS repeats FROM (
+                SELECT item, item_id, unnest(terms) AS term
+                FROM (SELECT row_number() OVER () AS item, item_id, {TERMS_SQL} AS terms FROM benchmark)
+            ) GROUP BY ALL
+        ), posted AS MATERIALIZED (
+            SELECT r, doc_id, n, term, count(*) AS tf FROM (SELECT r, doc_id, len(terms) AS n, unnest(terms) AS term FROM docs)
+            WHERE term IN (SELECT term FROM asked) GROUP BY ALL
+        ), weights AS (
+            SELECT term, floor(1000 * ln((2 * all_docs + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT AS w
+            FROM (SELECT term, count(*) AS df FROM posted GROUP BY term), totals
+        ), scored AS (
+            SELECT item, item_id, r, doc_id, sum(repeats * w
+                * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + ((75 * n * all_docs) // all_terms)))))::BIGINT AS score
+            FROM posted JOIN asked USING (term) JOIN weights USING (term), totals GROUP BY item, item_id, r, doc_id
+        ), placed AS (
+            SELECT *, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id NULLS LAST)::INTEGER AS rank
+            FROM scored WHERE score > 0
+        )
+        SELECT item_id, rank, doc_id, score FROM placed WHERE rank <= 10
+    """,
     "op11_merkle_manifest": f"""
         WITH RECURSIVE leaves AS MATERIALIZED (
             SELECT row_number() OVER () AS id, doc_id, coalesce('=' || lang, '') AS tree,
