@@ -9,6 +9,7 @@ from sheaf.llm import (
     language_id,
     lexical_search,
     merkle_manifest,
+    rank_bpe,
     secret_scan,
     sentence_spans,
     simhash_neardup,
@@ -69,6 +70,10 @@ def op12_lexical_search(spark, sf_dir):
     return lexical_search.rank_documents(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op13_rank_bpe(spark, sf_dir):
+    return rank_bpe.digests(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_site_lines": op2_site_lines,
@@ -82,6 +87,7 @@ QUERIES = {
     "op10_source_mix": op10_source_mix,
     "op11_merkle_manifest": op11_merkle_manifest,
     "op12_lexical_search": op12_lexical_search,
+    "op13_rank_bpe": op13_rank_bpe,
 }
 
 RULE_SPANS = """
