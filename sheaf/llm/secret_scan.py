@@ -2,7 +2,7 @@
 
 From each rule's regular expression a Boolean trigram query is derived: a set of
 alternatives, each a set of trigrams that any match contains in lower case. The inverted
-index has a row for every document and trigram that some rule asks for; alternatives are
+index has an entry for every document and trigram that some rule asks for; alternatives are
 answered by intersecting postings, and only the candidate documents are read again and
 verified with the rule itself. A rule without mandatory trigrams (runs of hex digits)
 scans every document; its rule is the only one that does.
@@ -10,10 +10,9 @@ scans every document; its rule is the only one that does.
 Matches are leftmost and do not overlap within a rule. Their places follow from the lengths
 of the matches and of what lies between them, in code points.
 
-Defined results: a null or empty text has no spans. Repeated rows are scanned each; rows that
-share an id get the spans of each of them, from the candidates of all. Rows with a null id are
-scanned by all rules. An empty table gives no rows. Texts of any length are scanned whole.
-Other columns are ignored.
+Defined results: a null or empty text has no spans. Rows are known by their place, not by their
+id, so rows that repeat, that share an id or have none are each scanned by themselves. An empty
+table gives no rows. Texts of any length are scanned whole. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,6 +26,7 @@ from re import _parser
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sheaf.llm.common import with_row_key
 from sheaf.session import stored
 
 
@@ -140,14 +140,14 @@ def spans(text: Column, rule: Rule) -> Column:
 
 
 def postings(docs: DataFrame, grams: list[str]) -> DataFrame:
-    """The inverted index: trigram, doc_id for the trigrams asked for."""
-    lower = F.lower("text")
-    present = F.array_compact(F.array(*(F.when(F.contains(lower, F.lit(gram)), F.lit(gram)) for gram in grams)))
-    return docs.filter("doc_id IS NOT NULL").select(F.explode(F.array_distinct(present)).alias("trigram"), "doc_id")
+    """The inverted index: trigram, row for the trigrams asked for."""
+    lowered = docs.select("row", F.lower("text").alias("lower"))  # once for all trigrams
+    present = F.array_compact(F.array(*(F.when(F.contains("lower", F.lit(gram)), F.lit(gram)) for gram in grams)))
+    return lowered.select("row", present.alias("present")).select(F.explode("present").alias("trigram"), "row")
 
 
 def candidates(index: DataFrame, queries: dict[str, set[frozenset[str]]]) -> DataFrame:
-    """kind, doc_id: the documents whose postings satisfy a rule's query.
+    """kind, row: the documents whose postings satisfy a rule's query.
 
     An alternative is met where the number of its trigrams with a posting for the document
     is its size. Counting is by document and alternative, so a frequent trigram is no hot key.
@@ -160,13 +160,11 @@ def candidates(index: DataFrame, queries: dict[str, set[frozenset[str]]]) -> Dat
     ]
     table = index.sparkSession.createDataFrame(wanted, "kind string, number int, size int, trigram string")
     return (
-        index.distinct()
-        .join(F.broadcast(table), "trigram")  # the rules' own trigrams
-        .groupBy("doc_id", "kind", "number", "size")
+        index.join(F.broadcast(table), "trigram")  # the rules' own trigrams
+        .groupBy("row", "kind", "number", "size")
         .count()
         .filter("count = size")
-        .select("kind", "doc_id")
-        .distinct()
+        .select("kind", "row")
     )
 
 
@@ -207,30 +205,17 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, n_base: int = len(BAS
     numbered = list(enumerate(rules))
     everywhere = [(i, rule) for i, rule in numbered if rule.kind not in indexed]
     chosen = [(i, rule) for i, rule in numbered if rule.kind in indexed]
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-
-    found = all_spans(F.col("text"), None, everywhere) if everywhere else F.array()
-    empty = "array<struct<start:int,rank:int,end:int>>"
-    scanned = texts.filter("doc_id IS NOT NULL").select("doc_id", found.cast(empty).alias("found"))
-    unnamed = texts.filter("doc_id IS NULL").select("doc_id", all_spans(F.col("text"), None, numbered).alias("found"))
+    texts = with_row_key(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), "row")
 
+    empty = F.array().cast("array<struct<start:int,rank:int,end:int>>")
+    found = all_spans(F.col("text"), None, everywhere) if everywhere else empty
+    scanned = texts.select("row", "doc_id", found.alias("found"))
     grams = sorted(set().union(*(grams for query in indexed.values() for grams in query)))
     index = stored(postings(texts, grams), "postings")
-    listed = candidates(index, indexed).groupBy("doc_id").agg(F.collect_set("kind").alias("kinds"))
-    verified = texts.join(listed, "doc_id").select(
-        "doc_id", all_spans(F.col("text"), F.col("kinds"), chosen).alias("found")
-    )
-    return summary(scanned, unnamed, verified, rules, n_base)
-
-
-def summary(
-    scanned: DataFrame, unnamed: DataFrame, verified: DataFrame, rules: tuple[Rule, ...], n_base: int
-) -> DataFrame:
-    # The verified spans of an id, without repeats: rows that share an id have one list.
-    more = verified.groupBy("doc_id").agg(F.flatten(F.collect_set("found")).alias("more"))
-    found = F.array_sort(F.concat("found", F.coalesce("more", F.array().cast("array<struct<start:int,rank:int,end:int>>"))))
-    rows = scanned.join(more, "doc_id", "left").select("doc_id", found.alias("found"))
-    rows = rows.unionByName(unnamed.select("doc_id", F.array_sort("found").alias("found")))
+    listed = candidates(index, indexed).groupBy("row").agg(F.collect_set("kind").alias("kinds"))  # kinds are few
+    verified = texts.join(listed, "row").select("row", all_spans(F.col("text"), F.col("kinds"), chosen).alias("more"))
+    found = F.array_sort(F.concat("found", F.coalesce("more", empty)))
+    rows = scanned.join(verified, "row", "left").select("doc_id", found.alias("found"))
     base = F.filter("found", lambda x: x["rank"] < n_base)
     counts = [
         F.size(F.filter("found", of_rank(i))).cast("long").alias(f"n_{rule.kind}")
@@ -242,4 +227,3 @@ def summary(
         F.sha2(joined_spans(base, rules), 256).alias("base_sha256"),
         joined_spans(F.col("found"), rules).alias("spans"),
     )
-
