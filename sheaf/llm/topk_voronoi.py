@@ -17,8 +17,9 @@ Defined results: null vectors and those with null, NaN or infinite components ta
 shorter vectors count as padded with zeros; an empty vector has score 0 with all. A query
 with fewer than k candidates returns all. Ties go to the smaller vec_id. Rows with a null
 vec_id take no part; rows that repeat a vec_id are candidates each for itself, but none of
-them for its own id, and of repeated queries the one with the smallest vector asks. Other
-columns are ignored.
+them for its own id, and of repeated queries the one with the smallest vector asks. Values of any
+size are exact; a component that is no 64-bit integer after floor(256 x), or a score among the k
+best beyond 64 bits, is an error. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -37,11 +38,13 @@ SLACK = 1e-3  # for rounding of distances, which are at least integers' square r
 
 
 def integers(table: DataFrame) -> DataFrame:
-    """vec_id, v: floor(256 x) of the usable vectors."""
+    """vec_id, v: floor(256 x) of the usable vectors; an error where it is no long."""
     value = F.transform("embedding", lambda x: x.cast("double"))
-    usable = F.forall(value, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < 2.0**40))
+    usable = F.forall(value, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    too_large = F.raise_error(F.lit("a component times 256 is beyond 64 bits")).cast("long")
+    whole = F.transform(value, lambda x: F.when(F.abs(x) < 2.0**55, F.floor(x * 256)).otherwise(too_large))
     return table.filter("vec_id IS NOT NULL AND embedding IS NOT NULL").filter(usable).select(
-        F.col("vec_id").cast("long").alias("vec_id"), F.transform(value, lambda x: F.floor(x * 256)).alias("v")
+        F.col("vec_id").cast("long").alias("vec_id"), whole.alias("v")
     )
 
 
@@ -66,12 +69,15 @@ def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Exact inner products of int64 rows; by floating point where that is exact."""
+    """Exact inner products of int64 rows: by floating point or 64 bits where that is exact, else by Python's integers."""
     if not a.size or not b.size:
         return np.zeros((len(a), len(b)), np.int64)
-    if float(np.abs(a).max()) * float(np.abs(b).max()) * a.shape[1] < 2.0**52:
+    most = float(np.abs(a).max()) * float(np.abs(b).max()) * a.shape[1]
+    if most < 2.0**52:
         return (a.astype(np.float64) @ b.T.astype(np.float64)).astype(np.int64)
-    return a @ b.T
+    if most < 2.0**62:
+        return a @ b.T
+    return a.astype(object) @ b.T.astype(object)
 
 
 def assigned(vectors: DataFrame, pivots: np.ndarray, width: int, top: float | None) -> DataFrame:
@@ -93,8 +99,8 @@ def assigned(vectors: DataFrame, pivots: np.ndarray, width: int, top: float | No
 def query_bounds(queries: DataFrame, pivots: np.ndarray, width: int, near: np.ndarray, k: int) -> pd.DataFrame:
     """For each query cell its number of queries, radius, and a bound on every k-th distance.
 
-    ``near[j]``: distances of the k + 1 objects nearest to pivot j, infinite where there are
-    fewer. One of these objects may be the query's own row, so the (k + 1)-th is taken.
+    ``near[j]``: distances of the k + 1 objects of different ids nearest to pivot j, infinite where
+    there are fewer. One of these objects may have the query's own id, so the (k + 1)-th is taken.
     """
 
     def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,7 +158,8 @@ def solve(queries: pd.DataFrame, data: pd.DataFrame, width: int, k: int) -> pd.D
             else:
                 best = np.arange(len(row))
             best = best[np.argsort(-row[best], kind="stable")][:k]
-            parts.append(pd.DataFrame({"query_id": query, "vec_id": ids[place[best]], "score": row[best]}))
+            score = np.array(row[best].tolist(), np.int64)  # an error if one is beyond 64 bits
+            parts.append(pd.DataFrame({"query_id": query, "vec_id": ids[place[best]], "score": score}))
     return pd.concat(parts) if parts else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype="int64")
 
 
@@ -185,17 +192,20 @@ def top_k(
     asking = stored(assigned(asked, centres, width, None), "asking")
     nearest = Window.partitionBy("cell").orderBy("far")
     near = np.full((len(centres), k + 1), np.inf)
-    ranked = cells.select("cell", "far").withColumn("rank", F.row_number().over(nearest)).filter(F.col("rank") <= k + 1)
+    # One object per id, so that at most one of those in a summary can be a query's own.
+    single = cells.groupBy("vec_id").agg(F.min(F.struct("far", "cell")).alias("best")).select("best.*")
+    ranked = single.withColumn("rank", F.row_number().over(nearest)).filter(F.col("rank") <= k + 1)
     for row in ranked.collect():  # k + 1 numbers per pivot
         near[row["cell"], row["rank"] - 1] = row["far"]
-    near += SLACK
+    slack = SLACK + 1e-6 * top**0.5  # distances of large vectors are rounded more
+    near += slack
 
     summary = query_bounds(asking, centres, width, near, k)
     if summary.empty:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     group = grouped(summary, between, per_group)
     # How near to and how far from pivot j an object useful to a group can be.
-    reach = (summary["radius"] + summary["reach"]).to_numpy()[:, None] + SLACK
+    reach = (summary["radius"] + summary["reach"]).to_numpy()[:, None] + slack
     gap = between[summary["cell"].to_numpy()]
     groups = range(group.max() + 1)
     least = np.stack([(gap - reach)[group == g].min(axis=0) for g in groups], axis=1)

@@ -52,6 +52,23 @@ def test_topk_against_brute_force(spark):
     assert dict(got) == want
 
 
+def test_topk_of_repeated_query_ids(spark):
+    rows = [(0, [16.0, 16.0])] * 3 + [(i, [16.0 - i / 10, 14.0 - i / 7]) for i in range(1, 21)]
+    table = vectors(spark, rows)
+    got = topk_voronoi.top_k(table, table.filter("vec_id = 0"), 5, pivots=16).collect()
+    assert sorted((r.vec_id, r.score) for r in got) == sorted(brute_top(rows, {0: [16.0, 16.0]}, 5)[0])
+
+
+def test_topk_of_large_values(spark):
+    rows = [(0, [2.0**44, 1.0]), (1, [4.0, 3.0]), (2, [2.0**-3, 2.0**40]), (3, [-4.0, 0.0]), (4, [2.0**-3, 0.5])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = topk_voronoi.top_k(table, table.filter("vec_id = 0"), 4).collect()
+    assert sorted((r.vec_id, r.score) for r in got) == sorted(brute_top(rows, {0: rows[0][1]}, 4)[0])
+    wide = spark.createDataFrame([(0, [1e30]), (1, [1.0])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="beyond 64 bits"):
+        topk_voronoi.top_k(wide, wide.filter("vec_id = 0"), 4).collect()
+
+
 def test_topk_small_and_empty(spark):
     two = vectors(spark, [(0, [1.0, 2.0]), (50, [3.0])])
     assert sorted(map(tuple, topk_voronoi.top_k(two, two).collect())) == [(0, 1, 50, 256 * 768), (50, 1, 0, 256 * 768)]
@@ -155,6 +172,17 @@ def test_secrets_against_brute_force(spark):
     assert secret_scan.scan(docs.limit(0)).collect() == []
 
 
+def test_secrets_of_rows_that_share_an_id(spark):
+    data = [(1, "password=abcdef12"), (1, "nothing here"), (2, "token: zzzzzz99 and password=abcdef12")]
+    data += [(2, "token: zzzzzz99"), (None, "token: zzzzzz99"), (None, None), (1, "password=abcdef12")]
+    found = secret_scan.scan(spark.createDataFrame(data, "doc_id long, text string")).collect()
+    got = sorted((r.doc_id or 0, r.n_assign, r.spans) for r in found)
+    assert got == [
+        (0, 0, ""), (0, 1, "assign:0:15"), (1, 0, ""), (1, 1, "assign:0:17"), (1, 1, "assign:0:17"),
+        (2, 1, "assign:0:15"), (2, 2, "assign:0:15,assign:20:37"),
+    ]
+
+
 def test_further_rules_and_plan(spark):
     text = f"ghp_{'z1' * 18} xoxb-1234567890ab\n-----BEGIN RSA PRIVATE KEY-----"
     found = secret_scan.scan(spark.createDataFrame([(1, text)], "doc_id long, text string"))
