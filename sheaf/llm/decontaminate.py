@@ -6,7 +6,9 @@ text less place in the passage). So the shared q-grams of a text are counted in
 diagonals that overlap by k, a band is kept if its count meets that bound, and a banded
 alignment finds the true number of edits. The filter loses nothing within the budget.
 
-The budget is k = edit_share * m edits, or as many as still leave a bound of ``floor`` q-grams.
+The budget is k = edit_share * m edits. With q = 8, or 6 for passages of fewer than ``LONG``
+characters, the bound stays positive for every passage of ``min_chars`` or more. Shorter ones
+would match by chance; they count where they stand exactly, between word boundaries.
 Texts and passages are compared in lower case with runs of other characters than letters
 and digits as one blank, so case, punctuation and line breaks don't count.
 
@@ -14,11 +16,12 @@ The passages' q-grams are hashed into a sorted index that goes to every task; pa
 taken in blocks of at most ``block_chars`` characters, so its size is bounded and a large
 benchmark costs several passes. Documents are never shuffled.
 
-Defined results: null and empty texts contain nothing; passages that are null or have fewer
-than ``min_chars`` characters left are not searched for, they would match by chance. Of
+Defined results: null and empty texts contain nothing; passages that are null or have no letter
+or digit are not searched for. item_id may have any type. Of
 several occurrences of a passage in a document, the one with the fewest edits and then the first is
 reported. Repeated rows are reported each; repeated passages are each their own. Texts of any
-length are searched whole, in overlapping pieces. An empty table on either side gives no rows.
+length are searched whole, in pieces of normalised characters that overlap by more than a passage
+with its edits. An empty table on either side gives no rows.
 Other columns are ignored.
 """
 
@@ -27,14 +30,16 @@ from __future__ import annotations
 import dataclasses
 from collections.abc import Iterator
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from sheaf.llm.common import BLOCK_CHARS, char_blocks, code_points, scrambled, slices
+from sheaf.llm.common import BLOCK_CHARS, code_points, scrambled, slices
 
-Q = 8
+Q, SMALL_Q = 8, 6
+LONG = 80  # characters of a passage from which on Q is used
 BITS = 22
 _plain: np.ndarray | None = None
 
@@ -92,6 +97,7 @@ def qgrams(codes: np.ndarray, q: int = Q) -> np.ndarray:
 class Passages:
     """A block of passages: their characters, budgets, bounds and a sorted q-gram index."""
 
+    q: int
     ids: list
     codes: list[np.ndarray]
     edits: np.ndarray
@@ -103,11 +109,11 @@ class Passages:
     seen: np.ndarray
 
     @classmethod
-    def build(cls, rows: list[tuple], edit_share: float, floor: int) -> Passages:
+    def build(cls, rows: list[tuple], edit_share: float, q: int) -> Passages:
         codes = [codes for _, codes in rows]
         sizes = np.array([len(c) for c in codes], np.int64)
-        edits = np.minimum((edit_share * sizes).astype(np.int64), np.maximum(sizes + 1 - Q - floor, 0) // Q)
-        grams = [qgrams(c) for c in codes]
+        edits = (edit_share * sizes + 1e-9).astype(np.int64)
+        grams = [qgrams(c, q) for c in codes]
         hashes = np.concatenate(grams)
         item = np.repeat(np.arange(len(rows)), [len(g) for g in grams])
         place = np.concatenate([np.arange(len(g)) for g in grams])
@@ -116,7 +122,7 @@ class Passages:
         seen = np.zeros(1 << BITS, bool)
         seen[(distinct >> np.uint64(64 - BITS)).astype(np.int64)] = True
         return cls(
-            [key for key, _ in rows], codes, edits, np.maximum(sizes + 1 - Q - edits * Q, 1), distinct,
+            q, [key for key, _ in rows], codes, edits, np.maximum(sizes + 1 - q - edits * q, 1), distinct,
             np.append(first, len(order)), item[order].astype(np.int64), place[order].astype(np.int64), seen,
         )
 
@@ -186,80 +192,156 @@ def align(text: np.ndarray, passage: np.ndarray, low: int, high: int, edits: int
     return (found, start, end) if found <= edits and start < end else None
 
 
+@dataclasses.dataclass
+class Exact:
+    """Short passages, found between word boundaries as they are."""
+
+    ids: list
+    texts: list[str]
+
+    @property
+    def longest(self) -> int:
+        return max(map(len, self.texts))
+
+    def automaton(self) -> ahocorasick.Automaton:
+        found = ahocorasick.Automaton()
+        for text in set(self.texts):
+            found.add_word(f" {text} ", [i for i, other in enumerate(self.texts) if other == text])
+        found.make_automaton()
+        return found
+
+
+def normal_blocks(texts: list[str | None], overlap: int, limit: int = BLOCK_CHARS) -> Iterator[list[tuple]]:
+    """Lists of (row, characters, their places) of about ``limit`` normalised characters.
+
+    A longer text is normalised part by part and becomes several pieces that share ``overlap``
+    characters, so an occurrence lies whole in one of them whatever signs stand in between.
+    """
+    block, size = [], 0
+    for row, text in enumerate(texts):
+        text = text or ""
+        codes, places = np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        for offset in range(0, max(len(text), 1), limit):
+            back = min(offset, 1)  # the character before tells if a blank is the first of its run
+            found, at = normalized(text[offset - back : offset + limit])
+            found, at = found[at >= back], at[at >= back]
+            codes, places = np.concatenate((codes, found)), np.concatenate((places, at + offset - back))
+            if offset + limit < len(text) and len(codes) < limit:
+                continue
+            if block and size + len(codes) > limit:
+                yield block
+                block, size = [], 0
+            block.append((row, codes, places))
+            size += len(codes)
+            codes, places = codes[-overlap:], places[-overlap:]
+    if block:
+        yield block
+
+
+def search_exact(texts: list[str | None], passages: Exact, automaton) -> Iterator[tuple[int, int, int, int, int]]:
+    """(row, passage, 0, start, end) of the first place of each short passage in each text."""
+    best: dict[tuple[int, int], tuple[int, int]] = {}
+    for block in normal_blocks(texts, passages.longest + 2):
+        for row, codes, places in block:
+            # Pieces are cut anywhere: only the ends of a text are word boundaries by themselves.
+            text = codes.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
+            before = " " if len(places) and not any(map(str.isalnum, texts[row][max(int(places[0]) - 1, 0) : int(places[0])])) else ""
+            after = " " if len(places) and not any(map(str.isalnum, texts[row][int(places[-1]) + 1 : int(places[-1]) + 2])) else ""
+            for end, which in automaton.iter(before + text + after):
+                for i in which:
+                    last = end - 1 - len(before)
+                    first = last - len(passages.texts[i]) + 1
+                    span = (int(places[first]), int(places[last]) + 1)
+                    best[row, i] = min(best.get((row, i), span), span)
+    for (row, which), span in best.items():
+        yield (row, which, 0, *span)
+
+
 def search(texts: list[str | None], passages: Passages) -> Iterator[tuple[int, int, int, int, int]]:
     """(row, passage, edits, start, end) of the best occurrence of each passage in each text."""
     best: dict[tuple[int, int], tuple[int, int, int]] = {}
-    longest = max(len(c) for c in passages.codes)
-    # Blanks collapse, so pieces overlap by more than a passage; a rare longer gap only shortens them.
-    for block in char_blocks(texts, BLOCK_CHARS, 4 * longest):
-        parts = [normalized(piece) for _, _, piece in block]
-        codes = np.concatenate([codes for codes, _ in parts] or [np.zeros(0, np.uint32)])
-        ends = np.cumsum([len(codes) for codes, _ in parts])
-        begins = ends - [len(codes) for codes, _ in parts]
-        at, item, place = passages.shared(qgrams(codes))
+    q = passages.q
+    overlap = max(len(codes) + int(edits) for codes, edits in zip(passages.codes, passages.edits, strict=True)) + q
+    for block in normal_blocks(texts, overlap):
+        codes = np.concatenate([codes for _, codes, _ in block])
+        ends = np.cumsum([len(codes) for _, codes, _ in block])
+        begins = ends - [len(codes) for _, codes, _ in block]
+        at, item, place = passages.shared(qgrams(codes, q))
         owner = np.searchsorted(ends, at, "right")
-        whole = at + Q <= ends[np.minimum(owner, len(ends) - 1)]
+        whole = at + q <= ends[np.minimum(owner, len(ends) - 1)]
         at, item, place, owner = at[whole], item[whole], place[whole], owner[whole]
         for piece, which, low, high in bands(owner, item, place, at - begins[owner] - place, passages):
-            here, places = parts[piece]
+            row, here, places = block[piece]
             found = align(here, passages.codes[which], int(low), int(high), int(passages.edits[which]))
             if found:
-                row, offset, _ = block[piece]
                 edits, start, end = found
-                span = (edits, offset + int(places[start]), offset + int(places[end - 1]) + 1)
+                span = (edits, int(places[start]), int(places[end - 1]) + 1)
                 key = (row, int(which))
                 best[key] = min(best.get(key, span), span)
     for (row, which), span in best.items():
         yield (row, which, *span)
 
 
-def passage_blocks(benchmark: DataFrame, min_chars: int, block_chars: int) -> Iterator[list[tuple]]:
-    """(item_id, characters) of the passages, in blocks; the driver holds one block at a time."""
-    block, size = [], 0
+def passage_blocks(
+    benchmark: DataFrame, edit_share: float = 0.1, min_chars: int = 20, block_chars: int = 1 << 21
+) -> Iterator[Passages | Exact]:
+    """The passages in blocks, those of a length class together; the driver holds a block of each class."""
+    held: dict[int, list[tuple]] = {0: [], SMALL_Q: [], Q: []}
+    sizes = dict.fromkeys(held, 0)
+
+    def built(q: int) -> Passages | Exact:
+        rows, held[q], sizes[q] = held[q], [], 0
+        if q:
+            return Passages.build(rows, edit_share, q)
+        texts = [codes.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass") for _, codes in rows]
+        return Exact([key for key, _ in rows], texts)
+
     for row in benchmark.select("item_id", "text").filter("text IS NOT NULL").toLocalIterator():
-        codes, _ = normalized(row["text"].strip())
-        while len(codes) and codes[-1] == 32:
-            codes = codes[:-1]
-        if len(codes) and codes[0] == 32:
-            codes = codes[1:]
-        if len(codes) < max(min_chars, Q):
+        codes, _ = normalized(row["text"])
+        codes = codes[1:] if len(codes) and codes[0] == 32 else codes
+        codes = codes[:-1] if len(codes) and codes[-1] == 32 else codes
+        if not len(codes):
             continue
-        if block and size + len(codes) > block_chars:
-            yield block
-            block, size = [], 0
-        block.append((row["item_id"], codes))
-        size += len(codes)
-    if block:
-        yield block
+        q = 0 if len(codes) < max(min_chars, SMALL_Q) else SMALL_Q if len(codes) < LONG else Q
+        if held[q] and sizes[q] + len(codes) > block_chars:
+            yield built(q)
+        held[q].append((row["item_id"], codes))
+        sizes[q] += len(codes)
+    for q in held:
+        if held[q]:
+            yield built(q)
+
+
+def finder(passages: Passages | Exact):
+    """The search of a task for a block of passages."""
+    if isinstance(passages, Passages):
+        return lambda texts: search(texts, passages)
+    automaton = passages.automaton()
+    return lambda texts: search_exact(texts, passages, automaton)
 
 
-def contaminated(
-    docs: DataFrame,
-    benchmark: DataFrame,
-    row: str = "doc_id",
-    edit_share: float = 0.1,
-    min_chars: int = 20,
-    floor: int = 6,
-    block_chars: int = 1 << 21,
-) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, row: str = "doc_id", **limits) -> DataFrame:
     """``row``, item_id, edits, start, end: each passage found in each document.
 
-    ``start`` and ``end`` are code points of the document's text.
+    ``start`` and ``end`` are code points of the document's text. ``limits`` are those of ``passage_blocks``.
     """
     spark = docs.sparkSession
-    schema = docs.select(row).schema.add("item_id", "long").add("edits", "integer").add("start", "long").add("end", "long")
+    item_type = benchmark.schema["item_id"].dataType
+    schema = docs.select(row).schema.add("item_id", item_type)
+    schema = schema.add("edits", "integer").add("start", "long").add("end", "long")
     out = spark.createDataFrame([], schema)
-    for block in passage_blocks(benchmark, min_chars, block_chars):
-        shared = spark.sparkContext.broadcast(Passages.build(block, edit_share, floor))
+    for block in passage_blocks(benchmark, **limits):
+        shared = spark.sparkContext.broadcast(block)
 
         def searched(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             passages = shared.value
+            find = finder(passages)
             for batch in slices(batches):
-                found = list(search(batch.column("text").to_pylist(), passages))
+                found = list(find(batch.column("text").to_pylist()))
                 rows, items, edits, starts, ends = zip(*found, strict=True) if found else ((),) * 5
                 arrays = [
                     batch.column(row).take(pa.array(rows, pa.int64())),
-                    pa.array([passages.ids[i] for i in items], pa.int64()),
+                    pa.array([passages.ids[i] for i in items], to_arrow_type(item_type)),
                     pa.array(edits, pa.int32()), pa.array(starts, pa.int64()), pa.array(ends, pa.int64()),
                 ]
                 yield pa.RecordBatch.from_arrays(arrays, [row, "item_id", "edits", "start", "end"])
@@ -274,13 +356,13 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame, **limits) -> Data
     Found rows are dropped in the pass that searches them, so nothing is joined or shuffled.
     """
     out = docs
-    for block in passage_blocks(benchmark, limits.get("min_chars", 20), limits.get("block_chars", 1 << 21)):
-        passages = Passages.build(block, limits.get("edit_share", 0.1), limits.get("floor", 6))
-        shared = docs.sparkSession.sparkContext.broadcast(passages)
+    for block in passage_blocks(benchmark, **limits):
+        shared = docs.sparkSession.sparkContext.broadcast(block)
 
         def kept(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            find = finder(shared.value)
             for batch in slices(batches):
-                found = {row for row, *_ in search(batch.column("text").to_pylist(), shared.value)}
+                found = {row for row, *_ in find(batch.column("text").to_pylist())}
                 yield batch.filter(pa.array([i not in found for i in range(batch.num_rows)], pa.bool_()))
 
         out = out.mapInArrow(kept, docs.schema)

@@ -132,7 +132,7 @@ def test_decontamination_against_brute_force(spark):
     rng = random.Random(3)
     words = ["".join(rng.choices("abcdefgh", k=rng.randint(1, 7))) for _ in range(60)]
     prose = lambda n: " ".join(rng.choices(words, k=n))
-    items = [prose(rng.randint(8, 25)) for _ in range(12)]
+    items = [prose(rng.randint(8, 25)) for _ in range(10)] + [prose(6)[:30].strip(), prose(9)[:39].strip()]
     texts = []
     for i in range(60):
         passage = list(rng.choice(items))
@@ -142,14 +142,14 @@ def test_decontamination_against_brute_force(spark):
         texts.append(prose(20) + ", " + "".join(passage).upper() + "!\n" + prose(20) if i % 3 else prose(60))
     texts += [None, "", items[0], LONG + items[1], items[0] + " " + items[0]]
     docs = rows(spark, *texts).union(rows(spark, *texts).filter("doc_id = 62"))
-    bench = spark.createDataFrame([*enumerate(items), (50, None), (51, "short"), (52, items[0])], "item_id long, text string")
+    bench = spark.createDataFrame([*enumerate(items), (50, None), (51, "?!"), (52, items[0])], "item_id long, text string")
     bench = bench.selectExpr("*", "'a' AS doc_id")
     got = decontaminate.contaminated(docs, bench).collect()
     found = {(r.doc_id, r.item_id): r for r in got}
     for d, text in enumerate(texts):
         for i, item in enumerate(items):
             m = len(plain(item))
-            budget = min(int(0.1 * m), max(m + 1 - decontaminate.Q - 6, 0) // decontaminate.Q)
+            budget = m // 10
             if len(text or "") > 10_000:
                 edits = 0 if plain(item) in plain(text) else budget + 1
             else:
@@ -183,5 +183,33 @@ def test_long_texts_are_cut_with_overlap(monkeypatch):
     text = "".join(rng.choices("klmnopqrst", k=2_300_000))
     at = (1 << 20) - 40
     text = text[:at] + passage + text[at:]
-    block = decontaminate.Passages.build([(5, decontaminate.normalized(passage)[0])], 0.1, 6)
+    block = decontaminate.Passages.build([(5, decontaminate.normalized(passage)[0])], 0.1, decontaminate.Q)
     assert list(decontaminate.search(["", text], block)) == [(1, 0, 0, at, at + 80)]
+    # A long run of signs within the passage, wherever the text is cut.
+    limit = decontaminate.BLOCK_CHARS
+    for at in (limit - 60, limit - 40, 2 * limit - 1, limit - 2000):
+        gap = text[:at] + passage[:30] + " " + "." * 5000 + " " + passage[30:] + text[at:]
+        found = list(decontaminate.search([gap], decontaminate.Passages.build(
+            [(5, decontaminate.normalized(passage[:30] + " " + passage[30:])[0])], 0.1, decontaminate.Q)))
+        assert found == [(0, 0, 0, at, at + 80 + 5002)]
+
+
+def test_short_passages_on_word_boundaries(spark):
+    texts = ["So the ANSWER is -- 42.", "the answer is 421", "x" * 300_000 + " the answer is 42 " + "y" * 10, "the answer is 42", None, "the answer  is", "a b"]
+    docs = rows(spark, *texts)
+    bench = spark.createDataFrame([("i", "the answer is 42"), ("j", "b"), ("k", None), ("l", "the answer is 42"), (None, "Y")], "item_id string, text string")
+    got = sorted((r.doc_id, r.item_id or "", r.edits, r.start, r.end) for r in decontaminate.contaminated(docs, bench).collect())
+    want = [(0, 3, 22), (2, 300_001, 300_017), (3, 0, 16)]
+    assert got == sorted([(d, i, 0, a, b) for d, a, b in want for i in "il"] + [(6, "j", 0, 2, 3)])
+    assert sorted(r.doc_id for r in decontaminate.remove_contaminated(docs, bench).collect()) == [1, 4, 5]
+
+
+def test_short_passages_at_cuts():
+    """A piece's edge is no word boundary."""
+    limit = decontaminate.BLOCK_CHARS
+    for at in range(limit - 8, limit + 3):
+        for around in (" ", "z"):
+            text = "x" * (at - 1) + around + "abc def" + around + "x" * 50
+            passages = decontaminate.Exact([1], ["abc def"])
+            found = list(decontaminate.search_exact([text], passages, passages.automaton()))
+            assert found == ([(0, 0, 0, at, at + 7)] if around == " " else [])
