@@ -280,7 +280,10 @@ class _Best:
         self.limit = max(n_questions * k, 65_536)
 
     def offer(self, asking, inside, questions, rows, ids) -> None:
-        distance = 1.0 - questions[asking] @ rows[inside].T
+        self.keep(asking, inside, 1.0 - questions[asking] @ rows[inside].T, ids)
+
+    def keep(self, asking, inside, distance, ids) -> None:
+        """Consider the ``distance`` of each asking question to each row ``inside`` the ids."""
         cut = self.bound[asking]
         if len(inside) > self.k:
             nearest = np.partition(distance, self.k - 1, axis=1)[:, self.k - 1]

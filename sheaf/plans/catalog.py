@@ -25,6 +25,7 @@ from sheaf.operators import (
     keywords,
     pages,
     quality,
+    quantized,
     tables,
     vectors,
 )
@@ -380,6 +381,37 @@ def recall_at_k(spark, sf):
     return vectors.recall(cell_search(spark, sf, 16, 8), exact)
 
 
+# A fixed codec, so that SQL can state the same search: parts, rows that are entries, probes, depth.
+PARTS, ENTRIES, PROBES, DEPTH = 16, 32, 6, 200
+
+
+def fixed_codec(spark, sf):
+    """Cells are the labels' means; entries are what is left of the vectors with ids below ENTRIES."""
+    means = label_questions(spark, sf).orderBy("query_id").collect()  # one per label
+    centroids = vectors._unit(np.array([row["embedding"] for row in means]))[0]
+    some = stored_vectors(spark, sf).filter(F.col("chunk_id") < ENTRIES).orderBy("chunk_id").collect()
+    unit = vectors._unit(np.array([row["embedding"] for row in some], np.float64))[0]
+    left = unit - centroids[(unit @ centroids.T).argmax(axis=1)]
+    return quantized.Codec(centroids, left.reshape(len(left), PARTS, -1).transpose(1, 0, 2).copy())
+
+
+def quantized_search(spark, sf):
+    codec = fixed_codec(spark, sf)
+    path = scratch_path(spark, "codes")
+    vectors.write_cells(quantized.encode(stored_vectors(spark, sf), codec), path)
+    questions = stored(label_questions(spark, sf), "questions")
+    return quantized.topk_quantized(read_table(spark, path), codec, questions, TOP_K, PROBES, DEPTH)
+
+
+def vector_topk_quantized(spark, sf):
+    return rounded(quantized_search(spark, sf))
+
+
+def recall_quantized(spark, sf):
+    exact = vectors.vector_topk(stored_vectors(spark, sf), label_questions(spark, sf), TOP_K)
+    return vectors.recall(quantized_search(spark, sf), exact)
+
+
 def cosine_to_mean(spark, sf):
     """Distance of every vector to its label's mean, as a column expression."""
     rows = stored_vectors(spark, sf).withColumn(
@@ -752,6 +784,8 @@ QUERIES = {
     "recall_at_k": recall_at_k,
     "vector_topk_means": vector_topk_means,
     "recall_means": recall_means,
+    "vector_topk_quantized": vector_topk_quantized,
+    "recall_quantized": recall_quantized,
     "cosine_to_mean": cosine_to_mean,
     "postings": chunk_postings,
     "query_clauses": query_clauses,

@@ -303,6 +303,52 @@ probed AS (
         FROM probes p JOIN near n USING (cell) JOIN means q USING (query_id))
   QUALIFY rank <= {catalog.TOP_K})"""
 
+WIDTH = catalog.DIM // catalog.PARTS
+
+
+def unit(vector: str) -> str:
+    return f"list_transform({vector}, lambda x: x / sqrt(list_inner_product({vector}, {vector})))"
+
+
+# The search by codes: cells, what is left of the vectors in parts, entries, codes, tables, rerank.
+QUANTIZED = f"""cells AS MATERIALIZED (
+  SELECT query_id, row_number() OVER (ORDER BY query_id) - 1 AS cell, {unit("embedding")} AS centre FROM means),
+units AS MATERIALIZED (
+  SELECT chunk_id, {unit("v")} AS v FROM (SELECT chunk_id, CAST(embedding AS DOUBLE[]) AS v FROM vectors)),
+housed AS MATERIALIZED (
+  SELECT chunk_id, v, cell, centre FROM units CROSS JOIN cells
+  QUALIFY row_number() OVER (PARTITION BY chunk_id ORDER BY list_inner_product(v, centre) DESC, cell) = 1),
+left_over AS MATERIALIZED (
+  SELECT chunk_id, cell, part, left_[part * {WIDTH} + 1 : (part + 1) * {WIDTH}] AS sub
+  FROM (SELECT chunk_id, cell, list_transform(list_zip(v, centre), lambda z: z[1] - z[2]) AS left_,
+          unnest(range(0, {catalog.PARTS})) AS part FROM housed)),
+entries AS MATERIALIZED (
+  SELECT part, sub, row_number() OVER (PARTITION BY part ORDER BY chunk_id) - 1 AS code
+  FROM left_over WHERE chunk_id < {catalog.ENTRIES}),
+coded AS MATERIALIZED (
+  SELECT l.chunk_id, l.cell, l.part, e.code FROM left_over l JOIN entries e USING (part)
+  QUALIFY row_number() OVER (PARTITION BY l.chunk_id, l.part ORDER BY list_distance(l.sub, e.sub), e.code) = 1),
+inner_products AS MATERIALIZED (
+  SELECT q.query_id, e.part, e.code,
+    list_inner_product(q.centre[e.part * {WIDTH} + 1 : (e.part + 1) * {WIDTH}], e.sub) AS value
+  FROM cells q CROSS JOIN entries e),
+probed_cells AS (
+  SELECT q.query_id, c.cell, list_inner_product(q.centre, c.centre) AS value FROM cells q CROSS JOIN cells c
+  QUALIFY row_number() OVER (PARTITION BY q.query_id ORDER BY value DESC, c.cell) <= {catalog.PROBES}),
+close AS (
+  SELECT p.query_id, c.chunk_id, round(1 - (any_value(p.value) + sum(t.value)), 9) AS distance
+  FROM probed_cells p JOIN coded c USING (cell)
+  JOIN inner_products t ON t.query_id = p.query_id AND t.part = c.part AND t.code = c.code
+  GROUP BY p.query_id, c.chunk_id
+  QUALIFY row_number() OVER (PARTITION BY p.query_id ORDER BY distance, c.chunk_id) <= {catalog.DEPTH}),
+probed AS (
+  SELECT query_id, chunk_id, distance,
+    CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, chunk_id) AS INTEGER) AS rank
+  FROM (SELECT c.query_id, c.chunk_id,
+          round(list_cosine_distance(CAST(v.embedding AS DOUBLE[]), q.embedding), 9) AS distance
+        FROM close c JOIN vectors v USING (chunk_id) JOIN means q USING (query_id))
+  QUALIFY rank <= {catalog.TOP_K})"""
+
 EVENTS = f"""mapped AS (
   SELECT CASE WHEN event_type = 'purchase' THEN {quoted(OBJECT_FINALIZED)}
               WHEN event_type <> 'view' THEN event_type END AS ce_type,
@@ -439,6 +485,11 @@ WHERE value > 0""",
     + "SELECT query_id, chunk_id, round(distance, 6) AS distance, rank FROM probed",
     "recall_means": with_(VECTORS, LABEL_MEANS, MEAN_CELLS, nearest("exact", "vectors", "means", catalog.TOP_K))
     + """SELECT query_id, count(p.chunk_id) / count(*) AS recall
+FROM exact e LEFT JOIN probed p USING (query_id, chunk_id) GROUP BY query_id""",
+    "vector_topk_quantized": with_(VECTORS, LABEL_MEANS, QUANTIZED)
+    + "SELECT query_id, chunk_id, round(distance, 6) AS distance, rank FROM probed",
+    "recall_quantized": with_(VECTORS, LABEL_MEANS, QUANTIZED, nearest("exact", "vectors", "means", catalog.TOP_K))
+    + """SELECT query_id, count(p.chunk_id) / count(*) AS recall
 FROM exact e LEFT JOIN probed p USING (query_id, chunk_id) GROUP BY query_id""",
     "cosine_to_mean": with_(VECTORS, LABEL_MEANS)
     + """SELECT chunk_id, query_id,
