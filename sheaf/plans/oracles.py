@@ -515,6 +515,8 @@ FROM clauses c LEFT JOIN (
     "keyword_rank": keyword("SELECT query_id, chunk_id, round(score, 6) AS score FROM matched", _RANKED),
     "keyword_topk": keyword(_SCORED, _RANKED),
     "keyword_batch": keyword(_SCORED, BENCHMARK_QUESTIONS),
+    "keyword_topk_bounded": keyword(_SCORED, _RANKED),
+    "keyword_batch_bounded": keyword(_SCORED, BENCHMARK_QUESTIONS),
     "rrf_fuse": """WITH l AS (
   SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS rank
   FROM documents QUALIFY rank <= 20),
