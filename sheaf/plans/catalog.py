@@ -7,6 +7,7 @@ follows its quality label. ``oracles.py`` states the same queries in SQL.
 
 from __future__ import annotations
 
+import time
 from functools import reduce
 
 import numpy as np
@@ -18,11 +19,13 @@ from pyspark.sql import functions as F
 from sheaf.functions import text, vectors as vector_functions
 from sheaf.operators import (
     answers,
+    bitmaps,
     bounded,
     chunks,
     embed,
     events,
     fusion,
+    history,
     keywords,
     pages,
     quality,
@@ -30,12 +33,13 @@ from sheaf.operators import (
     tables,
     vectors,
 )
-from sheaf.plans import ingest
+from sheaf.plans import difference, ingest
 from sheaf.plans.retrieve import hybrid_from_store, hybrid_retrieve
 from sheaf.session import scratch_path, stored
 from sheaf.settings import OBJECT_FINALIZED, ChunkKnobs, EmbedKnobs, EventKnobs
 from sheaf.sources.store import Store
 from sheaf.sources.tables import read_table, spread
+from sheaf.streaming import retries
 from sheaf.streaming.ingest import start_ingest
 
 DIM = 64
@@ -52,6 +56,8 @@ KEYWORD_QUESTIONS = {
     "keyword_not": 'der -und -"von der"',
 }
 
+# Words in a seventh to a quarter of the chunks.
+FREQUENT_QUESTIONS = ("de la -que", "der und -die", "de OR der", "la -que OR die -und thatin", '"de la" -que', 'der -"von der"')
 
 EXCLUDING = ("-the -of", "thatin OR -der", '-"de la" OR -und -que')
 
@@ -233,6 +239,25 @@ def latest_event_per_uri(spark, sf):
     )
 
 
+def document_versions(spark, sf):
+    """Accepted uploads as versions of their objects."""
+    return events.accepted(object_events(spark, sf), EVENT_KNOBS).select("gcs_uri", "event_time", "ce_id")
+
+
+def document_history(spark, sf):
+    found = history.intervals(document_versions(spark, sf), "gcs_uri", "event_time", "ce_id")
+    return found.select("gcs_uri", "ce_id", time_text("valid_from").alias("valid_from"), time_text("valid_to").alias("valid_to"))
+
+
+def documents_as_of(spark, sf):
+    """For each event of a user, the version that ``<user_id>.pdf`` had at that time."""
+    asked = read_table(spark, f"{sf}/events.parquet").select(
+        "event_id", "ts", F.concat(F.lit("gs://raw/"), F.col("user_id").cast("string"), F.lit(".pdf")).alias("gcs_uri")
+    )
+    found = history.as_of(document_versions(spark, sf), asked, "gcs_uri", "event_time", "ts", "ce_id")
+    return found.select("event_id", "gcs_uri", "version.ce_id", time_text("version.event_time").alias("valid_from"))
+
+
 def parse_uri(spark, sf):
     uris = documents(spark, sf).select(F.col("gcs_uri").alias("uri"))
     urls = read_table(spark, f"{sf}/pages.parquet").select(F.col("url").alias("uri"))
@@ -461,6 +486,15 @@ def keyword_topk(spark, sf):
     return found.withColumn("score", F.round("score", 6))
 
 
+def keyword_bitmaps(spark, sf):
+    rows = bitmaps.number_chunks(stride_chunks(spark, sf).select("chunk_id", "content"))
+    rows, path = stored(rows, "numbered"), scratch_path(spark, "bitmaps")
+    bitmaps.write_index(keywords.postings(rows, keep=("number",)), rows.count(), path)
+    clauses = keywords.query_clauses(fixed_questions(spark, *FREQUENT_QUESTIONS))
+    found = bitmaps.match(read_table(spark, f"{path}/postings"), read_table(spark, f"{path}/bitmaps"), clauses)
+    return found.withColumn("score", F.round("score", 6))
+
+
 def bounded_index(spark, sf):
     """Postings by term and range with their summary, as an ingest would keep them."""
     rows = stored(stride_chunks(spark, sf).select("chunk_id", "content"), "chunks")
@@ -588,6 +622,28 @@ def replace_chunks(spark, sf):
     )
 
 
+def changed_documents(spark, sf):
+    """The labelled documents again: good ones with a line more, toxic ones with a line before, others as they were."""
+    labels = read_table(spark, f"{sf}/labels.parquet").select("doc_id", "quality", "toxic")
+    content = (
+        F.when(F.col("toxic") == 1, F.concat(F.lit("Revised.\n"), F.col("content")))
+        .when(F.col("quality") == 1, F.concat(F.col("content"), F.lit("\nRevised.")))
+        .otherwise(F.col("content"))
+    )
+    return documents(spark, sf).join(labels, "doc_id").withColumn("content", content)
+
+
+def stride_chunks_of(rows):
+    rows = pages.with_pages(rows, "content").withColumn("pieces", chunks.stride_pieces(F.col("pages")))
+    return chunks.explode_chunks(rows, "document_id")
+
+
+def reingest_changes(spark, sf):
+    again = stored(changed_documents(spark, sf).select("document_id", "content"), "again")
+    changed = difference.changes(stride_chunks(spark, sf), again, stride_chunks_of(again))
+    return difference.counts(changed)
+
+
 def status_transition(spark, sf):
     labelled = labelled_documents(spark, sf)
     outcomes = labelled.select(
@@ -729,6 +785,33 @@ def hybrid_stored(spark, sf):
     return found.withColumn("rrf_score", F.round("rrf_score", 9))
 
 
+def unreliable(content: str, attempt: int) -> str:
+    """Work that fails by the length of a text: for good, or up to three times."""
+    n = len(content or "")
+    if n % 11 == 7 or (n % 5 == 2 and attempt <= n % 3 + 1):
+        raise ValueError(f"{n} characters at attempt {attempt}")
+    return content
+
+
+def object_retries(spark, sf):
+    """What became of every document whose extraction fails now and then, with its attempts."""
+    root = scratch_path(spark, "retries")
+    uploads = upload_events(documents(spark, sf), "once-", UPLOADED)
+    uploads.write.parquet(f"{root}/uploads")
+    stream = spark.readStream.schema(uploads.schema).parquet(f"{root}/uploads")
+    waits = retries.RetryKnobs(wait_unit=0.1)
+    total = read_table(spark, f"{root}/uploads").count()
+    query = retries.start_retrying(stream, root, f"{root}/checkpoint", unreliable, waits, every="500 milliseconds")
+    try:
+        while query.isActive and retries.finished(spark, root) < total:
+            time.sleep(0.5)
+    finally:
+        query.stop()
+    if query.exception():
+        raise query.exception()
+    return retries.outcomes(spark, root).select("gcs_uri", "verdict", "attempts", "error")
+
+
 def stored_tables(spark, sf):
     """The tables a store has after both waves: the columns found in its files, and its rows."""
     store = built_store(spark, sf)
@@ -785,6 +868,8 @@ def stream_ingest(spark, sf):
 QUERIES = {
     "filter_events": filter_events,
     "latest_event_per_uri": latest_event_per_uri,
+    "document_history": document_history,
+    "documents_as_of": documents_as_of,
     "parse_uri": parse_uri,
     "object_names": object_names,
     "content_hash": content_hash,
@@ -816,6 +901,7 @@ QUERIES = {
     "keyword_rank": keyword_rank,
     "keyword_topk": keyword_topk,
     "keyword_batch": keyword_batch,
+    "keyword_bitmaps": keyword_bitmaps,
     "keyword_topk_bounded": bounded_topk(lambda spark, sf: fixed_questions(spark, *KEYWORD_QUESTIONS.values(), QUESTION)),
     "keyword_batch_bounded": bounded_topk(benchmark_questions),
     "rrf_fuse": rrf_fuse,
@@ -828,6 +914,7 @@ QUERIES = {
     "valid_questions": valid_questions,
     "upsert_documents": upsert_documents,
     "replace_chunks": replace_chunks,
+    "reingest_changes": reingest_changes,
     "status_transition": status_transition,
     "cascade_delete": cascade_delete,
     "event_log": event_log,
@@ -840,6 +927,7 @@ QUERIES = {
     "by_status": by_status,
     "stream_ingest": stream_ingest,
     "hybrid_stored": hybrid_stored,
+    "object_retries": object_retries,
     "stored_tables": stored_tables,
     "chunks_of_documents": chunks_of_documents,
 }

@@ -436,6 +436,19 @@ ORACLES = {
   strftime(ts, '%Y-%m-%d %H:%M:%S') AS event_time
 FROM judged WHERE reason IS NULL
 QUALIFY row_number() OVER (PARTITION BY bucket, name ORDER BY ts DESC, ce_id DESC) = 1""",
+    "document_history": with_(EVENTS)
+    + """SELECT 'gs://' || bucket || '/' || name AS gcs_uri, ce_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS valid_from,
+  strftime(lead(ts) OVER (PARTITION BY bucket, name ORDER BY ts, ce_id), '%Y-%m-%d %H:%M:%S') AS valid_to
+FROM judged WHERE reason IS NULL""",
+    "documents_as_of": with_(
+        EVENTS,
+        """versions AS (
+  SELECT 'gs://' || bucket || '/' || name AS gcs_uri, ts, max(ce_id) AS ce_id
+  FROM judged WHERE reason IS NULL GROUP BY ALL)""",
+    )
+    + """SELECT e.event_id, e.gcs_uri, v.ce_id, strftime(v.ts, '%Y-%m-%d %H:%M:%S') AS valid_from
+FROM (SELECT event_id, ts, 'gs://raw/' || user_id || '.pdf' AS gcs_uri FROM events) e
+ASOF LEFT JOIN versions v ON e.gcs_uri = v.gcs_uri AND e.ts >= v.ts""",
     "parse_uri": with_(DOCS)
     + """SELECT uri, regexp_extract(uri, '^gs://([^/]*)/(.*)$', 1) AS bucket,
   regexp_extract(uri, '^gs://([^/]*)/(.*)$', 2) AS name,
@@ -515,6 +528,9 @@ FROM clauses c LEFT JOIN (
     "keyword_rank": keyword("SELECT query_id, chunk_id, round(score, 6) AS score FROM matched", _RANKED),
     "keyword_topk": keyword(_SCORED, _RANKED),
     "keyword_batch": keyword(_SCORED, BENCHMARK_QUESTIONS),
+    "keyword_bitmaps": keyword(
+        "SELECT query_id, chunk_id, round(score, 6) AS score FROM matched", fixed_questions(*catalog.FREQUENT_QUESTIONS)
+    ),
     "keyword_topk_bounded": keyword(_SCORED, _RANKED),
     "keyword_batch_bounded": keyword(_SCORED, BENCHMARK_QUESTIONS),
     "rrf_fuse": """WITH l AS (
@@ -605,6 +621,31 @@ GROUP BY ALL HAVING count(*) > 1""",
 WHERE document_id NOT IN (SELECT document_id FROM labelled)""",
     "by_status": _STORED + "SELECT id, gcs_uri, error FROM stored WHERE status = 'failed'",
     "hybrid_stored": hybrid(_FOUND, BENCHMARK_QUESTIONS, *AFTER_INGEST),
+    "reingest_changes": with_(
+        DOCS,
+        """again AS (
+  SELECT d.* EXCLUDE (content), CASE WHEN l.toxic = 1 THEN 'Revised.' || chr(10) || d.content
+    WHEN l.quality = 1 THEN d.content || chr(10) || 'Revised.' ELSE d.content END AS content
+  FROM docs d JOIN labels l USING (doc_id))""",
+        stride_chunks("before", "docs"),
+        stride_chunks("fresh", "again"),
+    )
+    + """SELECT document_id, count(*) FILTER (state = 'kept') AS n_kept, count(*) FILTER (state = 'moved') AS n_moved,
+  count(*) FILTER (state = 'new') AS n_new, count(*) FILTER (state = 'gone') AS n_gone
+FROM (
+  SELECT f.document_id, CASE WHEN b.content = f.content THEN 'kept'
+    WHEN EXISTS (SELECT 1 FROM before x WHERE x.document_id = f.document_id AND x.content = f.content) THEN 'moved'
+    ELSE 'new' END AS state
+  FROM fresh f LEFT JOIN before b USING (document_id, chunk_index)
+  UNION ALL
+  SELECT document_id, 'gone' FROM before b WHERE document_id IN (SELECT document_id FROM again)
+    AND NOT EXISTS (SELECT 1 FROM fresh f WHERE f.document_id = b.document_id AND f.content = b.content))
+GROUP BY document_id""",
+    "object_retries": with_(DOCS)
+    + """SELECT gcs_uri, CASE WHEN n % 11 = 7 THEN 'dead' ELSE 'done' END AS verdict,
+  CAST(CASE WHEN n % 11 = 7 THEN 4 WHEN n % 5 = 2 THEN n % 3 + 2 ELSE 1 END AS INTEGER) AS attempts,
+  CASE WHEN n % 11 = 7 THEN n || ' characters at attempt 4' END AS error
+FROM (SELECT gcs_uri, coalesce(length(content), 0) AS n FROM docs)""",
     "stored_tables": with_(
         DOCS, LABELLED, CHUNKS, stride_chunks("revised", "labelled"), WRITTEN,
         "written AS (SELECT * FROM chunks UNION ALL SELECT * FROM revised)", postings("posts", "written"),
