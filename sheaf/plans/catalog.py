@@ -816,7 +816,7 @@ def stored_tables(spark, sf):
     """The tables a store has after both waves: the columns found in its files, and its rows."""
     store = built_store(spark, sf)
     columns = F.array_join(F.sort_array(F.collect_list("column")), ",")
-    listed = store.tables().groupBy("table").agg(columns.alias("columns")).filter("table <> 'commits'")
+    listed = store.tables().groupBy("table").agg(columns.alias("columns"))
     counts = [
         store.rows(row["table"]).agg(F.count("*").alias("n_rows")).withColumn("table", F.lit(row["table"]))
         for row in listed.select("table").collect()

@@ -7,6 +7,7 @@ import tempfile
 import uuid
 import zipfile
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -77,6 +78,42 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/sheaf/{name}-{uuid.uuid4().hex}"
 
 
+def publish(spark: SparkSession, path: str, content: str) -> bool:
+    """Create a small file with its whole content, or return False if there is one already.
+
+    Of several writers, on any machines, one succeeds: the content is written aside and then
+    linked or renamed to ``path``, which neither a local nor a Hadoop file system does over a file.
+    """
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    files = target.getFileSystem(conf)
+    target = files.makeQualified(target)
+    aside = jvm.org.apache.hadoop.fs.Path(target.getParent(), f".{uuid.uuid4().hex}")
+    if files.getUri().getScheme() == "file":
+        os.makedirs(target.getParent().toUri().getPath(), exist_ok=True)
+        with open(aside.toUri().getPath(), "x", encoding="utf-8") as out:
+            out.write(content)
+        try:
+            os.link(aside.toUri().getPath(), target.toUri().getPath())
+            return True
+        except FileExistsError:
+            return False
+        finally:
+            os.unlink(aside.toUri().getPath())
+    out = files.create(aside, False)
+    out.write(content.encode())
+    out.close()
+    never_over = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
+    try:
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), conf).rename(aside, target, never_over)
+        return True
+    except Py4JJavaError as problem:
+        files.delete(aside, False)
+        if "FileAlreadyExistsException" not in problem.java_exception.toString():
+            raise
+        return False
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back.
 

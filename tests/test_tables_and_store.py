@@ -1,4 +1,6 @@
 import json
+import os
+from concurrent.futures import ThreadPoolExecutor
 from datetime import datetime
 
 import pytest
@@ -181,7 +183,7 @@ def test_batches_replays_failures_and_deletes(spark, tmp_path):
     docs, chunks = state(store)
     assert chunks["a.pdf"] == ["a again"] and docs["a.pdf"].uploaded_at > uploaded
     listed = [r.table for r in store.tables().select("table").distinct().orderBy("table").collect()]
-    assert listed == ["chunks", "commits", "documents", "events", "postings", "rejected", "texts"]
+    assert listed == ["chunks", "documents", "events", "postings", "rejected", "texts"]
     assert Store(spark, str(tmp_path / "none")).tables().collect() == []
 
 
@@ -211,6 +213,45 @@ def test_streams_of_their_own_keep_each_other_s_rows(spark, tmp_path):
     assert store.published() == 3
 
 
+def test_writers_that_commit_at_once_get_versions_of_their_own(spark, tmp_path):
+    store = Store(spark, str(tmp_path))
+    with ThreadPoolExecutor(6) as pool:
+        versions = list(pool.map(lambda i: store.commit(f"attempt-{i}", f"writer-{i}", 0), range(6)))
+        # The same batch, committed by several: one of them counts.
+        same = list(pool.map(lambda i: store.commit(f"again-{i}", "stream", 7), range(6)))
+    assert sorted(versions) == [1, 2, 3, 4, 5, 6]
+    assert sorted(x is None for x in same) == [False] + [True] * 5 and 7 in same
+    commits = store.commits().collect()
+    assert sorted(r.version for r in commits) == list(range(1, 8)) and store.published() == 7
+    assert not [name for name in os.listdir(tmp_path / "commits") if not name.endswith((".json",))]
+
+
+def test_two_batches_at_once_keep_every_row(spark, tmp_path):
+    store = Store(spark, str(tmp_path))
+    names = [[f"{i}-{j}.pdf" for j in range(3)] + ["shared.pdf"] for i in range(2)]
+
+    def run(i):
+        batch = event_frame(spark, *(event(name, i + 1, f"text of {name} by {i}") for name in names[i]))
+        return ingest_batch(batch, store, KNOBS, writer=f"w{i}", batch_id=0)
+
+    with ThreadPoolExecutor(2) as pool:
+        assert all(found is not None for found in pool.map(run, range(2)))
+    docs, chunks = state(store)
+    assert set(docs) == {name for some in names for name in some} == set(chunks)
+    assert store.published() == 2 and store.documents().count() == 7
+
+
+def test_publish_through_the_hadoop_file_system(spark, tmp_path):
+    """Another scheme than file, as on a cluster."""
+    conf = spark._jsc.hadoopConfiguration()
+    conf.set("fs.viewfs.mounttable.t.link./data", f"file://{tmp_path}/data")
+    os.makedirs(tmp_path / "data")
+    assert session.publish(spark, "viewfs://t/data/1", "one") is True
+    assert session.publish(spark, "viewfs://t/data/1", "two") is False
+    assert open(tmp_path / "data" / "1").read() == "one"
+    assert [name for name in os.listdir(tmp_path / "data") if not name.endswith(".crc")] == ["1"]
+
+
 def test_deletes_and_compactions_next_to_batches(spark, tmp_path):
     store = Store(spark, str(tmp_path))
     ingest_batch(event_frame(spark, event("a.pdf", 1, "one"), event("b.pdf", 1, "bee")), store, KNOBS, batch_id=0)
