@@ -5,8 +5,8 @@ columns of ``docs``. Between stages the rows are written as Parquet and read aga
 stage starts from a table that survives lost executors.
 
 1. language_id: documents without a letter or in no language the labels teach go.
-2. near_dedup: of each group of near duplicates (shingles of 5 words, Jaccard similarity of 0.8 or
-   more), the one with the smallest id stays.
+2. near_dedup: of each group of near duplicates (SimHash of 3-word shingles, linked at 2 or fewer
+   differing bits, as op3_simhash_neardup finds them), the one with the smallest id stays.
 3. decontaminate: documents that contain a benchmark passage go.
 4. mix: sources are mixed to their target weights; a document may repeat or go.
 5. encode: token ids are written in coded blocks and read back.
@@ -31,7 +31,7 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash_neardup.keep_one(docs, words=5, similarity=0.8)
+    return simhash_neardup.keep_one(docs)
 
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
