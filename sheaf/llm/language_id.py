@@ -7,7 +7,8 @@ chance, (fill of its slice) ** hashes, is taken out of its count, and the larges
 share wins.
 
 An n-gram enters the filters of those languages in which it is at least ``rival_share``
-times as frequent as in the language that uses it most.
+times as frequent as in the language that uses it most, and in which the sample holds it
+``min_count`` times or more, so that its rate is no chance. The filter is sized by what passes.
 
 Defined results: a null text, an empty text or one without a letter is ``und`` with score 0;
 so is every text if nothing could be learned (no labelled row with a letter). A text whose
@@ -135,25 +136,25 @@ class LanguageFilter:
         return names, scores.tolist()
 
 
-def learn(
-    docs: DataFrame,
-    sample_per_language: int = 3000,
-    grams_per_language: int = 1 << 16,
-    min_count: int = 3,
-    rival_share: float = 0.25,
-) -> LanguageFilter:
-    """Fit the filters on rows of ``docs`` (doc_id, text, lang) with a language.
+def learn(docs: DataFrame, **limits) -> LanguageFilter:
+    """The filters of the n-grams that ``docs`` (doc_id, text, lang) teaches."""
+    return LanguageFilter.build(*members(docs, **limits))
 
-    The rows are a sample, chosen by a hash of the id, of about ``sample_per_language`` per
-    language, read whole. What reaches the driver is at most ``grams_per_language`` hashes
-    for each language.
+
+def members(
+    docs: DataFrame, sample_per_language: int = 3000, min_count: int = 5, rival_share: float = 0.25
+) -> tuple[list[str], list[np.ndarray]]:
+    """The languages, those with most rows first, and the hashes of the n-grams of each.
+
+    Learned from rows of ``docs`` with a language: a sample, chosen by a hash of the id, of about
+    ``sample_per_language`` per language, read whole. What reaches the driver is bounded by it.
     """
     labelled = docs.filter("lang IS NOT NULL AND text IS NOT NULL").select("doc_id", "text", "lang")
     sizes = labelled.groupBy("lang").count().collect()  # one row per language
     sizes.sort(key=lambda row: (-row["count"], row["lang"]))
     languages = [row["lang"] for row in sizes]
     if not languages:
-        return LanguageFilter.build([], [])
+        return [], []
     spark = docs.sparkSession
     shares = [(row["lang"], i, sample_per_language / row["count"]) for i, row in enumerate(sizes)]
     drawn = F.pmod(F.xxhash64(F.lit("language sample"), "doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
@@ -180,24 +181,19 @@ def learn(
         .groupBy("language", "gram")
         .agg(F.sum("n").alias("n"))
     )
-    totals = Window.partitionBy("language")
-    rivals = Window.partitionBy("gram")
-    first = totals.orderBy(F.desc("rate"), "gram")
+    rivals = Window.partitionBy("gram")  # a row per language at most
     size = counts.groupBy("language").agg(F.sum("n").alias("total"))
     chosen = (
         counts.join(F.broadcast(size), "language")  # one row per language
         .withColumn("rate", F.col("n") / F.col("total"))
         .withColumn("top", F.max("rate").over(rivals))
         .filter((F.col("n") >= min_count) & (F.col("rate") >= rival_share * F.col("top")))
-        .withColumn("rank", F.row_number().over(first))
-        .filter(F.col("rank") <= grams_per_language)
         .select("language", "gram")
         .toPandas()
     )
     by_language = dict(tuple(chosen.groupby("language")["gram"]))
     empty = np.zeros(0, np.int64)
-    members = [np.asarray(by_language.get(i, empty), np.int64).view(np.uint64) for i in range(len(languages))]
-    return LanguageFilter.build(languages, members)
+    return languages, [np.asarray(by_language.get(i, empty), np.int64).view(np.uint64) for i in range(len(languages))]
 
 
 def predict(docs: DataFrame, model: LanguageFilter) -> DataFrame:
