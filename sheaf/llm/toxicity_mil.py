@@ -7,9 +7,10 @@ explain them. A word's features are itself and its first letters. The same sente
 
 Training reads a bounded sample of labelled rows (``sample`` documents of each label, chosen
 by a hash of the id, whole texts). Spark counts the documents of each label in which a word
-occurs; the words and beginnings that tell the labels apart best are the features, at most ``vocabulary``.
-Sentences without such a word are only counted, and equal sentences of a document are
-merged, so that what reaches the driver is bounded by the sample and the vocabulary.
+occurs; the words and beginnings that tell the labels apart are the features: all whose
+log-likelihood ratio would come about by chance in fewer than one of some ten thousand. Sentences
+without such a word are only counted, and equal sentences of a document are merged, so that what
+reaches the driver is bounded by the sample.
 
 Defined results: a null or empty text has no sentence, score 0 and predicted 0. Without a
 labelled row of each label nothing can be told apart, and all scores are 0. Several labels of
@@ -36,6 +37,7 @@ WORD = regex.compile(r"[\p{L}\p{N}]+")
 
 
 PREFIXES = (5, 7)
+SIGNIFICANCE = 15.1  # twice the log-likelihood ratio; chi-squared with one degree reaches it in 1 of 10,000
 REMEMBER = 300_000
 
 
@@ -116,7 +118,7 @@ def fit(bags: list[tuple[int, int, list[list[int]]]], n_words: int, rounds: int
 
 
 def learn(
-    docs: DataFrame, labels: DataFrame, sample: int = 4000, vocabulary: int = 2000, min_docs: int = 5
+    docs: DataFrame, labels: DataFrame, sample: int = 4000, significance: float = SIGNIFICANCE, min_docs: int = 5
 ) -> SentenceModel:
     """Fit on ``docs`` (doc_id, text) that ``labels`` (doc_id, toxic) marks 0 or 1."""
     spark = docs.sparkSession
@@ -158,7 +160,7 @@ def learn(
         part(F.col("a"), rate * n1) + part(F.col("b"), rate * n0)
         + part(n1 - F.col("a"), (1 - rate) * n1) + part(n0 - F.col("b"), (1 - rate) * n0)
     )
-    words = [row["word"] for row in counts.orderBy(F.desc(ratio), "word").limit(vocabulary).select("word").collect()]
+    words = sorted(row["word"] for row in counts.filter(2 * ratio >= significance).select("word").collect())
     place = {word: i for i, word in enumerate(words)}
 
     def bagged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

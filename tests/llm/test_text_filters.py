@@ -46,6 +46,49 @@ def test_nothing_learned_and_empty(spark):
     assert language_id.identify(docs.limit(0)).collect() == []
 
 
+def mixed_language_docs(spark, n=240):
+    """Three languages of made-up words that share some, and texts that mix them."""
+    rng = random.Random(12)
+    words = {lang: ["".join(rng.choices(letters, k=rng.randint(2, 8))) for _ in range(150)] for lang, letters in
+             (("aa", "abcdefghij"), ("bb", "efghijklmn"), ("cc", "ijklmnopqr"))}
+    data = []
+    for i in range(n):
+        lang = list(words)[i % 3]
+        text = rng.choices(words[lang], k=40) + rng.choices(words[list(words)[(i + 1) % 3]], k=rng.randrange(0, 30))
+        data.append((i, " ".join(text), lang))
+    return spark.createDataFrame(data, "doc_id long, text string, lang string"), data
+
+
+def test_filters_against_sets_of_grams(spark):
+    """The same prediction with a plain set per language in place of the Bloom filters."""
+    docs, data = mixed_language_docs(spark)
+    learned = docs.filter("crc32(cast(doc_id as string)) % 3 <> 1")
+    languages, members = language_id.members(learned)
+    sets = [set(found.tolist()) for found in members]
+    assert all(len(found) > 100 for found in sets)
+    got = {r.doc_id: r for r in language_id.identify(docs).collect()}
+    right = 0
+    for doc_id, text, lang in data:
+        hashes, _, _ = language_id.grams([text])
+        shares = [sum(h in found for h in hashes.tolist()) / len(hashes) for found in sets]
+        order = sorted(shares, reverse=True)
+        if order[0] - order[1] > 0.02:  # false positives may turn what is closer
+            assert got[doc_id].lang_pred == languages[int(np.argmax(shares))]
+        assert abs(got[doc_id].score - max(shares)) < 0.02
+        right += got[doc_id].lang_pred == lang
+    assert right > 0.95 * len(data)
+
+
+def test_no_cap_on_grams_per_language(spark):
+    """Every n-gram that the sample holds often enough is in, however many there are."""
+    letters = [chr(0x4E00 + i) for i in range(20_000)]
+    rng = random.Random(2)
+    text = " ".join("".join(rng.choices(letters, k=6)) for _ in range(12_000))
+    docs = spark.createDataFrame([(i, text, "zz") for i in range(5)], "doc_id long, text string, lang string")
+    languages, members = language_id.members(docs)
+    assert languages == ["zz"] and len(members[0]) > 1 << 16
+
+
 def test_many_languages_need_several_words():
     members = [np.arange(i * 50, i * 50 + 50, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) for i in range(70)]
     model = language_id.LanguageFilter.build([f"l{i:02}" for i in range(70)], members)
@@ -106,6 +149,33 @@ def test_toxicity(spark):
     assert all(len(spans[i]) == 1 for i in range(0, 160, 4))
 
 
+def test_noisy_or_against_a_plain_product(spark):
+    docs, labels = toxic_docs(spark)
+    model = toxicity_mil.learn(docs.select("doc_id", "text"), labels)
+    assert model.weights and all(2 <= len(word) for word in model.weights)
+    texts = {r.doc_id: r.text for r in docs.collect() if r.doc_id is not None and r.doc_id < 160}
+    got = {r.doc_id: r.score for r in toxicity_mil.scored(docs, model).collect()}
+    for doc_id, text in texts.items():
+        none = 1.0
+        for sentence in text.replace("!", ".").replace("?", ".").replace("\n", ".").split("."):
+            words = {word for word in "".join(c.lower() if c.isalnum() else " " for c in sentence).split()}
+            if words:
+                names = [name for word in words for name in (word, *(word[:n] + "*" for n in (5, 7) if len(word) >= n))]
+                total = model.bias + sum(model.weights.get(name, 0.0) for name in names)
+                none *= 1 - 1 / (1 + np.exp(-total))
+        assert got[doc_id] == pytest.approx(1 - none, abs=1e-9)
+
+
+def test_all_telling_words_are_features(spark):
+    """More words than any fixed vocabulary tell the labels apart: all of them are learned."""
+    rng = random.Random(5)
+    bad = [f"bad{i}x" for i in range(3000)]
+    data = [(i, " ".join(bad) + ". calm" if i % 2 else f"calm words {rng.random()}", i % 2) for i in range(60)]
+    docs = spark.createDataFrame([(i, text) for i, text, _ in data], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, toxic) for i, _, toxic in data], "doc_id long, toxic int")
+    assert set(bad) <= set(toxicity_mil.learn(docs, labels).weights)
+
+
 def test_toxicity_without_labels(spark):
     docs, labels = toxic_docs(spark)
     for some in (labels.limit(0), labels.filter("toxic = 0")):
