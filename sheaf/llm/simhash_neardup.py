@@ -32,7 +32,6 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sheaf.llm import shingle_join
 from sheaf.llm.common import free_name, with_row_key
 from sheaf.llm.components import components, local_roots
 from sheaf.session import stored
@@ -234,28 +233,16 @@ def near_duplicates(docs: DataFrame, hot_share: int = 1000) -> DataFrame:
     return joined.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, words: int = 3, similarity: float | None = None) -> DataFrame:
+def keep_one(docs: DataFrame, words: int = 3) -> DataFrame:
     """``docs`` (all columns) without near duplicates: of each component the smallest doc_id stays.
 
-    Near are texts whose fingerprints differ in at most ``BITS`` bits, or, with ``similarity``,
-    whose sets of shingles of ``words`` words have at least that Jaccard similarity (exactly
-    those, see ``shingle_join``; texts without words are equal). One row stays even if ids
-    repeat or are null (null counts as largest). Only ids, fingerprints, row keys and, with
-    ``similarity``, parts of the sets are stored; the rows are then looked up by key.
+    One row stays even if ids repeat or are null (null counts as largest). Only ids,
+    fingerprints and row keys are stored; the rows are then looked up by key.
     """
     key = free_name(docs, "_row")
     rows = with_row_key(docs, key)
-    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), "row")
-    if similarity is None:
-        marked = fingerprints(rows, "doc_id", key, words=words)
-    else:
-        marked = shingle_join.nodes(rows, ["doc_id", key], words, similarity)
-    narrow = stored(marked.withColumnRenamed(key, "row"), "fingerprints")
-    per_fp = stored(narrow.groupBy("fp").agg(F.min(order).alias("first")), "distinct")
-    if similarity is None:
-        edges = link(per_fp.select("fp"))
-    else:
-        firsts = per_fp.select(F.col("first.row").alias("row"))
-        edges = shingle_join.link(narrow.join(firsts, "row", "left_semi"), rows.select(key, "text"), key, words, similarity)
-    kept = labelled(per_fp, edges).groupBy("label").agg(F.min("first").alias("first"))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col(key).alias("row"))
+    marked = stored(fingerprints(rows, "doc_id", key, words=words), "fingerprints")
+    per_fp = stored(marked.groupBy("fp").agg(F.min(order).alias("first")), "distinct")
+    kept = labelled(per_fp, link(per_fp.select("fp"))).groupBy("label").agg(F.min("first").alias("first"))
     return rows.join(kept.select(F.col("first.row").alias(key)), key, "left_semi").select(*docs.columns)

@@ -2,6 +2,7 @@
 
 import collections
 import random
+import re
 
 import numpy as np
 import xxhash
@@ -130,67 +131,105 @@ def test_components_of_chains_and_hubs(spark):
     assert got[0] != got[100] and 200 not in got
 
 
-def test_sentence_spans(spark):
+def plain_parts(text):
+    """Words, their sentence numbers and the parts (first word, end) of a text, word by word."""
+    words, sentence, number, lines = [], [], 0, text.lower().split("\n")
+    for line in lines:
+        for word in line.split():
+            words.append(word)
+            sentence.append(number)
+            number += word[-1] in ".!?"
+        number += bool(sentence) and sentence[-1] == number
+    base = sentence_spans.BASE
+    known = {w: sum((b + 1) * pow(base, i, 2**64) for i, b in enumerate(w.encode()[:20_000])) % 2**64 for w in set(words)}
+    known = dict(zip(known, sentence_spans.scrambled(np.array(list(known.values()), np.uint64)).tolist()))
+    pair = [(known[a] * base + known[b]) % 2**64 for a, b in zip(words, words[1:])]
+    pair = sentence_spans.scrambled(np.array(pair, np.uint64)).tolist()
+    size = sentence_spans.WINDOW
+    least = {i for at in range(len(pair) - size + 1) for i in range(at, at + size) if pair[i] == min(pair[at : at + size])}
+    parts, first = [], 0
+    for i in range(len(words)):
+        if i + 1 == len(words) or i in least or sentence[i] != sentence[i + 1]:
+            parts.append((first, i + 1))
+            first = i + 1
+    return words, sentence, parts
+
+
+def plain_spans(words, parts, least=20):
+    for i, (first, _) in enumerate(parts):
+        end = next((j for j in range(i + 2, len(parts) + 1) if parts[j - 1][1] - first >= least), None)
+        if end:
+            yield " ".join(words[first : parts[end - 1][1]]), i, end
+
+
+def plain_dedupe(data):
+    """doc_id, n_sentences, n_removed, text by a dictionary of spans."""
+    owner = {}
+    for doc_id, text in data:
+        if doc_id is not None and text:
+            words, _, parts = plain_parts(text)
+            for span, _, _ in plain_spans(words, parts):
+                owner[span] = min(owner.get(span, doc_id), doc_id)
+    out = []
+    for doc_id, text in data:
+        words, sentence, parts = plain_parts(text or "")
+        gone, seen = set(), set()
+        for span, i, end in plain_spans(words, parts) if doc_id is not None else ():
+            if owner[span] < doc_id or span in seen:
+                gone.update(range(i, end))
+            seen.add(span)
+        places = [m.start() for m in re.finditer(r"\S+", text or "")] + [len(text or "")]
+        kept = None if text is None else text[: places[0]] + "".join(
+            text[places[a] : places[b]] for i, (a, b) in enumerate(parts) if i not in gone
+        )
+        lost = {sentence[w] for i in gone for w in range(*parts[i])}
+        out.append((doc_id, len(set(sentence)), len(lost), kept))
+    return sorted(out, key=repr)
+
+
+def test_sentence_spans_against_a_dictionary(spark):
     rng = random.Random(7)
     prose = lambda: " ".join(" ".join(rng.choices("abcdefghijklmnopqrs", k=9)) + "." for _ in range(8))
     passage, twice = prose(), prose()
     texts = [prose(), f"{prose()} {passage}\n{prose()}", f"mid {passage} {prose()}", f"{prose()} {passage}", None, "",
-             "Short.", f"{twice}\n{twice}", passage.upper(), prose() * 1 + " " + "long " * 60_000]
-    data = [(i, text, "x", 1) for i, text in enumerate(texts)]
-    data += [(None, passage, "x", 1), (8, passage, "x", 1)]
-    docs = spark.createDataFrame(data, "doc_id long, text string, span string, hashes int")
-    got = {}
-    for r in sentence_spans.dedupe(docs).collect():
-        got.setdefault(r.doc_id, []).append(r)
-    assert [got[i][0].text for i in (0, 1, 4, 5, 6)] == [texts[i] for i in (0, 1, 4, 5, 6)]
-    assert got[None][0].text == passage and got[None][0].n_removed == 0
-    first = passage.split(". ")[0]
-    assert got[2][0].n_removed == 7 and got[2][0].text.startswith(f"mid {first}.") and passage[80:] not in got[2][0].text
-    assert got[3][0].n_removed == 8 and passage[:40] not in got[3][0].text
-    assert got[7][0].n_removed == 8 and got[7][0].text.startswith(twice)
-    assert [(r.n_removed, r.text) for r in got[8]] == [(8, "")] * 2
+             "Short.", f"{twice}\n{twice}", passage.upper(), prose() + " " + "long " * 60_000, " \n. \n", "same " * 200,
+             f"  {passage[20:200]}", "é" * 9_000 + " " + passage]
+    for _ in range(30):
+        pieces = [rng.choice([passage, twice, texts[0]]).split() for _ in range(3)]
+        cuts = [piece[(at := rng.randrange(40)) : at + rng.randrange(5, 60)] for piece in pieces]
+        texts.append("\n".join(" ".join(cut) for cut in cuts))
+    data = list(enumerate(texts)) + [(None, passage), (8, passage), (None, None)]
+    docs = spark.createDataFrame(data, "doc_id long, text string").selectExpr("*", "'x' AS span", "1 AS row", "2 AS spans")
+    got = sorted(map(tuple, sentence_spans.dedupe(docs).collect()), key=repr)
+    assert got == plain_dedupe(data)
+    by_id = {row[0]: row for row in got}
+    assert by_id[3][3].split()[-12:] != passage.split()[-12:] and by_id[7][3].startswith(twice)
     assert sentence_spans.dedupe(docs.limit(0)).collect() == []
 
 
+def test_span_ids_of_any_type(spark):
+    passage = " ".join(f"w{i * i % 89}" for i in range(60))
+    docs = spark.createDataFrame([("b", passage), ("a", passage), ("c", "x")], "doc_id string, text string")
+    assert sorted(map(tuple, sentence_spans.dedupe(docs).collect())) == [("a", 1, 0, passage), ("b", 1, 1, ""), ("c", 1, 0, "x")]
+
+
 def test_spans_do_not_depend_on_what_surrounds():
     words = [f"w{i * i % 89}" for i in range(400)]
-    inner = " ".join(words[100:300])
-    a = {h for h, _, _ in sentence_spans.spans(inner, 2, 20)[1]}
-    b = {h for h, _, _ in sentence_spans.spans("Else. " + " ".join(words), 2, 20)[1]}
-    assert len(a & b) >= len(a) - 4
-
-
-def brute_kept(texts, words=5, similarity=0.8):
-    """The smallest place of each component of texts with similar shingle sets."""
-    sets = []
-    for text in texts:
-        w = (text or "").lower().split()
-        n = min(words, len(w))
-        sets.append({" ".join(w[i : i + n]) for i in range(len(w) - n + 1)} if w else {""})
-    pairs = [(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets[:i]) if len(a & b) >= similarity * len(a | b) - 1e-9]
-    a, b = (np.array([pair[i] for pair in pairs], np.int64) for i in (0, 1))
-    return sorted(set(local_roots(len(texts), a, b).tolist()))
-
-
-def test_similar_shingles_against_brute_force(spark):
-    rng = random.Random(23)
-    word = lambda: "".join(rng.choices("abcdefgh", k=4))
-    passage, texts = " ".join(word() for _ in range(60)), [None, "", " \n", "One two", "one TWO", "one"]
-    for _ in range(25):
-        words = [word() for _ in range(rng.randint(5, 120))]
-        for _ in range(rng.randint(1, 8)):  # a chain: each copy is edited further
-            words = list(words)
-            for _ in range(rng.randint(0, 3)):
-                words[rng.randrange(len(words))] = word()
-            texts.append(" ".join(words))
-        texts.append(f"{passage} {' '.join(word() for _ in range(rng.randint(5, 40)))}")
-    texts += texts[40:45]
-    rng.shuffle(texts)
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    kept = simhash_neardup.keep_one(docs, words=5, similarity=0.8)
-    assert sorted(r.doc_id for r in kept.collect()) == brute_kept(texts)
-    assert len(brute_kept(texts)) < len(simhash_neardup.keep_one(docs).collect())
-    assert simhash_neardup.keep_one(docs.limit(0), 5, 0.8).collect() == []
+    inner, outer = " ".join(words[100:300]), "Else. " + " ".join(words)
+    parts = sentence_spans.Parts.of([inner, None, outer, inner])
+    a, b, c = (set(parts.spans[(parts.row == row) & (parts.last > 0)].tolist()) for row in (0, 2, 3))
+    assert len(a & b) >= len(a) - 4 and a == c
+
+
+def test_words_of_long_texts_are_the_same_in_pieces(monkeypatch):
+    rng = random.Random(3)
+    text = "".join(rng.choices(["ab", "é", ".", " ", "\n", "\t", "c!", "\xa0", "İ"], k=4000)) + "x" * 500 + "\n \n y"
+    whole = sentence_spans.words_of([text])
+    assert len(whole[0]) == len(sentence_spans.TOKEN.findall(text))
+    for size in (1, 7, 64, 1000):
+        monkeypatch.setattr(sentence_spans, "PIECE", size)
+        part = sentence_spans.words_of([text])
+        assert all(np.array_equal(a, b) for a, b in zip(whole, part))
 
 
 def test_every_repeated_passage_of_50_words_loses_words(spark):
