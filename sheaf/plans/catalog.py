@@ -16,7 +16,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sheaf.functions import text, vectors as vector_functions
+from sheaf.functions import table_functions, text, vectors as vector_functions
 from sheaf.operators import (
     answers,
     bitmaps,
@@ -27,6 +27,7 @@ from sheaf.operators import (
     fusion,
     history,
     keywords,
+    metadata,
     pages,
     quality,
     quantized,
@@ -37,8 +38,10 @@ from sheaf.plans import difference, ingest
 from sheaf.plans.retrieve import hybrid_from_store, hybrid_retrieve
 from sheaf.session import scratch_path, stored
 from sheaf.settings import OBJECT_FINALIZED, ChunkKnobs, EmbedKnobs, EventKnobs
+from sheaf.sources import lookup
 from sheaf.sources.store import Store
 from sheaf.sources.tables import read_table, spread
+from sheaf.streaming import questions as question_stream
 from sheaf.streaming import retries
 from sheaf.streaming.ingest import start_ingest
 
@@ -305,6 +308,49 @@ def split_pages(spark, sf):
     return pages.explode_pages(lines_as_pages(spark, sf), "document_id")
 
 
+def split_pages_sql(spark, sf):
+    """The pages by SQL, through a table function."""
+    table_functions.register(spark)
+    documents(spark, sf).createOrReplaceTempView("uploaded_documents")
+    return spark.sql("SELECT d.document_id, p.* FROM uploaded_documents d, LATERAL split_pages(d.content, '\\n') p")
+
+
+def chunk_recursive_sql(spark, sf):
+    table_functions.register(spark)
+    documents(spark, sf).createOrReplaceTempView("uploaded_documents")
+    return spark.sql(
+        "SELECT d.document_id, c.chunk_index, 1 AS page_number, c.content "
+        "FROM uploaded_documents d, LATERAL recursive_chunks(d.content, 2000, 300) c"
+    )
+
+
+def chunk_lookup(spark, sf):
+    """The first chunks of eight documents, by chunk id, from a table sorted by document."""
+    rows, path = stride_chunks(spark, sf), scratch_path(spark, "lookup")
+    lookup.write_sorted(rows, path, ("document_id", "chunk_index"), ("chunk_id", "document_id"))
+    asked = documents(spark, sf).filter("doc_id < 8").select("document_id").collect()  # eight rows
+    first = spark.createDataFrame(asked, "document_id string").select(text.chunk_key("document_id", F.lit(0)).alias("id"))
+    found = lookup.find(spark, path, "chunk_id", [row["id"] for row in first.collect()])
+    return found.select("chunk_id", "document_id", F.length("content").alias("n_chars"))
+
+
+def metadata_paths(spark, sf):
+    """Counts by paths of metadata and payloads: documents by bucket, pages by bucket, keys."""
+    uploads = metadata.typed(upload_batch(spark, sf), "metadata")
+    by_bucket = uploads.filter(metadata.at("metadata", "$.raw_object").endswith(".pdf")).groupBy(
+        metadata.at("metadata", "$.raw_bucket").alias("name")
+    )
+    started = metadata.typed(stored_events(spark, sf), "payload").filter(metadata.at("payload", "$.num_pages", "int") > 1)
+    pages_of = started.groupBy(text.uri_bucket(F.col("gcs_uri")).alias("name"))
+    parts = {
+        "documents": by_bucket.agg(F.count("*").alias("n")),
+        "pages": pages_of.agg(F.sum(metadata.at("payload", "$.num_pages", "int")).alias("n")),
+        "keys": metadata.keys(uploads, "metadata").withColumnRenamed("key", "name"),
+    }
+    counted = [rows.select(F.lit(kind).alias("kind"), "name", "n") for kind, rows in parts.items()]
+    return reduce(DataFrame.unionByName, counted)
+
+
 def page_counts(spark, sf):
     return lines_as_pages(spark, sf).select(
         "document_id", "num_pages", F.size("pages").alias("n_pages_with_text")
@@ -812,6 +858,31 @@ def object_retries(spark, sf):
     return retries.outcomes(spark, root).select("gcs_uri", "verdict", "attempts", "error")
 
 
+def prompt_sizes(prompts: list[str]) -> list[str]:
+    """Stands in for an answer model."""
+    return [f"{len(prompt)} characters" for prompt in prompts]
+
+
+def streamed_answers(spark, sf):
+    """The benchmark questions as a stream, answered from the store, with their timing judged."""
+    root, store = scratch_path(spark, "answers"), built_store(spark, sf)
+    asked = benchmark_questions(spark, sf)
+    asked.write.parquet(f"{root}/questions")
+    stream = spark.readStream.schema(asked.schema).parquet(f"{root}/questions")
+
+    def retrieve(questions):
+        return hybrid_from_store(store, questions).withColumn("rrf_score", F.round("rrf_score", 9))
+
+    query = question_stream.start_answers(
+        stream, store, f"{root}/out", f"{root}/checkpoint", prompt_sizes, STRIDE, retrieve
+    )
+    query.awaitTermination()
+    timing = metadata.typed(question_stream.answered(spark, f"{root}/out"), "timing")
+    parts = [metadata.at("timing", f"$.{step}", "long") for step in question_stream.STEPS]
+    adds_up = reduce(lambda a, b: a + b, parts) == metadata.at("timing", "$.total_ms", "long")
+    return timing.select("query_id", "answer", "citations", (adds_up & (F.least(*parts) >= 0)).alias("timing_adds_up"))
+
+
 def stored_tables(spark, sf):
     """The tables a store has after both waves: the columns found in its files, and its rows."""
     store = built_store(spark, sf)
@@ -875,6 +946,10 @@ QUERIES = {
     "content_hash": content_hash,
     "dedupe_by_hash": dedupe_by_hash,
     "split_pages": split_pages,
+    "split_pages_sql": split_pages_sql,
+    "chunk_recursive_sql": chunk_recursive_sql,
+    "chunk_lookup": chunk_lookup,
+    "metadata_paths": metadata_paths,
     "page_counts": page_counts,
     "processed_text": processed_text,
     "chunk_stride": chunk_stride,
@@ -928,6 +1003,7 @@ QUERIES = {
     "stream_ingest": stream_ingest,
     "hybrid_stored": hybrid_stored,
     "object_retries": object_retries,
+    "streamed_answers": streamed_answers,
     "stored_tables": stored_tables,
     "chunks_of_documents": chunks_of_documents,
 }

@@ -41,6 +41,10 @@ def with_(*parts: str) -> str:
     return "WITH " + ",\n".join(parts) + "\n"
 
 
+def recursive_(*parts: str) -> str:
+    return "WITH RECURSIVE " + ",\n".join(parts) + "\n"
+
+
 DOCS = """docs AS (
   SELECT *, doc_id || '.pdf' AS name, source AS bucket, text AS content,
     'gs://' || source || '/' || doc_id || '.pdf' AS gcs_uri,
@@ -112,6 +116,64 @@ def stride_chunks(name: str, source: str, size: int = 2000, overlap: int = 300)
 CHUNKS = stride_chunks("chunks", "docs")
 
 
+def cut_level(k: int, separator: str, size: int) -> str:
+    """Segments of level k cut before each separator: runs of small pieces, and large ones for the next level."""
+    n = len(separator)
+    sep = "chr(10)" if separator == "\n" else quoted(separator)
+    return f"""cut_{k} AS (
+  SELECT document_id, page, s, e, unnest(cuts[:-2]) AS l, unnest(cuts[2:]) AS r
+  FROM (SELECT * FROM (
+    SELECT document_id, page, s, e, [s] || list_filter(list_transform(range(1, len(arr)),
+        lambda i: s + CAST(list_sum(list_transform(arr[1:i], lambda x: length(x))) AS BIGINT) + (i - 1) * {n}),
+        lambda p: p > s) || [e] AS cuts
+    FROM (SELECT *, string_split(substr(page, CAST(s + 1 AS INTEGER), CAST(e - s AS INTEGER)), {sep}) AS arr FROM seg_{k})
+    WHERE len(arr) > 1))),
+run_{k} AS (
+  SELECT document_id, page, [min(l)] || list(r ORDER BY l) AS cuts
+  FROM (SELECT *, sum(CASE WHEN r - l >= {size} THEN 1 ELSE 0 END) OVER (PARTITION BY document_id, s ORDER BY l) AS run
+        FROM cut_{k})
+  WHERE r - l < {size} GROUP BY document_id, page, s, run),
+seg_{k + 1} AS (
+  SELECT document_id, page, l AS s, r AS e FROM cut_{k} WHERE r - l >= {size}
+  UNION ALL
+  SELECT * FROM seg_{k}
+  WHERE len(string_split(substr(page, CAST(s + 1 AS INTEGER), CAST(e - s AS INTEGER)), {sep})) < 2)"""
+
+
+def recursive_chunks(name: str, source: str, size: int = 2000, overlap: int = 300) -> str:
+    """Greedy packing of each run of pieces, one chunk per step. Pages hold no blank line in the test tables."""
+    levels = ",\n".join(cut_level(k, separator, size) for k, separator in enumerate(("\n", ". ", " ")))
+    ends = f"list_filter(range(i + 1, len(cuts)), lambda j: cuts[j + 1] - cuts[f + 1] > {size} AND j - 1 > f)"
+    firsts = f"""list_filter(range(f, i), lambda g: cuts[i] - cuts[g + 1] <= {overlap}
+      AND (cuts[i + 1] - cuts[g + 1] <= {size} OR g >= i - 1))"""
+    return f"""page_of AS (
+  SELECT document_id, {stripped("content")} AS page FROM {source}),
+seg_0 AS (SELECT document_id, page, CAST(0 AS BIGINT) AS s, CAST(length(page) AS BIGINT) AS e FROM page_of WHERE length(page) > {size}),
+{levels},
+runs AS (
+  SELECT row_number() OVER () AS run, document_id, page, cuts FROM (
+    SELECT * FROM run_0 UNION ALL SELECT * FROM run_1 UNION ALL SELECT * FROM run_2
+    UNION ALL SELECT document_id, page, range(s, e + 1) FROM seg_3)),
+packed(run, cuts, f, i, l, r) AS (
+  SELECT run, cuts, CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS BIGINT) FROM runs
+  UNION ALL
+  SELECT run, cuts, CASE WHEN i IS NULL THEN NULL ELSE list_min({firsts}) END, i,
+    cuts[f + 1], CASE WHEN i IS NULL THEN cuts[len(cuts)] ELSE cuts[i] END
+  FROM (SELECT run, cuts, f, list_min({ends}) AS i FROM packed WHERE f IS NOT NULL)),
+{name} AS (
+  SELECT document_id, CAST(row_number() OVER (PARTITION BY document_id ORDER BY l, r) - 1 AS INTEGER) AS chunk_index,
+    1 AS page_number, content
+  FROM (
+    SELECT document_id, l, r, {stripped("substr(page, CAST(l + 1 AS INTEGER), CAST(r - l AS INTEGER))")} AS content
+    FROM packed JOIN runs USING (run) WHERE l IS NOT NULL
+    UNION ALL
+    SELECT document_id, 0, length(page), page FROM page_of WHERE length(page) <= {size})
+  WHERE content <> '')"""
+
+
+RECURSIVE = recursive_chunks("recursive_chunks", "docs")
+
+
 def postings(name: str, source: str, key: str = "chunk_id", text: str = "content") -> str:
     return f"""{name} AS (
   SELECT {stem("word")} AS term, {key}, CAST(pos AS INTEGER) AS pos
@@ -424,6 +486,22 @@ _SCORED = "SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM keywor
 _STORED = with_(DOCS, STORED)
 _FOUND = """SELECT query_id, chunk_id, document_id, filename, gcs_uri, page_number, content,
   rrf_score, vector_rank, keyword_rank FROM found"""
+_ANSWERED = f""", answered AS (
+SELECT q.query_id,
+  'CONTEXT:' || chr(10) || c.context || chr(10) || chr(10) || 'QUESTION: ' || q.question
+    || chr(10) || chr(10) || {quoted(INSTRUCTION)} AS prompt,
+  CASE WHEN c.context IS NULL THEN {quoted(NO_CONTEXT_REPLY)} END AS reply,
+  '[' || coalesce(c.cited, '') || ']' AS citations
+FROM questions q LEFT JOIN (
+  SELECT query_id,
+    string_agg('[' || n || '] ' || filename || ' (' || coalesce('p.' || page_number, 'p.?') || ')' || chr(10)
+      || {stripped("content")}, {quoted(CONTEXT_BREAK)} ORDER BY n) AS context,
+    string_agg('{{"n":' || n || ',"chunk_id":"' || chunk_id || '","document_id":"' || document_id
+      || '","filename":"' || filename || '","gcs_uri":"' || gcs_uri || '","page_number":' || page_number
+      || ',"rrf_score":' || rrf_score || coalesce(',"vector_rank":' || vector_rank, '')
+      || coalesce(',"keyword_rank":' || keyword_rank, '') || '}}', ',' ORDER BY n) AS cited
+  FROM found GROUP BY query_id) c USING (query_id))
+"""
 _VECTORS_ALL = vector_search(LABEL_MEANS)
 
 ORACLES = {
@@ -470,6 +548,21 @@ FROM (SELECT sha256(content) AS content_hash, doc_id AS id, source,
         row_number() OVER (PARTITION BY sha256(content) ORDER BY doc_id) AS rn FROM docs)
 WHERE rn = 1""",
     "split_pages": with_(DOCS, LINES) + "SELECT document_id, page_number, text FROM lines WHERE text <> ''",
+    "split_pages_sql": with_(DOCS, LINES) + "SELECT document_id, page_number, text FROM lines WHERE text <> ''",
+    "chunk_recursive": recursive_(DOCS, RECURSIVE) + "SELECT * FROM recursive_chunks",
+    "chunk_recursive_sql": recursive_(DOCS, RECURSIVE) + "SELECT * FROM recursive_chunks",
+    "chunk_lookup": with_(DOCS, CHUNKS)
+    + """SELECT chunk_id, document_id, CAST(length(content) AS INTEGER) AS n_chars FROM chunks
+WHERE chunk_index = 0 AND document_id IN (SELECT document_id FROM docs WHERE doc_id < 8)""",
+    "metadata_paths": with_(DOCS, LABELLED, STORED, BATCH, STORED_EVENTS)
+    + """SELECT 'documents' AS kind, json_extract_string(metadata, '$.raw_bucket') AS name, count(*) AS n FROM batch
+WHERE json_extract_string(metadata, '$.raw_object') LIKE '%.pdf' GROUP BY name
+UNION ALL
+SELECT 'pages', split_part(gcs_uri, '/', 3), CAST(sum(n) AS BIGINT)
+FROM (SELECT gcs_uri, CAST(json_extract_string(payload, '$.num_pages') AS INTEGER) AS n FROM log WHERE event_type = 'started')
+WHERE n > 1 GROUP BY ALL
+UNION ALL
+SELECT 'keys', key, count(*) FROM (SELECT unnest(json_keys(metadata)) AS key FROM batch) GROUP BY key""",
     "page_counts": with_(DOCS, LINES)
     + """SELECT document_id, CAST(count(*) AS INTEGER) AS num_pages,
   CAST(count(*) FILTER (text <> '') AS INTEGER) AS n_pages_with_text FROM lines GROUP BY document_id""",
@@ -563,22 +656,13 @@ FROM questions q LEFT JOIN (
   FROM found GROUP BY query_id) c USING (query_id)""",
         BENCHMARK_QUESTIONS,
     ),
-    "answer_json": hybrid(
-        f"""SELECT q.query_id,
-  'CONTEXT:' || chr(10) || c.context || chr(10) || chr(10) || 'QUESTION: ' || q.question
-    || chr(10) || chr(10) || {quoted(INSTRUCTION)} AS prompt,
-  CASE WHEN c.context IS NULL THEN {quoted(NO_CONTEXT_REPLY)} END AS reply,
-  '[' || coalesce(c.cited, '') || ']' AS citations
-FROM questions q LEFT JOIN (
-  SELECT query_id,
-    string_agg('[' || n || '] ' || filename || ' (' || coalesce('p.' || page_number, 'p.?') || ')' || chr(10)
-      || {stripped("content")}, {quoted(CONTEXT_BREAK)} ORDER BY n) AS context,
-    string_agg('{{"n":' || n || ',"chunk_id":"' || chunk_id || '","document_id":"' || document_id
-      || '","filename":"' || filename || '","gcs_uri":"' || gcs_uri || '","page_number":' || page_number
-      || ',"rrf_score":' || rrf_score || coalesce(',"vector_rank":' || vector_rank, '')
-      || coalesce(',"keyword_rank":' || keyword_rank, '') || '}}', ',' ORDER BY n) AS cited
-  FROM found GROUP BY query_id) c USING (query_id)""",
+    "answer_json": hybrid(_ANSWERED + "SELECT query_id, prompt, reply, citations FROM answered", BENCHMARK_QUESTIONS),
+    "streamed_answers": hybrid(
+        _ANSWERED
+        + """SELECT query_id, coalesce(reply, length(prompt) || ' characters') AS answer, citations,
+  true AS timing_adds_up FROM answered""",
         BENCHMARK_QUESTIONS,
+        *AFTER_INGEST,
     ),
     "valid_questions": f"""SELECT conv_id || '-' || turn AS query_id,
   CASE WHEN coalesce(length(text), 0) < 1 THEN 'question is empty'
