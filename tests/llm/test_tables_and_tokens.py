@@ -191,6 +191,14 @@ def test_further_rules_and_plan(spark):
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
 
 
+def test_index_finds_overlapping_trigrams(spark):
+    grams = ["aaa", "aab", "a.b", "-b ", "ABC".lower(), "^$*"]
+    texts = ["aaab", "xa.b-b ", "ABCabc", "^$*", "a b", "", "aa"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "row int, text string")
+    got = sorted((r.row, r.trigram) for r in secret_scan.postings(docs, grams).collect())
+    assert got == sorted((i, gram) for i, text in enumerate(texts) for gram in grams if gram in text.lower())
+
+
 def test_trigram_queries():
     query = secret_scan.trigram_query
     assert query("AKIA[A-Z0-9]+") == {frozenset({"aki", "kia"})}
