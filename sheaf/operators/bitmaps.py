@@ -46,7 +46,7 @@ def bitmaps(rows: DataFrame) -> DataFrame:
 
 def write_index(rows: DataFrame, n_chunks: int, path: str, frequent: float = FREQUENT) -> None:
     """Store postings (with ``number``) by term, and the bitmaps of terms in ``frequent`` of the chunks or more."""
-    rows.repartitionByRange("term", "number").sortWithinPartitions("term", "number").write.parquet(f"{path}/postings")
+    rows.sortWithinPartitions("term", "number").write.parquet(f"{path}/postings")  # each task its own, unshuffled
     kept = rows.sparkSession.read.parquet(f"{path}/postings")
     pages = bitmaps(kept).withColumn("n", F.bitmap_count("bits"))
     held = pages.groupBy("term").agg(F.sum("n").alias("df")).filter(F.col("df") >= frequent * n_chunks)
