@@ -384,6 +384,40 @@ def chunk_recursive(spark, sf):
     return chunks.explode_chunks(rows, "document_id")
 
 
+def prepare_errors(spark, sf):
+    """Why objects fail: some uploads are empty, some hold white space only."""
+    content = (
+        F.when(F.col("doc_id") % 7 == 0, F.lit(""))
+        .when(F.col("doc_id") % 7 == 1, F.lit(" \n \n"))
+        .otherwise(F.col("content"))
+    )
+    prepared = ingest.prepare(documents(spark, sf).withColumn("content", content), STRIDE)
+    return prepared.select("gcs_uri", "is_document", "n_bytes", "error", (F.size("pieces") > 0).alias("has_chunks"))
+
+
+def sizes_model(texts: list[str]) -> list[list[float]]:
+    """Stands in for an embedding model: the length of a text, and whether the batch keeps to its bound."""
+    return [[float(len(content)), float(len(texts) <= EmbedKnobs().batch_size)] for content in texts]
+
+
+def embed_model(spark, sf):
+    """Chunks embedded by a caller's model in batches of bounded size."""
+    vector = embed.model_vector(F.col("content"), sizes_model, EmbedKnobs(dim=2))
+    rows = stride_chunks(spark, sf).select("chunk_id", vector.alias("embedding"))
+    return rows.select("chunk_id", F.col("embedding")[0].cast("int").alias("n_chars"), (F.col("embedding")[1] == 1).alias("in_batch"))
+
+
+def constant_vectors(spark, sf):
+    """A constant vector for every document, with its width check and length."""
+    vector = vector_functions.constant_vector(0.5, DIM)
+    return documents(spark, sf).select(
+        "document_id",
+        vector_functions.has_width(vector, DIM).alias("fits"),
+        vector_functions.has_width(vector, DIM + 1).alias("fits_other"),
+        vector_functions.norm(vector).alias("length"),
+    )
+
+
 # ---- vectors -----------------------------------------------------------------
 
 
@@ -955,6 +989,9 @@ QUERIES = {
     "chunk_stride": chunk_stride,
     "chunk_index": chunk_index,
     "chunk_recursive": chunk_recursive,
+    "prepare_errors": prepare_errors,
+    "embed_model": embed_model,
+    "constant_vectors": constant_vectors,
     "embed_hashed": embed_hashed,
     "vector_topk": vector_topk,
     "vector_topk_batch": vector_topk_batch,

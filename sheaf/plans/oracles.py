@@ -580,6 +580,16 @@ FROM (SELECT document_id, page_number, i, {stripped("substr(text, i * 170 + 1, 2
       FROM (SELECT *, unnest(range(0, greatest(1, CAST(ceil((length(text) - 30) / 170.0) AS BIGINT)))) AS i
             FROM lines WHERE text <> ''))
 WHERE content <> ''""",
+    "prepare_errors": with_(DOCS)
+    + f"""SELECT gcs_uri, n > 0 AS is_document, CAST(n AS BIGINT) AS n_bytes,
+  CASE WHEN n = 0 THEN 'empty object' WHEN {stripped("content")} = '' THEN 'no extractable text' END AS error,
+  {stripped("content")} <> '' AS has_chunks
+FROM (SELECT gcs_uri, content, octet_length(encode(content)) AS n FROM (
+  SELECT gcs_uri, CASE doc_id % 7 WHEN 0 THEN '' WHEN 1 THEN ' ' || chr(10) || ' ' || chr(10) ELSE content END AS content FROM docs))""",
+    "embed_model": with_(DOCS, CHUNKS)
+    + "SELECT chunk_id, CAST(length(content) AS INTEGER) AS n_chars, true AS in_batch FROM chunks",
+    "constant_vectors": with_(DOCS)
+    + f"SELECT document_id, true AS fits, false AS fits_other, sqrt({catalog.DIM} * 0.25::DOUBLE) AS length FROM docs",
     "embed_hashed": with_(DOCS, CHUNKS, postings("posts", "chunks"), hashed("vectors", "posts", "chunk_id", catalog.DIM))
     + """SELECT chunk_id, CAST(bucket - 1 AS INTEGER) AS bucket, round(CAST(value AS DOUBLE), 6) AS value
 FROM (SELECT chunk_id, unnest(embedding) AS value, generate_subscripts(embedding, 1) AS bucket FROM vectors)
