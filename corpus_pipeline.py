@@ -54,7 +54,8 @@ STAGES = [
     ("encode", encode_stage),
 ]
 
-# Tokenization and near-duplicate components have no SQL; the tests hold run() against brute force.
+# Tokenization and near-duplicate components have no SQL; the tests follow planted cases through the stages and
+# compare the ids with those of the tokenizers library.
 ORACLE_SQL = None
 
 
