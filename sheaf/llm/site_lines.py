@@ -58,7 +58,8 @@ def drop_boilerplate(pages: DataFrame, most: float = 0.3, least_pages: int = 3)
     totals = known.groupBy("host").agg(F.count("*").alias("pages"))
     counts = seen.groupBy("host", "line").agg(F.count("*").alias("n")).filter(F.col("n") >= least_pages)
     boilerplate = counts.join(totals, "host").filter(F.col("n") > F.lit(most) * F.col("pages")).select("host", "line")
-    gone = seen.join(boilerplate, ["host", "line"]).groupBy("page_id").agg(F.collect_set("line").alias("gone"))
+    # Rows without an id keep their lines; they are not gathered in one group.
+    gone = seen.filter("page_id IS NOT NULL").join(boilerplate, ["host", "line"]).groupBy("page_id").agg(F.collect_set("line").alias("gone"))
     kept = F.filter("lines", lambda line: ~F.coalesce(F.array_contains("gone", F.xxhash64(line)), F.lit(False)))
     return (
         split.join(gone, "page_id", "left")
