@@ -26,6 +26,7 @@ from sheaf.llm.common import free_name, running_totals, with_row_key
 from sheaf.session import stored
 
 WEIGHTS = (5, 2, 1)
+ROWS_PER_SLICE = 65_536
 
 
 def words(text: Column) -> Column:
@@ -63,13 +64,15 @@ def targets(
 
 
 def repeats(
-    docs: DataFrame, seed: int = 42, slices: int = 4096, row: str | None = None, **mixture
+    docs: DataFrame, seed: int = 42, slices: int | None = None, row: str | None = None, **mixture
 ) -> tuple[DataFrame, DataFrame]:
     """The rows of (doc_id, source, size, ``row``) with source_size, target and times, and the sources.
 
     ``docs`` must be a stored table; it is read several times. ``row`` names a column that
-    orders rows which share their id.
+    orders rows which share their id. ``slices``, a power of two, grows with the rows, so that the
+    slice which is ordered row by row does not.
     """
+    slices = slices or max(4096, 1 << (docs.count() // ROWS_PER_SLICE).bit_length())
     plan = stored(targets(docs, **mixture), "targets")
     key = F.coalesce(F.concat(F.lit("s"), "source"), F.lit("null"))
     ties = ["doc_id", *([row] if row else [])]
