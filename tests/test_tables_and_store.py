@@ -384,3 +384,17 @@ def test_text_and_question_files(spark, tmp_path):
     questions = spark.createDataFrame([("q", "why")], schemas.QUESTIONS)
     objects.write_answers(questions, str(tmp_path / "q"))
     assert objects.read_questions(spark, str(tmp_path / "q")).collect() == questions.collect()
+
+
+def test_stored_postings_share_the_ids_of_their_chunks(spark, tmp_path):
+    """A posting takes fewer bytes than the two ids of 64 characters in it, footers included, and a task leaves few files."""
+    store = Store(spark, str(tmp_path))
+    texts = [" ".join(f"w{(7 * n + i) % 911}" for i in range(150)) for n in range(120)]
+    batch = event_frame(spark, *(event(f"{n}.pdf", 1, text) for n, text in enumerate(texts)))
+    ingest_batch(batch, store, KNOBS)
+    files = list((tmp_path / "postings").rglob("*.parquet"))
+    n_rows = store.rows("postings").count()
+    assert n_rows >= 150 * 120
+    assert sum(path.stat().st_size for path in files) < 64 * n_rows
+    tasks = len({path.name.split("-")[1] for path in files})
+    assert len(files) <= 16 * tasks
