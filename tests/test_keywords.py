@@ -191,3 +191,33 @@ def test_stored_postings_read_only_needed_buckets(spark, texts, tmp_path):
     assert sorted(map(tuple, keywords.match(stored, clauses).collect())) == sorted(
         map(tuple, keywords.match(rows, clauses).collect())
     )
+
+
+def test_phrases_are_looked_up_where_two_of_their_terms_stand(spark):
+    """Chunks that hold a phrase's terms apart give no hits, however many there are."""
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(12)]
+    texts = [" ".join(rng.choices(words, k=60)) for _ in range(200)] + ["w0 w1 w2 w3 w4 w5 w6 w7"] * 3
+    corpus = spark.createDataFrame(list(enumerate(texts)), "chunk_id long, content string")
+    questions = ['"w0 w1 w2 w3 w4 w5 w6 w7"', '"w3 w2 w1" OR "w1 w1 w2" w5', '"w4 w5 w6" -w7', 'w3 "w9 w8" -"w1 w2"']
+    rows = spark.createDataFrame([(f"q{i}", q) for i, q in enumerate(questions)], "query_id string, question string")
+    posted, clauses = keywords.postings(corpus).cache(), keywords.query_clauses(rows).cache()
+    got = {(r.query_id, r.chunk_id): round(r.score, 9) for r in keywords.match(posted, clauses).collect()}
+    expected = {
+        (f"q{i}", j): round(score, 9)
+        for i, q in enumerate(questions)
+        for j, t in enumerate(texts)
+        if (score := brute_force_score(t, q)) is not None
+    }
+    assert got == expected and {q for q, _ in got} >= {"q0", "q1", "q3"}
+    of_first = clauses.filter("query_id = 'q0'")
+    kept = keywords.hits(posted, of_first).count()
+    asked = posted.join(of_first.select("term"), "term", "left_semi").count()
+    assert 24 <= kept < 0.1 * asked
+
+
+def test_questions_that_share_an_id_match_as_their_joined_clauses(spark):
+    corpus = spark.createDataFrame([("c0", "alpha beta"), ("c1", "gamma delta"), ("c2", "delta")], "chunk_id string, content string")
+    questions = spark.createDataFrame([("q", '"alpha beta"'), ("q", '"gamma delta"')], "query_id string, question string")
+    found = keywords.match(keywords.postings(corpus), keywords.query_clauses(questions)).select("chunk_id").collect()
+    assert sorted(r.chunk_id for r in found) == ["c0"]
