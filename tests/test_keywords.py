@@ -221,3 +221,14 @@ def test_questions_that_share_an_id_match_as_their_joined_clauses(spark):
     questions = spark.createDataFrame([("q", '"alpha beta"'), ("q", '"gamma delta"')], "query_id string, question string")
     found = keywords.match(keywords.postings(corpus), keywords.query_clauses(questions)).select("chunk_id").collect()
     assert sorted(r.chunk_id for r in found) == ["c0"]
+
+
+def test_chunks_that_are_there_twice_keep_all_places(spark):
+    """A phrase is complete where as many hits stand as it has terms, as it was before places were looked up."""
+    corpus = spark.createDataFrame(
+        [("c0", "alpha beta"), ("c1", "alpha gamma beta"), ("c1", "alpha gamma beta"), ("c2", "alpha gamma")],
+        "chunk_id string, content string",
+    )
+    questions = spark.createDataFrame([("q", '"alpha beta"')], "query_id string, question string")
+    found = keywords.match(keywords.postings(corpus), keywords.query_clauses(questions)).select("chunk_id").collect()
+    assert sorted(r.chunk_id for r in found) == ["c0", "c1"]
