@@ -33,22 +33,26 @@ def count_ranges(n_chunks: int, per_range: int = CHUNKS_PER_RANGE) -> int:
 
 
 def ranged(rows: DataFrame, n_ranges: int) -> DataFrame:
-    """Postings with the ``range`` of their chunk; best stored sorted by term and range."""
+    """Postings with the ``range`` of their chunk."""
     return rows.withColumn("range", range_of(F.col("chunk_id"), n_ranges))
 
 
 def write_ranged(rows: DataFrame, path: str, n_ranges: int) -> None:
-    """Store postings and their summary. Each task sorts its own by term and range, so that nothing is
-    shuffled and a row group's statistics tell what is not in it."""
-    ranged(rows, n_ranges).sortWithinPartitions("term", "range").write.parquet(f"{path}/postings")
+    """Store postings and their summary. Each task writes its own as they come, neither shuffled nor sorted,
+    so that the rows of a chunk stay together and share its id and range."""
+    ranged(rows, n_ranges).write.parquet(f"{path}/postings")
     summary(rows.sparkSession.read.parquet(f"{path}/postings")).write.parquet(f"{path}/summary")
 
 
 def summary(rows: DataFrame) -> DataFrame:
-    """``(term, range, most, n)``: the largest count in one chunk, and all postings, of a term in a range."""
+    """``(term, range, most, n)``: the largest count in one chunk, and all postings, of a term in a range.
+
+    Rows are dealt by range once, which serves the counts by chunk and those by range.
+    """
     # Chunks go by a hash of their ids; two that share one could only raise a bound.
     chunk = F.xxhash64("chunk_id").alias("chunk")
-    per_chunk = rows.groupBy("term", "range", chunk).agg(F.count("*").alias("tf"))
+    dealt = rows.select("term", "range", chunk).repartition("range")
+    per_chunk = dealt.groupBy("term", "range", "chunk").agg(F.count("*").alias("tf"))
     return per_chunk.groupBy("term", "range").agg(F.max("tf").alias("most"), F.sum("tf").alias("n"))
 
 

@@ -86,6 +86,15 @@ def test_postings_below_the_threshold_are_not_read(spark, tmp_path):
     assert [r.chunk_id for r in got.orderBy("rank").collect()] == [5, 700, 1500, 2200]
 
 
+def test_the_summary_deals_postings_once(spark, index):
+    """One exchange serves both counts, and the stored postings keep the order they came in."""
+    rows, _, _ = index
+    plan = bounded.summary(rows)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+    first = rows.select("chunk_id").limit(30).collect()
+    assert len({r.chunk_id for r in first}) < 15
+
+
 def test_empty_tables(spark, index):
     rows, summaries, n_ranges = index
     clauses = keywords.query_clauses(questions_frame(spark, QUESTIONS))
