@@ -45,10 +45,16 @@ def bitmaps(rows: DataFrame) -> DataFrame:
 
 
 def write_index(rows: DataFrame, n_chunks: int, path: str, frequent: float = FREQUENT) -> None:
-    """Store postings (with ``number``) by term, and the bitmaps of terms in ``frequent`` of the chunks or more."""
-    rows.sortWithinPartitions("term", "number").write.parquet(f"{path}/postings")  # each task its own, unshuffled
+    """Store postings (with ``number``) as they come, and the bitmaps of terms in ``frequent`` of the chunks or more.
+
+    A term with fewer postings than that is in fewer chunks, so bitmaps are made of the others only.
+    """
+    rows.write.parquet(f"{path}/postings")  # each task its own, neither shuffled nor sorted
     kept = rows.sparkSession.read.parquet(f"{path}/postings")
-    pages = bitmaps(kept).withColumn("n", F.bitmap_count("bits"))
+    often = kept.groupBy("term").agg(F.count("*").alias("n")).filter(F.col("n") >= frequent * n_chunks)
+    often = broadcast_if_small(stored(often.select("term"), "often"))
+    pages = bitmaps(kept.select("term", "number").join(often, "term", "left_semi"))
+    pages = stored(pages.withColumn("n", F.bitmap_count("bits")), "pages")
     held = pages.groupBy("term").agg(F.sum("n").alias("df")).filter(F.col("df") >= frequent * n_chunks)
     held = broadcast_if_small(held.select("term"))  # at most the terms of a chunk / frequent
     pages.join(held, "term", "left_semi").drop("n").write.parquet(f"{path}/bitmaps")

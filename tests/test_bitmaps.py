@@ -44,6 +44,21 @@ def test_only_frequent_terms_are_kept(index):
     assert held == {term: n for term, n in df.items() if n >= 0.1 * 1052} and 0 < len(held) < len(df)
 
 
+def test_bitmaps_are_made_of_terms_that_can_be_frequent(spark, tmp_path, monkeypatch):
+    """A bitmap takes 4 KB, however rare its term, so rare terms get none on the way."""
+    rows = spark.range(400).select(
+        F.col("id").alias("number"),
+        F.concat(F.lit("c"), "id").alias("chunk_id"),
+        F.explode(F.array(F.lit("mua"), F.concat(F.lit("rare"), "id"))).alias("term"),
+        F.lit(0).alias("pos"),
+    )
+    seen, made = [], bitmaps.bitmaps
+    monkeypatch.setattr(bitmaps, "bitmaps", lambda frame: seen.append(frame) or made(frame))
+    bitmaps.write_index(rows, 400, str(tmp_path / "index"))
+    assert [frame.select("term").distinct().count() for frame in seen] == [1]
+    assert [r.term for r in spark.read.parquet(f"{tmp_path}/index/bitmaps").collect()] == ["mua"]
+
+
 def test_positions_are_read_for_survivors_only(spark, index):
     rows, kept = index
     clauses = keywords.query_clauses(questions_frame(spark, ["w0 -w1 -w2 -w3 -w4", "w30 w0"])).cache()
