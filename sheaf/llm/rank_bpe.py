@@ -35,20 +35,12 @@ from pyspark.sql.types import ArrayType, IntegerType, StructType
 from tokenizers import Tokenizer
 
 from sheaf.llm.common import slices
-from sheaf.llm.tokenize import UNUSUAL, WORDS, Known
+from sheaf.llm.tokenize import UNUSUAL, WORDS, Known, byte_letters, gathered
 
 SHORT = 64
 NONE = np.int32(2**31 - 1)  # the rank of a pair that never merges
 
 
-def byte_letters() -> list[str]:
-    """The letter that stands for each byte: printable ones for themselves, the rest from U+0100 on."""
-    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    rest = [b for b in range(256) if b not in printable]
-    letters = {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(rest)}
-    return [letters[b] for b in range(256)]
-
-
 class Merges:
     """The merge table of a tokenizer's file, and words put together by it."""
 
@@ -146,15 +138,6 @@ class Merges:
         return [part for part in parts if part >= 0]
 
 
-def gathered(known: Known, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The ids of known pieces in a row, and the number for each."""
-    starts, ids = np.asarray(known.starts), np.asarray(known.ids)  # views, gone when the next piece is added
-    begin = starts[places]
-    sizes = starts[places + 1] - begin
-    before = np.cumsum(sizes) - sizes
-    return ids[np.repeat(begin - before, sizes) + np.arange(sizes.sum())], sizes
-
-
 class RankEncoder:
     """Ids of texts; ``remember`` bounds the pieces that are known, of older ones those used again stay."""
 

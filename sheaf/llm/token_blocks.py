@@ -1,10 +1,10 @@
 """Token ids of a corpus in files of coded blocks (operator 4).
 
 Documents are dealt out by ranges of doc_id and sorted, so the files hold them in ascending
-order. A task gathers whole documents until it has ``chunk_ids`` ids, codes them with
-``context_coder`` (adaptive order-0 to order-2 predictions, blocks reset and checksummed each
-for itself) and writes one row: its place, the documents' ids and lengths, and the coded
-bytes. The rows are Parquet files in the shared folder, committed by Spark's writer, so a
+order. A task gathers whole documents up to about ``chunk_ids`` ids, codes them with
+``context_coder`` (adaptive order-0 to order-2 predictions, blocks reset each for itself, their
+stretches checksummed) and writes one row: its place, the documents' ids and lengths, and the
+coded bytes. The rows are Parquet files in the shared folder, committed by Spark's writer, so a
 lost executor costs only its unfinished tasks. Reading decodes the bytes and checks every block.
 
 Defined results: a null or empty text has the end id alone; a null doc_id comes first;
@@ -20,12 +20,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sheaf.llm import context_coder
-from sheaf.llm.common import slices
 from sheaf.llm.tokenize import WordEncoder
 from sheaf.session import scratch_path
 
@@ -43,6 +43,17 @@ def encoder_for(tokenizer: str) -> WordEncoder:
     return _encoders[tokenizer]
 
 
+def slices_of_bytes(batches: Iterator[pa.RecordBatch], limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Record batches in parts of about ``limit`` bytes of text, or of one longer text."""
+    for batch in batches:
+        sums = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(), dtype=np.int64)
+        at = 0
+        while at < batch.num_rows:
+            end = max(at + 1, int(np.searchsorted(sums, (sums[at - 1] if at else 0) + limit, "right")))
+            yield batch.slice(at, end - at)
+            at = end
+
+
 def write_blocks(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, chunk_ids: int = 4 << 20) -> None:
     """Encode ``docs`` (doc_id, text) and write them under ``path``, in ascending doc_id order."""
 
@@ -58,15 +69,15 @@ def write_blocks(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_I
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         encoder = encoder_for(tokenizer)
         before, held, ids, doc_ids, lengths = 0, 0, [], [], []
-        for batch in slices(batches, 256):
-            found, counts = encoder.encode(batch.column("text").to_pylist(), end_id)
+        for batch in slices_of_bytes(batches):
+            found, counts = encoder.encode(batch.column("text"), end_id)
+            if held and held + len(found) > chunk_ids:
+                yield row(before, ids, doc_ids, lengths)
+                before, held, ids, doc_ids, lengths = before + held, 0, [], [], []
             ids.append(found)
             lengths.append(counts)
             doc_ids += batch.column("doc_id").to_pylist()
             held += len(found)
-            if held >= chunk_ids:
-                yield row(before, ids, doc_ids, lengths)
-                before, held, ids, doc_ids, lengths = before + held, 0, [], [], []
         if held:
             yield row(before, ids, doc_ids, lengths)
 

@@ -4,20 +4,34 @@ The tokenizers library splits a text into words, never across blanks, and encode
 its own, so the ids of a text are those of its words in a row. For plain texts (Latin letters,
 ASCII signs, ordinary blanks: where lower-casing and splitting are the same in either library)
 the pieces between blanks are looked up, a new piece is put together from its words, and only
-new words go to the library; any other text goes to it as a whole.
+new words go to the library's model, which merges them, as the bytes that its first steps would
+make of them; any other text goes to the library as a whole.
 """
 
 from __future__ import annotations
 
 from array import array
+from itertools import repeat
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from tokenizers import Tokenizer
 
 # Fixed: the word pattern in the tokenizer's own file.
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 UNUSUAL = regex.compile("[^\t\n\r\x20-\x7e\xa1-ɏ]|<\\|")
+# Texts that are not plain, for Arrow, which lower-cases U+0130 to one letter and the library to two.
+NOT_PLAIN = r"[^\t\n\r\x20-\x7e\x{a1}-\x{12f}\x{131}-\x{24f}]|<\|"
+
+ENDS = (".", ",", ";", ":", "!", "?")
+
+
+def words_of(piece: str) -> list[str]:
+    if piece[-1:] in ENDS and piece[:-1].isalpha():
+        return [piece[:-1], piece[-1]]  # the same, sooner
+    return WORDS.findall(piece)
 
 
 class Known:
@@ -32,75 +46,98 @@ class Known:
         self.starts.append(len(self.ids))
         return len(self.starts) - 2
 
-    def get(self, piece: str):
-        i = self.place.get(piece)
-        return None if i is None else self.ids[self.starts[i] : self.starts[i + 1]]
+    def add_all(self, pieces: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        """Pieces with all their ids in a row, and the number for each."""
+        first, last = len(self.starts) - 1, self.starts[-1]
+        self.place.update(zip(pieces, range(first, first + len(pieces)), strict=True))
+        self.ids.frombytes(ids.astype(np.int32).tobytes())
+        self.starts.frombytes((last + np.cumsum(sizes, dtype=np.int64)).tobytes())
+
+    def find(self, pieces: list[str] | np.ndarray) -> np.ndarray:
+        """Their places, -1 for what is not known."""
+        return np.fromiter(map(self.place.get, pieces, repeat(-1)), np.int64, len(pieces))
+
+
+def gathered(known: Known, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of known pieces in a row, and the number for each."""
+    starts, ids = np.asarray(known.starts), np.asarray(known.ids)  # views, gone when the next piece is added
+    begin = starts[places]
+    sizes = starts[places + 1] - begin
+    before = np.cumsum(sizes) - sizes
+    return ids[np.repeat(begin - before, sizes) + np.arange(sizes.sum())], sizes
+
+
+def byte_letters() -> list[str]:
+    """The letter that stands for each byte: printable ones for themselves, the rest from U+0100 on."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in printable]
+    letters = {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(rest)}
+    return [letters[b] for b in range(256)]
 
 
 class WordEncoder:
     """``remember`` bounds what is known; of older pieces those used again are kept."""
 
-    def __init__(self, path: str, remember: int = 200_000):
+    def __init__(self, path: str, remember: int = 1_000_000):
         self.tokenizer = Tokenizer.from_file(path)
+        self.model, self.letters = self.tokenizer.model, dict(enumerate(byte_letters()))
         self.remember = remember
         self.old, self.known = Known(), Known()
 
+    def carry(self, pieces: list[str]) -> list[str]:
+        """Keep what is known from before among ``pieces``; the others are returned."""
+        if not self.old.place:
+            return pieces
+        places = self.old.find(pieces)
+        self.known.add_all([pieces[i] for i in np.flatnonzero(places >= 0).tolist()], *gathered(self.old, places[places >= 0]))
+        return [pieces[i] for i in np.flatnonzero(places < 0).tolist()]
+
     def learn(self, pieces: list[str]) -> None:
-        """Make pieces known; words that are new are encoded, many in one call."""
-        rest = []
-        for piece in pieces:
-            ids = self.old.get(piece)
-            if ids is None:
-                rest.append(piece)
-            else:
-                self.known.place[piece] = self.known.add(ids)
-        split = [WORDS.findall(piece) for piece in rest]
-        words = {word for found in split for word in found if word not in self.known.place}
-        new = []
-        for word in words:
-            ids = self.old.get(word)
-            if ids is None:
-                new.append(word)
-            else:
-                self.known.place[word] = self.known.add(ids)
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            encoding = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
-            ids, owner = encoding.ids, np.array(encoding.word_ids, np.int64)
-            begin = 0
-            for word, end in zip(part, np.searchsorted(owner, np.arange(len(part)), "right").tolist(), strict=True):
-                self.known.place[word] = self.known.add(ids[begin:end])
-                begin = end
-        for piece, found in zip(rest, split, strict=True):
-            if piece not in self.known.place:
-                ids = array("i")
-                for word in found:
-                    ids.extend(self.known.get(word))
-                self.known.place[piece] = self.known.add(ids)
-
-    def encode(self, texts: list[str | None], end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """Make pieces known; words that are new are encoded."""
+        known = self.known
+        rest = self.carry(pieces)
+        split = [[piece] if piece.isalpha() else words_of(piece) for piece in rest]
+        new = self.carry(list({word for found in split for word in found if word not in known.place}))
+        ids, sizes = [], []
+        for word in new:
+            if not word.isascii():
+                word = word.encode().decode("latin-1").translate(self.letters)
+            found = [token.id for token in self.model.tokenize(word)]
+            ids += found
+            sizes.append(len(found))
+        known.add_all(new, np.array(ids, np.int32), np.array(sizes, np.int64))
+        several = [i for i, found in enumerate(split) if len(found) != 1]
+        ids, sizes = gathered(known, known.find([word for i in several for word in split[i]]))
+        running = np.concatenate(([0], np.cumsum(sizes)))
+        ends = np.cumsum([len(split[i]) for i in several], dtype=np.int64)
+        known.add_all([rest[i] for i in several], ids, np.diff(running[ends], prepend=0))
+
+    def encode(self, texts: pa.Array | list[str | None], end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, each text followed by ``end_id``, and the number for each text."""
         if len(self.known.place) > self.remember // 2:
             self.old, self.known = self.known, Known()
         known = self.known
-        end = known.add([end_id])
-        found: list[list[str] | int] = []
-        for text in texts:
-            text = text or ""
-            if UNUSUAL.search(text):
-                found.append(known.add(self.tokenizer.encode(text, add_special_tokens=False).ids))
+        texts = pa.array(texts, pa.string()) if isinstance(texts, list) else texts
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        plain = pc.invert(pc.match_substring_regex(texts, NOT_PLAIN))
+        split = pc.ascii_split_whitespace(pc.utf8_lower(texts.filter(plain)))
+        pieces = split.flatten().dictionary_encode()
+        distinct = pieces.dictionary.to_numpy(zero_copy_only=False)
+        places = known.find(distinct)
+        fresh = np.flatnonzero(places < 0)
+        self.learn(distinct[fresh].tolist())
+        places[fresh] = known.find(distinct[fresh])
+        ids, sizes = gathered(known, places)
+        lists = pa.LargeListArray.from_arrays(np.concatenate(([0], np.cumsum(sizes))), ids).take(pieces.indices)
+        ids, bounds = lists.values.to_numpy(), lists.offsets.to_numpy()
+        ends = bounds[np.cumsum(pc.list_value_length(split).to_numpy(), dtype=np.int64)]
+        found = iter(np.split(ids, ends))
+        whole = iter(texts.filter(pc.invert(plain)).to_pylist())
+        end, parts = np.array([end_id], np.int32), []
+        for simple in plain.to_pylist():
+            if simple:
+                parts += [next(found), end]
             else:
-                found.append(text.lower().split())
-        pieces = set().union(*(x for x in found if isinstance(x, list)))
-        self.learn([piece for piece in pieces if piece not in known.place])
-        look = known.place.__getitem__
-        places = [np.array([*map(look, x), end] if isinstance(x, list) else [x, end], np.int64) for x in found]
-        counts = np.array([len(place) for place in places], np.int64)
-        place = np.concatenate(places) if places else np.zeros(0, np.int64)
-        starts = np.array(known.starts, np.int64)
-        begin = starts[place]
-        sizes = starts[place + 1] - begin
-        before = np.cumsum(sizes) - sizes
-        ids = np.array(known.ids, np.int32)[np.repeat(begin - before, sizes) + np.arange(sizes.sum())]
-        per_text = np.add.reduceat(sizes, np.cumsum(counts) - counts) if len(counts) else counts
-        return ids, per_text
+                parts += [np.array(self.tokenizer.encode(next(whole), add_special_tokens=False).ids, np.int32), end]
+        counts = np.array([len(part) + 1 for part in parts[::2]], np.int64)
+        return np.concatenate([np.zeros(0, np.int32), *parts]), counts

@@ -9,6 +9,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -281,3 +282,49 @@ def test_token_blocks(spark, tmp_path):
         assert r.ids_crc32 == zlib.crc32(np.array(r.ids, "<u4").tobytes())
         start += r.n_tokens
     assert token_blocks.encode_corpus(docs.limit(0), FILE).collect() == []
+
+
+def test_coder_shares_what_a_block_learns(monkeypatch):
+    """Stretches side by side learn together, and an id takes one step of the range coder unless it is new."""
+    rng = np.random.default_rng(13)
+    ids = (np.minimum(rng.zipf(1.3, 200_000), 3000) * 13).astype(np.int32)
+    share = np.unique(ids, return_counts=True)[1] / len(ids)
+    entropy = -(share * np.log2(share)).sum()
+    calls, code = [], context_coder.Encoder.code
+    monkeypatch.setattr(context_coder.Encoder, "code", lambda *args: calls.append(0) or code(*args))
+    data = context_coder.encode(ids, block_ids=1000, lanes=200)
+    assert 8 * len(data) < 1.15 * entropy * len(ids) and len(calls) < 2 * 1000
+    assert np.array_equal(context_coder.decode(data), ids)
+
+
+def test_coder_finds_damage():
+    rng = np.random.default_rng(14)
+    ids = rng.geometric(0.01, 3000).astype(np.int32)
+    data = context_coder.encode(ids, block_ids=100, lanes=20)
+    for at in [*range(4, 40), *rng.integers(40, len(data), 60).tolist()]:
+        for bit in (1, 128):
+            damaged = bytearray(data)
+            damaged[at] ^= bit
+            try:
+                assert np.array_equal(context_coder.decode(bytes(damaged)), ids)  # a bit that isn't needed
+            except ValueError:
+                continue
+    for cut in (data[:7], data[:15], data[:100], data[:-5], data + b"0000"):
+        with pytest.raises(ValueError):
+            context_coder.decode(cut)
+
+
+def test_each_letter_encodes_like_whole_texts():
+    """Arrow's lower case, the byte letters and the library's own steps agree on all plain letters."""
+    texts = [f"x{chr(c)}Y {chr(c)} {chr(c)}{chr(c)}." for c in [9, 10, 13, *range(0x20, 0x7F), *range(0xA0, 0x260)]]
+    whole = Tokenizer.from_file(FILE)
+    ids, counts = WordEncoder(FILE).encode([*texts, None, ""], 7)
+    want = [whole.encode(text, add_special_tokens=False).ids + [7] for text in texts] + [[7], [7]]
+    assert ids.tolist() == sum(want, []) and counts.tolist() == [len(w) for w in want]
+
+
+def test_slices_hold_whole_rows():
+    texts = ["a" * 30, None, "", "b" * 500, "c" * 99, "é", "d" * 60, "e" * 40]
+    batch = pa.RecordBatch.from_pydict({"text": pa.array(texts)}).slice(1)
+    parts = [part.column("text").to_pylist() for part in token_blocks.slices_of_bytes(iter([batch, batch.slice(0, 0)]), 101)]
+    assert sum(parts, []) == texts[1:] and [len(part) for part in parts] == [2, 1, 2, 2]
