@@ -144,12 +144,12 @@ class Decoder:
         self.ahead = (self.words[:, 0].astype(U64) << U32) | self.words[:, 1]
         self.used = np.full(len(payloads), 2)
 
-    def place(self, lane: np.ndarray | slice, bits: int) -> np.ndarray:
+    def place(self, lane: np.ndarray | slice, bits: int) -> tuple[np.ndarray, np.ndarray]:
+        """Where in the range the code words lie, and how large its parts are."""
         part = self.range[lane] >> U64(bits)
-        return np.minimum((self.ahead[lane] - self.low[lane]) // part, U64((1 << bits) - 1)).view(np.int64)
+        return np.minimum((self.ahead[lane] - self.low[lane]) // part, U64((1 << bits) - 1)).view(np.int64), part
 
-    def code(self, lane: np.ndarray | slice, start: np.ndarray, width: np.ndarray | np.uint64, bits: int) -> None:
-        part = self.range[lane] >> U64(bits)
+    def code(self, lane: np.ndarray | slice, start: np.ndarray, width: np.ndarray | np.uint64, part: np.ndarray) -> None:
         low = self.low[lane] + part * start
         size = part * width
         self.low[lane], self.range[lane] = low, size
@@ -193,22 +193,22 @@ def write(model: Model, coder: Encoder, seen: tuple[np.ndarray, ...], ids: np.nd
 def read(model: Model, coder: Decoder, slots: np.ndarray, seen: tuple[np.ndarray, ...], out: np.ndarray) -> None:
     """Decode one id of each lane."""
     _, _, entry1, entry2, state = seen
-    place = coder.place(slice(None), BITS)
+    place, part = coder.place(slice(None), BITS)
     until2, until1, weight = model.until2.take(state), model.until1.take(state), model.weight0.take(state)
     over = place - until1
     right2, right1 = place < until2, over < 0
     symbol = slots.take(np.maximum(over, 0) // weight)
     start = np.where(right2, 0, np.where(right1, until2, until1 + weight * model.start.take(symbol))).view(U64)
     width = np.where(right2, until2, np.where(right1, until1 - until2, weight * model.size.take(symbol))).view(U64)
-    coder.code(slice(None), start, width, BITS)
+    coder.code(slice(None), start, width, part)
     out[:] = np.where(right2, entry2 >> TRUST_BITS, np.where(right1, entry1 >> TRUST_BITS, model.names.take(symbol)))
     lane = np.flatnonzero((symbol == 0) & ~right1)
     if len(lane):
         found = np.zeros(len(lane), np.int64)
         for _ in model.raw_bits:
-            part = coder.place(lane, RAW)
-            coder.code(lane, part.view(U64), U64(1), RAW)
-            found = found << RAW | part
+            place, part = coder.place(lane, RAW)
+            coder.code(lane, place.view(U64), U64(1), part)
+            found = found << RAW | place
         out[lane] = found & (len(model.number) - 1)  # a damaged block may hold any bits
 
 

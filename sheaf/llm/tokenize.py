@@ -40,6 +40,7 @@ class Known:
     def __init__(self) -> None:
         self.place: dict[str, int] = {}
         self.ids, self.starts = array("i"), array("q", [0])
+        self.chars = 0  # of the pieces of ``add_all``
 
     def add(self, ids) -> int:
         self.ids.extend(ids)
@@ -49,6 +50,7 @@ class Known:
     def add_all(self, pieces: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
         """Pieces with all their ids in a row, and the number for each."""
         first, last = len(self.starts) - 1, self.starts[-1]
+        self.chars += sum(map(len, pieces))
         self.place.update(zip(pieces, range(first, first + len(pieces)), strict=True))
         self.ids.frombytes(ids.astype(np.int32).tobytes())
         self.starts.frombytes((last + np.cumsum(sizes, dtype=np.int64)).tobytes())
@@ -76,12 +78,12 @@ def byte_letters() -> list[str]:
 
 
 class WordEncoder:
-    """``remember`` bounds what is known; of older pieces those used again are kept."""
+    """``remember`` (pieces) and ``chars`` bound what is known; of older pieces those used again are kept."""
 
-    def __init__(self, path: str, remember: int = 1_000_000):
+    def __init__(self, path: str, remember: int = 1_000_000, chars: int = 32 << 20):
         self.tokenizer = Tokenizer.from_file(path)
         self.model, self.letters = self.tokenizer.model, dict(enumerate(byte_letters()))
-        self.remember = remember
+        self.remember, self.chars = remember, chars
         self.old, self.known = Known(), Known()
 
     def carry(self, pieces: list[str]) -> list[str]:
@@ -89,15 +91,20 @@ class WordEncoder:
         if not self.old.place:
             return pieces
         places = self.old.find(pieces)
-        self.known.add_all([pieces[i] for i in np.flatnonzero(places >= 0).tolist()], *gathered(self.old, places[places >= 0]))
+        again = np.flatnonzero(places >= 0)
+        self.known.add_all([pieces[i] for i in again.tolist()], *gathered(self.old, places[again]))
         return [pieces[i] for i in np.flatnonzero(places < 0).tolist()]
 
     def learn(self, pieces: list[str]) -> None:
         """Make pieces known; words that are new are encoded."""
         known = self.known
         rest = self.carry(pieces)
-        split = [[piece] if piece.isalpha() else words_of(piece) for piece in rest]
-        new = self.carry(list({word for found in split for word in found if word not in known.place}))
+        several = [piece for piece in rest if not piece.isalpha()]
+        split = [words_of(piece) for piece in several]
+        words = {word for found in split for word in found}.difference(rest)
+        alone = [piece for piece, found in zip(several, split, strict=True) if len(found) == 1]
+        new = [piece for piece in rest if piece.isalpha()] + alone
+        new += self.carry([word for word in words if word not in known.place])
         ids, sizes = [], []
         for word in new:
             if not word.isascii():
@@ -106,15 +113,15 @@ class WordEncoder:
             ids += found
             sizes.append(len(found))
         known.add_all(new, np.array(ids, np.int32), np.array(sizes, np.int64))
-        several = [i for i, found in enumerate(split) if len(found) != 1]
-        ids, sizes = gathered(known, known.find([word for i in several for word in split[i]]))
+        split = [found for found in split if len(found) != 1]
+        ids, sizes = gathered(known, known.find([word for found in split for word in found]))
         running = np.concatenate(([0], np.cumsum(sizes)))
-        ends = np.cumsum([len(split[i]) for i in several], dtype=np.int64)
-        known.add_all([rest[i] for i in several], ids, np.diff(running[ends], prepend=0))
+        ends = np.cumsum([len(found) for found in split], dtype=np.int64)
+        known.add_all([piece for piece in several if piece not in known.place], ids, np.diff(running[ends], prepend=0))
 
     def encode(self, texts: pa.Array | list[str | None], end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, each text followed by ``end_id``, and the number for each text."""
-        if len(self.known.place) > self.remember // 2:
+        if len(self.known.place) > self.remember // 2 or self.known.chars > self.chars // 2:
             self.old, self.known = self.known, Known()
         known = self.known
         texts = pa.array(texts, pa.string()) if isinstance(texts, list) else texts

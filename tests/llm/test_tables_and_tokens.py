@@ -328,3 +328,12 @@ def test_slices_hold_whole_rows():
     batch = pa.RecordBatch.from_pydict({"text": pa.array(texts)}).slice(1)
     parts = [part.column("text").to_pylist() for part in token_blocks.slices_of_bytes(iter([batch, batch.slice(0, 0)]), 101)]
     assert sum(parts, []) == texts[1:] and [len(part) for part in parts] == [2, 1, 2, 2]
+
+
+def test_known_pieces_are_bounded():
+    encoder, whole = WordEncoder(FILE, chars=20_000), Tokenizer.from_file(FILE)
+    for i in range(12):
+        texts = [f"word {'xyz' * 1500}{i}{j} a,b (c). 5 ..." for j in range(2)]
+        ids, _ = encoder.encode(texts, 2)
+        assert ids.tolist() == sum([whole.encode(text, add_special_tokens=False).ids + [2] for text in texts], [])
+        assert encoder.known.chars < 40_000 and len(encoder.known.place) + len(encoder.old.place) < 60
