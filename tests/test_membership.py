@@ -2,7 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from sheaf.operators import keywords, membership
+from sheaf.operators import embed, keywords, membership
+from sheaf.plans import catalog
 from sheaf.session import remove, stored
 
 
@@ -76,3 +77,22 @@ def test_stored_results_leave_no_shuffle_files(spark, tmp_path):
 def _listed(spark, blocks):
     files = blocks.getAllFiles()
     return [files.apply(i) for i in range(files.size())]
+
+
+def test_cells_are_stored_without_contents(spark, monkeypatch):
+    words = ["alpha beta", "gamma delta", "epsilon", "zeta eta"]
+    rows = spark.createDataFrame(
+        [(f"c{i:02d}", f"d{i}", 0, 1, words[i % 4] + f" w{i}") for i in range(24)],
+        "chunk_id string, document_id string, chunk_index int, page_number int, content string",
+    )
+    rows = stored(rows.withColumn("embedding", embed.hashed_vector(F.col("content"), catalog.DIM)), "rows")
+    documents = rows.select(F.col("document_id").alias("id"), F.lit("f").alias("filename"), F.lit("u").alias("gcs_uri"), F.lit("completed").alias("status"))
+    questions = spark.createDataFrame([("q", '"alpha beta"'), ("r", "epsilon")], "query_id string, question string")
+    monkeypatch.setattr(catalog, "corpus", lambda spark, sf: rows)
+    monkeypatch.setattr(catalog, "stored_documents", lambda spark, sf: documents)
+    monkeypatch.setattr(catalog, "benchmark_questions", lambda spark, sf: questions)
+    columns = {}
+    monkeypatch.setattr(catalog, "stored", lambda df, name: columns.setdefault(name, df.columns) and stored(df, name))
+    found = sorted((r.query_id, r.chunk_id, r.rrf_score) for r in catalog.hybrid_batch_cells(spark, "").collect())
+    assert columns["cells"] == ["chunk_id", "embedding", "cell"]
+    assert found == sorted((r.query_id, r.chunk_id, r.rrf_score) for r in catalog.hybrid_batch(spark, "").collect())
