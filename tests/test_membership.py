@@ -96,3 +96,24 @@ def test_cells_are_stored_without_contents(spark, monkeypatch):
     found = sorted((r.query_id, r.chunk_id, r.rrf_score) for r in catalog.hybrid_batch_cells(spark, "").collect())
     assert columns["cells"] == ["chunk_id", "embedding", "cell"]
     assert found == sorted((r.query_id, r.chunk_id, r.rrf_score) for r in catalog.hybrid_batch(spark, "").collect())
+
+
+def test_without_is_an_anti_join_that_shuffles_no_rows(spark, monkeypatch):
+    rows = spark.range(4000).select(
+        F.when(F.col("id") % 50 > 0, F.concat(F.lit("d"), F.col("id") % 400)).alias("document_id"),
+        F.when(F.col("id") % 7 > 0, F.concat(F.lit("a"), F.col("id") % 3)).alias("attempt"),
+        "id",
+    )
+    gone = rows.filter("id % 400 < 150").select("document_id", "attempt")
+    gone = stored(gone.union(gone.limit(30)), "gone")
+    on = ["document_id", "attempt"]
+    expected = sorted(r.id for r in rows.join(gone, on, "left_anti").collect())
+    for words in (64, 1):  # a block of 64 bits holds nearly every key: most rows are looked up as others
+        monkeypatch.setattr(membership, "_WORDS", words)
+        monkeypatch.setattr(membership, "BROADCAST_BYTES", 8 * words)
+        left = membership.without(rows, gone, on)
+        assert left.columns == rows.columns
+        assert sorted(r.id for r in left.collect()) == expected
+        plan = left._jdf.queryExecution().executedPlan().toString()
+        dealt = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+        assert dealt and all("hashpartitioning(block" in line for line in dealt)  # the filter's own

@@ -13,7 +13,8 @@ from sheaf.operators import quality, tables
 from sheaf.plans import ingest
 from sheaf.settings import OBJECT_FINALIZED, ChunkKnobs, EmbedKnobs
 from sheaf.sources import objects
-from sheaf.sources.store import Store
+from sheaf.operators.keywords import query_clauses
+from sheaf.sources.store import Store, full_id, short_id
 from sheaf.streaming.ingest import ingest_batch, start_ingest
 
 KNOBS = ingest.IngestKnobs(chunk=ChunkKnobs(20, 5), embed=EmbedKnobs(dim=8))
@@ -398,3 +399,45 @@ def test_stored_postings_share_the_ids_of_their_chunks(spark, tmp_path):
     assert sum(path.stat().st_size for path in files) < 64 * n_rows
     tasks = len({path.name.split("-")[1] for path in files})
     assert len(files) <= 16 * tasks
+
+
+def test_postings_keep_short_ids_and_staged_rows_go(spark, tmp_path):
+    """The hash of a chunk's place is not kept in every bucket, and what was staged is removed with the batch."""
+    store = Store(spark, str(tmp_path))
+    texts = ["\f".join(f"word{n} page{p} other{n * p}" for p in range(6)) for n in range(20)]
+    for at in (1, 2):
+        ingest_batch(event_frame(spark, *(event(f"{n}.pdf", at, text) for n, text in enumerate(texts[::at]))), store, KNOBS)
+    store.compact()
+    assert not any((tmp_path / "staged").iterdir())
+    kept = spark.read.parquet(str(tmp_path / "postings"))
+    assert kept.agg(F.max(F.length("chunk_id"))).first()[0] < 5
+    ids = {r.id for r in store.chunks().collect()}
+    asked = spark.createDataFrame([("q", "word2 OR page1")], "query_id string, question string")
+    found = store.postings(query_clauses(asked)).collect()
+    assert {r.chunk_id for r in store.rows("postings").collect()} == ids and len(ids) == 120
+    assert {r.chunk_id for r in found} <= ids and {r.term for r in found} == {"word2", "page1"} and len(found) == 6 + 20
+
+
+def test_any_chunk_id_comes_back_from_postings(spark, tmp_path):
+    store = Store(spark, str(tmp_path))
+    ids = ["x", "#", "#3", "##", "##7", "", None]
+    rows = spark.createDataFrame([("t", chunk, n, "d") for n, chunk in enumerate(ids)], schemas.POSTINGS)
+    store.write_postings("a", rows)
+    store.commit("a")
+    assert {r.pos: r.chunk_id for r in store.rows("postings").collect()} == dict(enumerate(ids))
+    chunks = spark.createDataFrame([(chunk, "d", 3) for chunk in ids] + [(None, None, 1)], "id string, document_id string, chunk_index int")
+    chunks = chunks.withColumn("key", text.chunk_key("document_id", F.col("chunk_index")))
+    chunks = chunks.unionByName(chunks.withColumn("id", F.col("key")))
+    short = chunks.withColumn("short", short_id("id", "document_id", "chunk_index"))
+    assert short.filter("id = key AND short NOT IN ('#3', '#1')").count() == 0
+    assert short.filter(~full_id("short", "document_id").eqNullSafe(F.col("id"))).count() == 0
+
+
+def test_superseded_chunks_beyond_a_broadcast_shuffle_no_chunks(spark, tmp_path, monkeypatch):
+    store = Store(spark, str(tmp_path))
+    ingest_batch(event_frame(spark, event("a.pdf", 1, "one"), event("b.pdf", 1, "bee")), store, KNOBS)
+    ingest_batch(event_frame(spark, event("a.pdf", 2, "two")), store, KNOBS)
+    monkeypatch.setattr("sheaf.sources.store.broadcast_if_small", lambda df: df)
+    shown = store.chunks()
+    assert sorted(r.content for r in shown.collect()) == ["bee", "two"]
+    assert "Exchange hashpartitioning(document_id" not in shown._jdf.queryExecution().executedPlan().toString()
