@@ -13,13 +13,14 @@ that of ``keywords.keyword_topk``.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sheaf.operators import keywords, vectors
-from sheaf.session import broadcast_if_small, stored
+from sheaf.operators import keywords, membership, vectors
+from sheaf.session import broadcast_if_small, stored, without_shuffle_files
 
 CHUNKS_PER_RANGE = 64
+SUMMARY_PARTS = 4
 FIRST_RANGES = 8  # answered before there is a threshold
 SLACK = 10.0**-keywords.DIGITS
 
@@ -40,8 +41,13 @@ def ranged(rows: DataFrame, n_ranges: int) -> DataFrame:
 def write_ranged(rows: DataFrame, path: str, n_ranges: int) -> None:
     """Store postings and their summary. Each task writes its own as they come, neither shuffled nor sorted,
     so that the rows of a chunk stay together and share its id and range."""
+    spark = rows.sparkSession
     ranged(rows, n_ranges).write.parquet(f"{path}/postings")
-    summary(rows.sparkSession.read.parquet(f"{path}/postings")).write.parquet(f"{path}/summary")
+    written = spark.read.parquet(f"{path}/postings")
+    for part in range(SUMMARY_PARTS):  # so that a part of the postings is shuffled at a time
+        some = written.filter(F.pmod("range", F.lit(SUMMARY_PARTS)) == part)
+        with without_shuffle_files(spark):
+            summary(some).write.mode("append").parquet(f"{path}/summary")
 
 
 def summary(rows: DataFrame) -> DataFrame:
@@ -56,30 +62,66 @@ def summary(rows: DataFrame) -> DataFrame:
     return per_chunk.groupBy("term", "range").agg(F.max("tf").alias("most"), F.sum("tf").alias("n"))
 
 
-def bounds(summaries: DataFrame, clauses: DataFrame) -> DataFrame:
-    """``(query_id, range, bound)`` of the ranges where a group of the question may match."""
+def present(summaries: DataFrame, clauses: DataFrame) -> DataFrame:
+    """``(query_id, grp, range, bound, complete)`` of the groups of a question that may match in a range.
+
+    Groups with all their terms there are ``complete`` and have a bound. Where questions share an id, a group may
+    hold the terms of several; such a group counts as present, without a bound, wherever one of its terms is.
+    """
     wanted = clauses.filter(~F.col("negated")).select("query_id", "grp", "n_slots", "term").distinct()
-    per_group = (
+    of_group = Window.partitionBy("query_id", "grp")
+    one_size = F.min("n_slots").over(of_group) == F.max("n_slots").over(of_group)
+    wanted = wanted.withColumn("mixed", (F.count("*").over(of_group) != F.col("n_slots")) | ~one_size)
+    most = F.lit(keywords.TERM_WEIGHT) * F.col("n_slots") * F.col("least")
+    complete = F.col("present") == F.col("n_slots")
+    return (
         summaries.join(broadcast_if_small(stored(wanted, "wanted")), "term")
         .groupBy("query_id", "grp", "n_slots", "range")
-        .agg(F.count("*").alias("present"), F.min("most").alias("least"))
-        .filter("present = n_slots")
+        .agg(F.count("*").alias("present"), F.min("most").alias("least"), F.max("mixed").alias("mixed"))
+        .filter(complete | F.col("mixed"))
+        .select("query_id", "grp", "range", F.when(complete, most).alias("bound"), complete.alias("complete"))
+    )
+
+
+def bounds(summaries: DataFrame, clauses: DataFrame) -> DataFrame:
+    """``(query_id, range, bound, groups)`` of the ranges where ``groups`` of the question may match."""
+    return (
+        present(summaries, clauses)
+        .groupBy("query_id", "range")
+        .agg(F.sum("bound").alias("bound"), F.collect_set("grp").alias("groups"), F.max("complete").alias("complete"))
+        .filter("complete")
+        .drop("complete")
     )
-    most = F.lit(keywords.TERM_WEIGHT) * F.col("n_slots") * F.col("least")
-    return per_group.groupBy("query_id", "range").agg(F.sum(most).alias("bound"))
 
 
 def needed(clauses: DataFrame, wave: DataFrame) -> DataFrame:
-    """``(term, range)`` of the postings that the ``wave`` (query_id, range) reads, excluded terms among them."""
-    return clauses.select("query_id", "term").distinct().join(wave.select("query_id", "range"), "query_id").select(
-        "term", "range"
-    ).distinct()
+    """``(term, range)`` of the postings that the ``wave`` (query_id, range) reads, excluded terms among them.
+
+    With ``groups`` in the wave, only terms of these: another group lacks a term in the range.
+    """
+    asked = clauses.select("query_id", "grp", "term").distinct()
+    if "groups" in wave.columns:
+        wave = wave.select("query_id", "range", F.explode("groups").alias("grp"))
+        found = asked.join(wave, ["query_id", "grp"])
+    else:
+        found = asked.join(wave.select("query_id", "range"), "query_id")
+    return found.select("term", "range").distinct()
 
 
 def scored(rows: DataFrame, clauses: DataFrame, wave: DataFrame, n_ranges: int) -> DataFrame:
-    """``(query_id, chunk_id, score)`` of the matches in the ranges of each question."""
-    keys = broadcast_if_small(stored(needed(clauses, wave), "needed"))
-    some = stored(rows.join(keys, ["term", "range"], "left_semi").drop("range"), "read")
+    """``(query_id, chunk_id, score)`` of the matches in the ranges of each question.
+
+    Postings are filtered where they are read. Beyond a broadcast, some more than those needed pass, which
+    changes nothing: what a question shares in other ranges is left out at the end.
+    """
+    keys = stored(needed(clauses, wave), "needed")
+    sent = broadcast_if_small(keys)
+    if sent is keys:
+        place = F.xxhash64("term", "range").alias("place")
+        some = membership.likely(rows.withColumn("place", place), keys.select(place), "place").drop("place")
+    else:
+        some = rows.join(sent, ["term", "range"], "left_semi")
+    some = stored(some.drop("range"), "read")
     # A question that shares a term with another one is complete in its own ranges only.
     found = keywords.match(some, clauses).withColumn("range", range_of(F.col("chunk_id"), n_ranges))
     return found.join(wave.select("query_id", "range"), ["query_id", "range"], "left_semi").drop("range")

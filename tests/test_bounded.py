@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sheaf.operators import bounded, keywords
+from sheaf.session import stored
 from tests_support import questions_frame
 
 QUESTIONS = ["w0", "w1 w2", '"w0 w1" OR w7', "w0 -w3", "w5 OR w9 OR w30 w31", "-w1", "nothere", "w0 nothere", "w2 w2", "w3 OR -w1"]
@@ -100,3 +101,33 @@ def test_empty_tables(spark, index):
     clauses = keywords.query_clauses(questions_frame(spark, QUESTIONS))
     assert bounded.keyword_topk(rows.limit(0), summaries.limit(0), clauses, 3, n_ranges).collect() == []
     assert bounded.keyword_topk(rows, summaries, clauses.limit(0), 3, n_ranges).collect() == []
+
+
+def test_only_terms_of_groups_that_may_match_are_read(spark, tmp_path, monkeypatch):
+    """A range is read for the groups whose terms are all there, with a filter as with a broadcast."""
+    texts = ["alpha common"] * 20 + ["beta common other"] * 20 + ["common"] * 200 + ["gamma beta"] * 3
+    rows, summaries, n_ranges = indexed(spark, texts, str(tmp_path / "groups"), 4)
+    clauses = keywords.query_clauses(questions_frame(spark, ["alpha OR common beta gamma", "common other -beta"])).cache()
+    whole = as_rows(keywords.keyword_topk(rows.drop("range"), clauses, 30))
+    ranges = bounded.waves(summaries, clauses, 100)
+    keys = bounded.needed(clauses, ranges.filter("query_id = 'q0'"))
+    common = rows.join(keys, ["term", "range"], "left_semi").filter("term = 'common'").count()
+    assert common < 0.3 * rows.filter("term = 'common'").count()
+    assert as_rows(bounded.keyword_topk(rows, summaries, clauses, 30, n_ranges)) == whole and whole
+    monkeypatch.setattr(bounded, "broadcast_if_small", lambda df: df)
+    read = []
+    monkeypatch.setattr(bounded, "stored", lambda df, name: read.append((name, df._jdf.queryExecution().executedPlan().toString())) or stored(df, name))
+    assert as_rows(bounded.keyword_topk(rows, summaries, clauses, 30, n_ranges)) == whole
+    plans = [plan for name, plan in read if name == "read"]
+    assert len(plans) == 2 and not any("hashpartitioning(term" in plan for plan in plans)
+
+
+def test_groups_of_questions_that_share_an_id_are_read_whole(spark, index, monkeypatch):
+    """Their terms count together in a match, so the rows are those of reading all terms of a question."""
+    rows, summaries, n_ranges = index
+    questions = spark.createDataFrame([("q", "w0 OR w3 w4"), ("q", "w1 OR w5 w6 w7"), ("q", "w2 OR w8")], "query_id string, question string")
+    clauses = keywords.query_clauses(questions).cache()
+    got = as_rows(bounded.keyword_topk(rows, summaries, clauses, 50, n_ranges))
+    needed = bounded.needed
+    monkeypatch.setattr(bounded, "needed", lambda clauses, wave: needed(clauses, wave.drop("groups")))
+    assert got == as_rows(bounded.keyword_topk(rows, summaries, clauses, 50, n_ranges)) and got
